@@ -12,6 +12,7 @@ and checkpoints do; a block whose words don't come back complete raises.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,13 +43,32 @@ def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[
         yield int(np.uint64(h.intdigest()).astype(np.int64)), b.column(0), texts
 
 
-def _words_of(path: str):
+def _pack(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
+
+
+def _unpack(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
+def _words_of(path: str, buckets: int):
+    """One row for each block and bucket of the table: the bucket's words and their places in the block."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(path)
+        bpe, zip_ = word_bpe(path), zstandard.ZstdCompressor(level=3)
         for key, _, texts in _blocks(it):
-            words = bpe.split(texts)[0]
+            words = [w.encode() for w in bpe.split(texts)[0].to_pylist()]
+            if not words:
+                continue
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            rows = []
+            for own in np.split(order, cuts):
+                joined = b"\n".join([words[i] for i in own])
+                rows.append((int(bucket[own[0]]), key, _pack(np.diff(own, prepend=0).astype("<u4")), zip_.compress(joined)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(words), key)), pa.array(np.arange(len(words), dtype=np.int32)), words], ["block", "at", "word"]
+                [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "at", "words"]
             )
 
     return run
@@ -76,25 +96,27 @@ def _streams_of(path: str):
 
 
 def _encode_table(path: str):
-    """Rows come sorted by word: each distinct word is encoded once."""
+    """A bucket holds all occurrences of its words: each distinct word is encoded once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe: WordBpe = word_bpe(path)
-        last, last_ids = None, b""
+        known: dict[bytes, int] = {}
+        parts: list[bytes] = []
         for b in it:
-            if not b.num_rows:
-                continue
-            coded = b.column(2).dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            ids, lens = bpe.encode([w for w in words if w != last])
-            raw = ids.astype("<u4").tobytes()
-            ends = (np.cumsum(lens) * 4).tolist()
-            each = [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
-            if words and words[0] == last:
-                each.insert(0, last_ids)
-            last, last_ids = words[-1], each[-1]
-            table = pa.array(each, pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), table.take(coded.indices)], ["block", "at", "ids"])
+            for block, at, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                words = zstandard.ZstdDecompressor().decompress(packed).split(b"\n")
+                new = [w for w in words if w not in known]
+                if new:
+                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                    ids, lens = bpe.encode([w.decode() for w in new])
+                    raw = ids.astype("<u4").tobytes()
+                    ends = (np.cumsum(lens) * 4).tolist()
+                    parts += [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+                got = [parts[known[w]] for w in words]
+                ids = np.frombuffer(b"".join(got), "<u4")
+                lens = np.fromiter(map(len, got), np.int64, len(got)) // 4
+                small = np.concatenate((ids & 0xFFFF, ids >> 16)).astype("<u2")
+                yield pa.RecordBatch.from_pydict({"block": [block], "at": [at], "lens": [_pack(lens.astype("<u4"))], "ids": [_pack(small)]})
 
     return run
 
@@ -106,23 +128,20 @@ def _real(ids: list, tokens: list[np.ndarray], pieces: list[list[str]]) -> dict[
 def _join_back(path: str, project: Project, schema: pa.Schema):
     def run(words: pa.Table, streams: pa.Table) -> pa.Table:
         bpe = word_bpe(path)
-        at = words.column("at").to_numpy()
-        table = words.column("ids").combine_chunks()
-        if isinstance(table, pa.ChunkedArray):
-            table = pa.concat_arrays(table.chunks) if table.num_chunks else pa.array([], pa.binary())
+        got = words.to_pylist()
+        at = np.concatenate([np.cumsum(_unpack(w["at"], "<u4").astype(np.int64)) for w in got]) if got else np.zeros(0, np.int64)
+        got_lens = np.concatenate([_unpack(w["lens"], "<u4").astype(np.int64) for w in got]) if got else np.zeros(0, np.int64)
+        halves = [_unpack(w["ids"], "<u2").astype(np.uint32).reshape(2, -1) for w in got]
+        tab_ids = np.concatenate([h[0] | (h[1] << np.uint32(16)) for h in halves]) if got else np.zeros(0, np.uint32)
+        got_starts = np.cumsum(got_lens) - got_lens
         out = []
         for s in streams.to_pylist():
-            if not s["n_words"]:
-                tab_ids, lens, starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            else:
-                place = np.full(s["n_words"], -1, np.int64)
+            place = np.full(s["n_words"], -1, np.int64)
+            if s["n_words"]:
                 place[at] = np.arange(len(at))
-                if (place < 0).any():
-                    raise ValueError("a block's words came back incomplete: the input changed between two readings")
-                own = table.take(pa.array(place))
-                offs = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64) // 4
-                tab_ids = np.frombuffer(own.buffers()[2], "<u4")
-                starts, lens = offs[:-1], np.diff(offs)
+            if (place < 0).any():
+                raise ValueError("a block's words came back incomplete: the input changed between two readings")
+            starts, lens = got_starts[place], got_lens[place]
             flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(s["codes"]), np.uint16)
             codes = flat[: len(flat) // 2].astype(np.int32) | (flat[len(flat) // 2 :].astype(np.int32) << 16)
             ids = tab_ids[spread(starts[codes], lens[codes])] if len(codes) else np.zeros(0, np.uint32)
@@ -156,8 +175,9 @@ def encode_decode(
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    words = rows.mapInArrow(_words_of(path), "block long, at int, word string")
-    table = words.repartition(n_parts(spark), "word").sortWithinPartitions("word").mapInArrow(_encode_table(path), "block long, at int, ids binary")
+    buckets = n_parts(spark)
+    words = rows.mapInArrow(_words_of(path, buckets), "bucket int, block long, at binary, words binary")
+    table = words.repartitionById(buckets, F.col("bucket")).mapInArrow(_encode_table(path), "block long, at binary, lens binary, ids binary")
     streams = rows.mapInArrow(_streams_of(path), "block long, n_words int, ids array<long>, counts array<int>, codes binary")
     from pyspark.sql.pandas.types import from_arrow_schema
 
