@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from skerry.llm.queries_bpe import op10_bpe
+from skerry.llm.queries_bpe import op6_tokenfile, op10_bpe
+from skerry.llm.queries_fingerprint import op2_fingerprint
+from skerry.llm.queries_pii import op8_pii
+from skerry.llm.queries_warc import op9_warc
 
-QUERIES = {"op10_bpe": op10_bpe}
+QUERIES = {
+    "op2_fingerprint": op2_fingerprint,
+    "op6_tokenfile": op6_tokenfile,
+    "op8_pii": op8_pii,
+    "op9_warc": op9_warc,
+    "op10_bpe": op10_bpe,
+}
 
 SQL: dict[str, str] = {}
