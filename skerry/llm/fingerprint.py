@@ -39,14 +39,14 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(sizes: list[int], data: bytes) -> list[list[int]]:
-    """For each of the texts that ``data`` joins with ``GAP``, the ends of its chunks."""
+    """For each of the texts that ``data`` holds, each after a ``GAP``, the ends of its chunks."""
     h = gear_hashes(np.frombuffer(data, np.uint8))
     loose = np.flatnonzero(h < np.uint32(1 << (32 - LOOSE_BITS)))
     strict = (h[loose] < np.uint32(1 << (32 - STRICT_BITS))).tolist()
     spots = (loose + 1).tolist()
     spots.append(len(data) + MOST + 1)
     strict.append(True)
-    out, i, begin = [], 0, 0
+    out, i, begin = [], 0, len(GAP)
     for size in sizes:
         stop, start, ends = begin + size, begin, []
         while spots[i] <= begin:
@@ -72,9 +72,9 @@ def chunk_ends(sizes: list[int], data: bytes) -> list[list[int]]:
 
 def digest_sets(texts: list[bytes]) -> list[dict[int, int]]:
     """Each text's chunk digests with the bytes they stand for."""
-    data = GAP.join(texts)
+    data = GAP + GAP.join(texts)
     digest = xxhash.xxh3_64_intdigest
-    out, begin = [], 0
+    out, begin = [], len(GAP)
     for text, ends in zip(texts, chunk_ends([len(t) for t in texts], data), strict=True):
         got: dict[int, int] = {}
         at = begin
