@@ -33,16 +33,20 @@ def words(text: str) -> Column:
     return F.filter(F.split(line, " "), lambda w: w != "")
 
 
-def shingles(hashes: str) -> Column:
-    """64-bit hashes of the five-word shingles, from the words' hashes."""
-    n = F.size(hashes)
-    many = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(hashes, i, SHINGLE)))
-    return F.when(n >= SHINGLE, many).when(n > 0, F.array(F.xxhash64(F.col(hashes)))).otherwise(F.array().cast("array<bigint>"))
+def shingles(text: str) -> Column:
+    """64-bit hashes of the five-word shingles.
 
+    The words' hashes are bound by an outer lambda: an expression that the
+    optimizer copies into a filter then still computes them once a row.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def of(ws: Column) -> Column:
+        n = F.size(ws)
+        many = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(ws, i, SHINGLE)))
+        return F.when(n >= SHINGLE, many).when(n > 0, F.array(F.xxhash64(ws))).otherwise(none)
 
-def with_shingles(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``_sh``; the words and their hashes don't stay."""
-    return df.withColumn("_w", F.transform(words(text), lambda w: F.xxhash64(w))).withColumn("_sh", shingles("_w")).drop("_w")
+    return F.element_at(F.transform(F.array(F.transform(words(text), lambda w: F.xxhash64(w))), of), 1)
 
 
 def simhash(hashes: str) -> Column:
@@ -58,9 +62,9 @@ def blocks(fp: str) -> Column:
 
 
 def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, m, counts of its shingles, fp); items without words are left out, repeated rows are one."""
+    """(item_id, m, counts of its shingles, fp); m is 0 for items without words, repeated rows are one."""
     rows = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("_text")).distinct()
-    got = with_shingles(rows, "_text").filter(F.size("_sh") > 0)
+    got = rows.withColumn("_sh", shingles("_text"))
     counts = F.transform(F.array_distinct("_sh"), lambda h: F.struct(h.alias("h"), F.size(F.filter("_sh", lambda x: x == h)).alias("n")))
     return got.select("item_id", F.size("_sh").alias("m"), counts.alias("counts"), simhash("_sh").alias("fp"))
 
@@ -76,21 +80,21 @@ def leaks(
     like; repeated rows give one row; of tied windows the first counts; other
     columns are left out; an empty table on either side gives no row.
     """
-    items = cut(items_of(benchmark, item_col, item_text))
+    items = cut(items_of(benchmark, item_col, item_text)).filter("m > 0")
     index = items.select("m", F.explode("counts.h").alias("h")).groupBy("h").agg(F.collect_set("m").alias("sizes"))
     n = items.select(F.sum(F.size("counts")).alias("n")).first()["n"] or 0
     if n <= BROADCAST_SHINGLES:
         index = F.broadcast(index)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = with_shingles(rows.withColumn("text_hash", F.xxhash64("_text")), "_text")
-    hits = rows.select("doc_id", "text_hash", F.posexplode("_sh").alias("pos", "h")).join(index, "h")
+    # outer: else a filter on the array's size would compute all shingles once more
+    hits = rows.select("doc_id", F.xxhash64("_text").alias("text_hash"), F.posexplode_outer(shingles("_text")).alias("pos", "h")).join(index, "h")
     by_doc = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("pos", "h", "sizes"))).alias("hits"))
     windows = F.expr(
         f"""filter(flatten(transform(hits, (x, i) -> transform(x.sizes, m -> named_struct(
               'm', m, 'start', x.pos, 'own', filter(slice(hits, i + 1, m), y -> y.pos < x.pos + m))))),
             w -> size(w.own) >= {threshold} * w.m - 1e-9)"""
     )
-    cand = by_doc.select("doc_id", "text_hash", F.explode(windows).alias("w")).select(
+    cand = by_doc.select("doc_id", "text_hash", F.explode_outer(windows).alias("w")).filter("w is not null").select(
         "doc_id", "text_hash", "w.m", "w.start", F.transform("w.own", lambda y: y["h"]).alias("hs"), (F.element_at("w.own", -1)["pos"] - F.col("w.start") + 1).alias("width")
     )
     cand = cut(cand)
