@@ -5,6 +5,8 @@ from __future__ import annotations
 from skerry.llm.queries_bpe import op6_tokenfile, op10_bpe
 from skerry.llm.queries_decontaminate import op1_decontaminate
 from skerry.llm.queries_fingerprint import op2_fingerprint
+from skerry.llm.queries_html import op3_html
+from skerry.llm.queries_licenses import op5_license
 from skerry.llm.queries_pii import op8_pii
 from skerry.llm.queries_simhash import op7_simhash
 from skerry.llm.queries_warc import op9_warc
@@ -12,6 +14,8 @@ from skerry.llm.queries_warc import op9_warc
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_fingerprint": op2_fingerprint,
+    "op3_html": op3_html,
+    "op5_license": op5_license,
     "op6_tokenfile": op6_tokenfile,
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
