@@ -8,6 +8,7 @@ from skerry.llm.queries_fingerprint import op2_fingerprint
 from skerry.llm.queries_html import op3_html
 from skerry.llm.queries_licenses import op5_license
 from skerry.llm.queries_pii import op8_pii
+from skerry.llm.queries_quality import op4_quality
 from skerry.llm.queries_simhash import op7_simhash
 from skerry.llm.queries_warc import op9_warc
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_fingerprint": op2_fingerprint,
     "op3_html": op3_html,
+    "op4_quality": op4_quality,
     "op5_license": op5_license,
     "op6_tokenfile": op6_tokenfile,
     "op7_simhash": op7_simhash,
