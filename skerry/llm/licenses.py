@@ -8,6 +8,8 @@ that contains it (of equal intervals, the label first in order stays).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from skerry.llm.license_rules import RULES, STEMS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A character of a word in lower-cased text, and one that isn't.
 IN, OUT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-#: A word in any text, of which lower-casing A-Z makes a word.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A character of no word, in a text as it stands.
+OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 #: The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -62,15 +64,35 @@ def _rules_column() -> Column:
     )
 
 
-#: Each match's interval from the lengths of the matches and of the parts between them.
-_FOUND = """
-    flatten(filter(transform(filter(_r, r -> contains(_low, r.keyword)), r ->
-      transform(array(named_struct('ms', regexp_extract_all(_low, r.pattern, 0), 'ps', split(_low, r.pattern, -1))), b ->
-        if(size(b.ms) = 0, NULL, transform(sequence(1, size(b.ms)), i -> named_struct(
-          'label', r.label, 'priority', r.priority,
-          'start', aggregate(slice(b.ps, 1, i), 0L, (a, p) -> a + length(p)) + aggregate(slice(b.ms, 1, i - 1), 0L, (a, m) -> a + length(m)),
-          'size', CAST(length(b.ms[i - 1]) AS BIGINT)))))[0]), x -> x IS NOT NULL))
-"""
+def _matches(low: Column) -> Column:
+    """All matches of the rules whose keyword the text holds, each with its interval.
+
+    Intervals come from the lengths of the matches and of the parts between
+    them. The rules stay a literal within the expression: as a column they
+    would be copied into every row.
+    """
+
+    def places(rule: Column, both: Column) -> Column:
+        ms, ps = both["ms"], both["ps"]
+        total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+        one = lambda i: F.struct(
+            rule["label"].alias("label"), rule["priority"].alias("priority"), (total(F.slice(ps, 1, i)) + total(F.slice(ms, 1, i - 1))).alias("start"), F.length(F.element_at(ms, i)).cast("long").alias("size")
+        )
+        return F.when(F.size(ms) > 0, F.transform(F.sequence(F.lit(1), F.size(ms)), one))
+
+    def of(rule: Column) -> Column:
+        both = F.struct(F.regexp_extract_all(low, rule["pattern"], F.lit(0)).alias("ms"), F.split(low, rule["pattern"], -1).alias("ps"))
+        return F.element_at(F.transform(F.array(both), lambda b: places(rule, b)), 1)
+
+    tried = F.filter(_rules_column(), lambda r: F.contains(low, r["keyword"]))
+    return F.flatten(F.filter(F.transform(tried, of), lambda x: x.isNotNull()))
+
+
+def n_words(text: Column) -> Column:
+    """Words of any text: the parts between runs of other characters, less the empty ones at its edges."""
+    edge = lambda c: F.when(c.rlike(OTHER), 1).otherwise(0)
+    parts = F.size(F.split(text, f"{OTHER}+", -1))
+    return F.when(text == "", 0).otherwise(parts - edge(F.substring(text, 1, 1)) - edge(F.right(text, F.lit(1)))).cast("long")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,13 +105,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     other columns are left out; an empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    gate = F.col("_text").rlike("(?i)" + "|".join(x.replace(".", r"\.") for x in STEMS))
+    gate = reduce(lambda a, b: a | b, [F.contains(F.lower("_text"), F.lit(x)) for x in STEMS])
     base = "|".join(f"(?:{_phrase(p)})" for p in PHRASES)
-    words = lambda c: F.regexp_count(c, F.lit(ANY_WORD)).cast("long")
     none = F.lit(None).cast("long")
 
     df = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
-    df = df.select("doc_id", words(F.col("_text")).alias("n_words"), F.when(gate, F.translate("_text", UPPER, LOWER)).alias("_low"))
+    df = df.select("doc_id", n_words(F.col("_text")).alias("n_words"), F.when(gate, F.translate("_text", UPPER, LOWER)).alias("_low"))
 
     def of_row(low: Column) -> Column:
         """Everything about a text that passed the gate; bound once."""
@@ -103,12 +124,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     labels = F.array_compact(F.array(*[F.when(has(p), F.lit(v)) for p, v in PHRASES.items()]))
     df = df.select(
         "doc_id", "n_words", "_low", n_base.alias("n_base"),
-        F.when(n_base > 0, words(F.element_at("_base.ps", 1))).otherwise(none).alias("first_word"),
-        F.when(n_base > 0, F.col("n_words") - words(F.element_at("_base.ps", -1)) - words(last)).otherwise(none).alias("last_word"),
+        F.when(n_base > 0, n_words(F.element_at("_base.ps", 1))).otherwise(none).alias("first_word"),
+        F.when(n_base > 0, F.col("n_words") - n_words(F.element_at("_base.ps", -1)) - n_words(last)).otherwise(none).alias("last_word"),
         F.when(n_base > 0, F.array_sort(F.array_distinct(labels))).otherwise(F.array().cast("array<string>")).alias("base_labels"),
     )
-    found = F.when(F.col("_low").isNotNull(), F.expr(_FOUND)).otherwise(F.lit(None))
-    df = df.withColumn("_r", _rules_column()).withColumn("_found", found)
+    df = df.withColumn("_found", F.when(F.col("_low").isNotNull(), _matches(F.col("_low"))))
     loses = """
         exists(_found, b -> b.start <= a.start AND b.start + b.size >= a.start + a.size AND (
             b.priority > a.priority OR b.priority = a.priority AND (b.size > a.size OR b.label < a.label))
