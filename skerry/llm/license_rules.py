@@ -1,7 +1,7 @@
-"""Signature rules for licence scans: label | priority | keyword | pattern.
+"""Signature rules for licence scans: label | priority | keywords | pattern.
 
 Patterns meet lower-cased text; a rule is only tried on texts that hold its
-keyword. ``~`` stands for a run of characters that aren't letters or digits,
+keywords (joined by ``&``). ``~`` stands for a run of characters that aren't letters or digits,
 ``^`` and ``$`` for the edges of a word. A higher priority wins where
 detections lie in one another.
 """
@@ -23,9 +23,9 @@ apache-2.0 | 5 | licenses/apache-2.0 | opensource\.org/licenses/apache-2\.0
 apache-2.0 | 5 | spdx | ^spdx-license-identifier:~apache-2\.0$
 apache-2.0 | 3 | apache | ^licensed~under~the~apache~license~version~2\.0$
 mit | 3 | mit license | ^mit~license$
-mit | 3 | licen | ^licensed~under~(?:the~)?mit$
-mit | 3 | licen | ^mit~licensed$
-mit | 3 | licen | ^(?:the~)?expat~license$
+mit | 3 | licen & mit | ^licensed~under~(?:the~)?mit$
+mit | 3 | licen & mit | ^mit~licensed$
+mit | 3 | licen & expat | ^(?:the~)?expat~license$
 mit | 4 | copyright notice and this permission notice | the~above~copyright~notice~and~this~permission~notice~shall~be~included
 mit | 5 | licenses/mit | opensource\.org/licenses/mit
 mit | 5 | spdx | ^spdx-license-identifier:~mit$
@@ -73,12 +73,12 @@ gfdl-1.2 | 4 | free documentation license | ^free~documentation~license~(?:versi
 gfdl-1.3 | 4 | free documentation license | ^free~documentation~license~(?:version~|v~?)1\.3$
 gfdl | 5 | gnu.org | ^gnu\.org/(?:licenses|copyleft)/fdl
 gfdl-1.3 | 5 | spdx | ^spdx-license-identifier:~gfdl-1\.3
-bsd | 3 | licen | ^bsd~(?:style~)?licen[sc]e$
-bsd | 3 | licen | ^licensed~under~(?:the~|a~)?bsd$
-bsd | 3 | licen | ^berkeley~software~distribution~license$
-bsd-2-clause | 4 | licen | ^(?:bsd~2~clause|2~clause~bsd|two~clause~bsd|simplified~bsd|freebsd)~licen[sc]e$
-bsd-3-clause | 4 | licen | ^(?:bsd~3~clause|3~clause~bsd|three~clause~bsd|new~bsd|modified~bsd|revised~bsd)~licen[sc]e$
-bsd-4-clause | 4 | licen | ^(?:bsd~4~clause|4~clause~bsd|four~clause~bsd|original~bsd|old~bsd)~licen[sc]e$
+bsd | 3 | licen & bsd | ^bsd~(?:style~)?licen[sc]e$
+bsd | 3 | licen & bsd | ^licensed~under~(?:the~|a~)?bsd$
+bsd | 3 | licen & berkeley | ^berkeley~software~distribution~license$
+bsd-2-clause | 4 | licen & bsd | ^(?:bsd~2~clause|2~clause~bsd|two~clause~bsd|simplified~bsd|freebsd)~licen[sc]e$
+bsd-3-clause | 4 | licen & bsd | ^(?:bsd~3~clause|3~clause~bsd|three~clause~bsd|new~bsd|modified~bsd|revised~bsd)~licen[sc]e$
+bsd-4-clause | 4 | licen & bsd | ^(?:bsd~4~clause|4~clause~bsd|four~clause~bsd|original~bsd|old~bsd)~licen[sc]e$
 bsd | 3 | redistribution | ^redistribution~and~use~in~source~and~binary~forms$
 bsd-3-clause | 4 | warrant | used~to~endorse~or~promote~products~derived~from~this~software~without~specific~prior~written~permission
 bsd-2-clause | 5 | spdx | ^spdx-license-identifier:~bsd-2-clause$
@@ -86,10 +86,10 @@ bsd-3-clause | 5 | spdx | ^spdx-license-identifier:~bsd-3-clause$
 bsd-4-clause | 5 | spdx | ^spdx-license-identifier:~bsd-4-clause$
 bsd-3-clause | 5 | licenses/bsd-3 | opensource\.org/licenses/bsd-3-clause
 bsd-2-clause | 5 | licenses/bsd-2 | opensource\.org/licenses/bsd-2-clause
-bsd-0-clause | 4 | licen | ^zero~clause~bsd~licen[sc]e$
+bsd-0-clause | 4 | licen & bsd | ^zero~clause~bsd~licen[sc]e$
 bsd-0-clause | 5 | spdx | ^spdx-license-identifier:~0bsd$
 isc | 3 | isc license | ^isc~license$
-isc | 3 | licen | ^licensed~under~(?:the~)?isc$
+isc | 3 | licen & isc | ^licensed~under~(?:the~)?isc$
 isc | 5 | licenses/isc | opensource\.org/licenses/isc
 isc | 5 | spdx | ^spdx-license-identifier:~isc$
 mpl | 3 | mozilla public licen | ^mozilla~public~licen[sc]e$
@@ -152,7 +152,7 @@ php-3.01 | 3 | php licen | ^php~licen[sc]e$
 php-3.01 | 5 | spdx | ^spdx-license-identifier:~php-3\.01$
 ruby | 3 | ruby licen | ^ruby~licen[sc]e$
 ruby | 5 | spdx | ^spdx-license-identifier:~ruby$
-perl | 4 | licen | ^under~the~same~terms~as~perl~itself$
+perl | 4 | licen & perl | ^under~the~same~terms~as~perl~itself$
 w3c | 3 | w3c software | ^w3c~software~(?:notice~and~)?licen[sc]e$
 w3c | 5 | spdx | ^spdx-license-identifier:~w3c$
 ofl-1.1 | 3 | open font licen | ^open~font~licen[sc]e$
@@ -167,8 +167,8 @@ cdla-permissive | 3 | community data licen | ^community~data~licen[sc]e~agreemen
 cdla-sharing | 3 | community data licen | ^community~data~licen[sc]e~agreement~sharing$
 open-government | 3 | open government licen | ^open~government~licen[sc]e$
 cc0-1.0 | 4 | creative commons zero | ^creative~commons~zero$
-cc0-1.0 | 3 | licen | ^cc0~(?:1\.0~)?(?:universal~)?licen[sc]e$
-cc0-1.0 | 3 | licen | ^licensed~under~(?:the~)?cc0$
+cc0-1.0 | 3 | licen & cc0 | ^cc0~(?:1\.0~)?(?:universal~)?licen[sc]e$
+cc0-1.0 | 3 | licen & cc0 | ^licensed~under~(?:the~)?cc0$
 cc0-1.0 | 5 | creativecommons.org | ^creativecommons\.org/publicdomain/zero/1\.0
 cc0-1.0 | 5 | spdx | ^spdx-license-identifier:~cc0-1\.0$
 cc-pdm | 5 | creativecommons.org | ^creativecommons\.org/publicdomain/mark/1\.0
@@ -179,22 +179,22 @@ cc-by-nc | 4 | creative commons attribution | ^creative~commons~attribution~non~
 cc-by-nd | 4 | creative commons attribution | ^creative~commons~attribution~no~?deriv(?:ative)?s?(?:~works)?$
 cc-by-nc-sa | 5 | creative commons attribution | ^creative~commons~attribution~non~?commercial~share~?alike$
 cc-by-nc-nd | 5 | creative commons attribution | ^creative~commons~attribution~non~?commercial~no~?deriv(?:ative)?s?(?:~works)?$
-cc-by | 3 | licen | ^licensed~under~(?:the~|a~)?cc~by$
-cc-by-sa | 4 | licen | ^licensed~under~(?:the~|a~)?cc~by~sa$
-cc-by-nc | 4 | licen | ^licensed~under~(?:the~|a~)?cc~by~nc$
-cc-by-nd | 4 | licen | ^licensed~under~(?:the~|a~)?cc~by~nd$
-cc-by-nc-sa | 5 | licen | ^licensed~under~(?:the~|a~)?cc~by~nc~sa$
-cc-by-nc-nd | 5 | licen | ^licensed~under~(?:the~|a~)?cc~by~nc~nd$
-cc-by-2.0 | 5 | licen | ^cc~by~2\.0$
-cc-by-3.0 | 5 | licen | ^cc~by~3\.0$
-cc-by-4.0 | 5 | licen | ^cc~by~4\.0$
-cc-by-sa-3.0 | 5 | licen | ^cc~by~sa~3\.0$
-cc-by-sa-4.0 | 5 | licen | ^cc~by~sa~4\.0$
-cc-by-nc-3.0 | 5 | licen | ^cc~by~nc~3\.0$
-cc-by-nc-4.0 | 5 | licen | ^cc~by~nc~4\.0$
-cc-by-nd-4.0 | 5 | licen | ^cc~by~nd~4\.0$
-cc-by-nc-sa-4.0 | 5 | licen | ^cc~by~nc~sa~4\.0$
-cc-by-nc-nd-4.0 | 5 | licen | ^cc~by~nc~nd~4\.0$
+cc-by | 3 | licen & cc | ^licensed~under~(?:the~|a~)?cc~by$
+cc-by-sa | 4 | licen & cc | ^licensed~under~(?:the~|a~)?cc~by~sa$
+cc-by-nc | 4 | licen & cc | ^licensed~under~(?:the~|a~)?cc~by~nc$
+cc-by-nd | 4 | licen & cc | ^licensed~under~(?:the~|a~)?cc~by~nd$
+cc-by-nc-sa | 5 | licen & cc | ^licensed~under~(?:the~|a~)?cc~by~nc~sa$
+cc-by-nc-nd | 5 | licen & cc | ^licensed~under~(?:the~|a~)?cc~by~nc~nd$
+cc-by-2.0 | 5 | licen & cc | ^cc~by~2\.0$
+cc-by-3.0 | 5 | licen & cc | ^cc~by~3\.0$
+cc-by-4.0 | 5 | licen & cc | ^cc~by~4\.0$
+cc-by-sa-3.0 | 5 | licen & cc | ^cc~by~sa~3\.0$
+cc-by-sa-4.0 | 5 | licen & cc | ^cc~by~sa~4\.0$
+cc-by-nc-3.0 | 5 | licen & cc | ^cc~by~nc~3\.0$
+cc-by-nc-4.0 | 5 | licen & cc | ^cc~by~nc~4\.0$
+cc-by-nd-4.0 | 5 | licen & cc | ^cc~by~nd~4\.0$
+cc-by-nc-sa-4.0 | 5 | licen & cc | ^cc~by~nc~sa~4\.0$
+cc-by-nc-nd-4.0 | 5 | licen & cc | ^cc~by~nc~nd~4\.0$
 cc-by | 4 | creativecommons.org | ^creativecommons\.org/licenses/by/
 cc-by-sa | 4 | creativecommons.org | ^creativecommons\.org/licenses/by-sa/
 cc-by-nc | 4 | creativecommons.org | ^creativecommons\.org/licenses/by-nc/
@@ -235,13 +235,13 @@ polyform | 3 | polyform | ^polyform~(?:noncommercial|shield|strict|small~busines
 openrail | 3 | openrail | ^(?:creativeml~|bigscience~)?open~?rail~(?:m~)?licen[sc]e$
 llama | 3 | community licen | ^llama~(?:[0-9](?:\.[0-9])?~)?community~licen[sc]e$
 proprietary | 2 | copyright | ^copyright~(?:c~)?[^\n]{0,80}~all~rights~reserved$
-proprietary | 2 | licen | ^proprietary~(?:and~confidential~)?licen[sc]e$
-proprietary | 2 | licen | ^end~user~licen[sc]e~agreement$
+proprietary | 2 | proprietary | ^proprietary~(?:and~confidential~)?licen[sc]e$
+proprietary | 2 | licen & agreement | ^end~user~licen[sc]e~agreement$
 public-domain | 2 | public domain | ^(?:released~into|placed~in|dedicated~to|in)~the~public~domain$
 copyleft | 2 | copyleft | ^copyleft$
 spdx-other | 1 | spdx | ^spdx-license-identifier:~[a-z0-9][a-z0-9.+-]*
 warranty-disclaimer | 1 | warrant | ^without~warrant(?:y|ies)~(?:or~conditions~)?of~any~kind$
-unknown-license | 1 | licen | ^(?:re)?licensed~under~(?:the~)?(?:terms~of~)?[^\n]{0,60}
-unknown-license | 1 | licen | ^released~under~(?:the~)?(?:terms~of~)?[a-z0-9]+~licen[sc]e$
-unknown-license | 1 | licen | ^see~(?:the~)?licen[sc]e~(?:file~)?for~(?:more~)?(?:details|information)$
+unknown-license | 1 | licensed | ^(?:re)?licensed~under~(?:the~)?(?:terms~of~)?[^\n]{0,60}
+unknown-license | 1 | licen & released | ^released~under~(?:the~)?(?:terms~of~)?[a-z0-9]+~licen[sc]e$
+unknown-license | 1 | licen & see | ^see~(?:the~)?licen[sc]e~(?:file~)?for~(?:more~)?(?:details|information)$
 """

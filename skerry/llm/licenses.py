@@ -1,7 +1,7 @@
 """Licence scans with ordered signature rules, by DataFrame functions alone.
 
 Texts without any of a few stems take no part in matching. On the rest, rules
-whose keyword the text holds are matched; a detection is suppressed by one of
+whose keywords the text holds are matched; a detection is suppressed by one of
 higher priority that contains it or lies in it, and by one of its own priority
 that contains it (of equal intervals, the label first in order stays).
 """
@@ -60,31 +60,32 @@ def _phrase(phrase: str) -> str:
 
 def _rules_column() -> Column:
     return F.array(
-        *[F.struct(F.lit(a).alias("label"), F.lit(b).alias("priority"), F.lit(c).alias("keyword"), F.lit(d).alias("pattern")) for a, b, c, d in rules()]
+        *[F.struct(F.lit(a).alias("label"), F.lit(b).alias("priority"), F.array(*[F.lit(k) for k in c.split(" & ")]).alias("keywords"), F.lit(d).alias("pattern")) for a, b, c, d in rules()]
     )
 
 
 def _matches(low: Column) -> Column:
-    """All matches of the rules whose keyword the text holds, each with its interval.
+    """All matches of the rules whose keywords the text holds, each with its interval.
 
     Intervals come from the lengths of the matches and of the parts between
     them. The rules stay a literal within the expression: as a column they
     would be copied into every row.
     """
 
-    def places(rule: Column, both: Column) -> Column:
-        ms, ps = both["ms"], both["ps"]
+    def places(rule: Column, ms: Column, ps: Column) -> Column:
         total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
         one = lambda i: F.struct(
             rule["label"].alias("label"), rule["priority"].alias("priority"), (total(F.slice(ps, 1, i)) + total(F.slice(ms, 1, i - 1))).alias("start"), F.length(F.element_at(ms, i)).cast("long").alias("size")
         )
-        return F.when(F.size(ms) > 0, F.transform(F.sequence(F.lit(1), F.size(ms)), one))
+        return F.transform(F.sequence(F.lit(1), F.size(ms)), one)
 
     def of(rule: Column) -> Column:
-        both = F.struct(F.regexp_extract_all(low, rule["pattern"], F.lit(0)).alias("ms"), F.split(low, rule["pattern"], -1).alias("ps"))
-        return F.element_at(F.transform(F.array(both), lambda b: places(rule, b)), 1)
+        """Null without a match; the text is cut only where there is one."""
+        found = F.filter(F.array(F.regexp_extract_all(low, rule["pattern"], F.lit(0))), lambda ms: F.size(ms) > 0)
+        got = F.transform(found, lambda ms: F.element_at(F.transform(F.array(F.split(low, rule["pattern"], -1)), lambda ps: places(rule, ms, ps)), 1))
+        return F.try_element_at(got, F.lit(1))
 
-    tried = F.filter(_rules_column(), lambda r: F.contains(low, r["keyword"]))
+    tried = F.filter(_rules_column(), lambda r: F.forall(r["keywords"], lambda k: F.contains(low, k)))
     return F.flatten(F.filter(F.transform(tried, of), lambda x: x.isNotNull()))
 
 
