@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from skerry.plans import indexing, search
+
+QUERIES = search.QUERIES | indexing.QUERIES
+SQL: dict[str, str] = search.SQL | indexing.SQL
