@@ -176,15 +176,16 @@ def _delta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return lexical.postings(table(spark, sf_dir, "documents")), lexical.postings(table(spark, sf_dir, "benchmark"), "item_id")
 
 
-_SUMMARY = (F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"))
+def _summary(post: DataFrame) -> DataFrame:
+    return post.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"))
 
 
 def apply_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.upsert(*_delta(spark, sf_dir), "doc_id").groupBy("doc_id").agg(*_SUMMARY)
+    return _summary(manifest.upsert(*_delta(spark, sf_dir), "doc_id"))
 
 
 def apply_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.remove(_delta(spark, sf_dir)[0], table(spark, sf_dir, "labels"), "doc_id").groupBy("doc_id").agg(*_SUMMARY)
+    return _summary(manifest.remove(_delta(spark, sf_dir)[0], table(spark, sf_dir, "labels"), "doc_id"))
 
 
 _ITEM_POST = POSTINGS_SQL.split("post AS")[0].replace("tokens AS", "itokens AS").replace("doc_id,", "item_id AS doc_id,").replace("FROM documents", "FROM benchmark") + "ipost AS (SELECT doc_id, term, count(*) AS tf FROM itokens GROUP BY ALL)"
