@@ -22,11 +22,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import batches_of, n_parts, ship, strings
+from skerry.llm.common import batches_of, give_back, n_parts, ship, strings
 from skerry.llm.words import WordBpe, spread, word_bpe
 
 #: Bytes of text that one block holds; a longer text is a block of its own.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 3_000_000
 
 Project = Callable[[list[int | None], list[np.ndarray], list[list[str]]], dict[str, list]]
 
@@ -67,6 +67,7 @@ def _words_of(path: str, buckets: int):
             for own in np.split(order, cuts):
                 joined = b"\n".join([words[i] for i in own])
                 rows.append((int(bucket[own[0]]), key, _pack(np.diff(own, prepend=0).astype("<u4")), zip_.compress(joined)))
+            give_back()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "at", "words"]
             )
@@ -80,6 +81,7 @@ def _streams_of(path: str):
         for key, ids, texts in _blocks(it):
             words, codes, head, count = bpe.split(texts)
             codes = codes[spread(head, count)]
+            give_back()
             packed = np.concatenate(((codes & 0xFFFF).astype(np.uint16), (codes >> 16).astype(np.uint16))).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -151,6 +153,7 @@ def _join_back(path: str, project: Project, schema: pa.Schema):
             tokens = [ids[a:z] for a, z in zip(begins, ends, strict=True)]
             pieces = [[bpe.pieces[i] for i in t.tolist()] for t in tokens]
             out.append(pa.Table.from_pydict(project(s["ids"], tokens, pieces), schema=schema))
+        give_back()
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return run

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -121,6 +123,13 @@ def _rank_in(k, edges: list[int]):
     return F.size(F.filter(F.lit(edges).cast("array<bigint>"), lambda e: e <= k))
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def strings(col: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings; null counts as empty."""
     return [x if x is not None else "" for x in col.to_pylist()]

@@ -32,7 +32,7 @@ BATCH_BYTES = 1_000_000
 #: Words of the sample's average that a text's own words are weighed against.
 PRIOR_WORDS = 4
 #: Words of which a worker remembers the hashes.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 _CORE = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _REPEAT = "\1again"

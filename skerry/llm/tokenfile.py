@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import batches_of, by_id_order, filesystem, new_dir, ship, strings
+from skerry.llm.common import batches_of, by_id_order, filesystem, give_back, new_dir, ship, strings
 from skerry.llm.words import spread, word_bpe
 
 FRAME_IDS = 262_144
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 3_000_000
 #: Words whose ids a worker remembers at most, before it begins anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 #: Fixed values of the seekable format.
 SEEK_MAGIC, SKIP_INDEX, SKIP_TABLE, HAS_CHECKSUMS = 0x8F92EAB1, 0x184D2A50, 0x184D2A5E, 0x80
@@ -167,6 +167,7 @@ def _write(path: str, folder: str, end_id: int):
             header = json.dumps({"docs": len(ids_), "frames": len(docs_in_frame), "width": width, "end_id": end_id}).encode()
             w.close(struct.pack("<I", len(header)) + header + ids_.tobytes() + none.tobytes() + n_tokens.astype("<i8").tobytes() + np.array(docs_in_frame, "<i8").tobytes())
             out.close()
+            give_back()
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "docs": [len(ids_)], "tokens": [int(n_tokens.sum())]})
 
     return run

@@ -51,7 +51,6 @@ class WordBpe:
             self.ends[i] = w.endswith(end)
         for w, i in self.special.items():
             self.pieces[i] = w
-        self.texts = [str(i) for i in range(size)]
         alphabet = _byte_alphabet()
         self.to_alphabet = {b: c for b, c in alphabet.items() if b != 32}
         self.from_alphabet = {ord(c): b for b, c in alphabet.items()}
