@@ -94,7 +94,7 @@ def by_id_order(df: DataFrame, key: str, ahead: bool = False) -> DataFrame:
     spark = df.sparkSession
     n = n_parts(spark)
     probe = df.select(F.col(key).cast("long").alias("k")).agg(
-        F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], F.lit(20 * n + 1000)).alias("q"), F.min("k").alias("lo")
+        F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], F.lit(20 * n + 1000)).alias("q"), F.min("k").alias("lo"), F.count(F.lit(1)).alias("n"), F.count("k").alias("n_keys")
     ).first()
     if probe is None or probe["lo"] is None:
         edges = []
@@ -108,7 +108,7 @@ def by_id_order(df: DataFrame, key: str, ahead: bool = False) -> DataFrame:
     parts = len(low) + 1
     if ahead:
         first = F.col("_part") - 1
-        lowest = (k == F.lit(edges[0])) if edges else F.lit(False)
+        lowest = k.isNull() if probe["n"] > probe["n_keys"] else k == F.lit(edges[0]) if edges else F.lit(False)
         here = F.struct(F.col("_part").alias("p"), F.lit(0).alias("a"))
         back = F.struct(first.cast("int").alias("p"), F.lit(1).alias("a"))
         wrap = F.struct(F.lit(parts - 1).alias("p"), F.lit(2).alias("a"))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from skerry.llm.queries_bpe import op6_tokenfile, op10_bpe
-from skerry.llm.queries_decontaminate import op1_decontaminate
+from skerry.llm.queries_decontaminate import OP1_SQL, op1_decontaminate
 from skerry.llm.queries_fingerprint import op2_fingerprint
 from skerry.llm.queries_html import op3_html
 from skerry.llm.queries_licenses import op5_license
 from skerry.llm.queries_pii import op8_pii
 from skerry.llm.queries_quality import op4_quality
 from skerry.llm.queries_simhash import op7_simhash
-from skerry.llm.queries_warc import op9_warc
+from skerry.llm.queries_warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -25,4 +25,4 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_warc": OP9_SQL}
