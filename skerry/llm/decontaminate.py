@@ -115,5 +115,5 @@ def leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that leak no item; all columns stay as they are."""
-    bad = cut(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_bad_id"), "text_hash").distinct())
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("text_hash")), "left_anti")
+    bad = cut(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct())
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__bad_hash")), "left_anti")
