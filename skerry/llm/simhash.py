@@ -296,6 +296,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     mine = F.col("component_id").eqNullSafe(F.col("doc_id"))
     keep = cut(found.filter(mine).select(F.col("doc_id").alias("__keep_id"), F.lit(1).alias("__one")))
     repeated = not keep.groupBy("__keep_id").count().filter("count > 1").isEmpty()
-    out = docs.join(keep.select("__keep_id").distinct(), F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi")
+    # as many as the documents that stay: never broadcast
+    out = docs.join(keep.select("__keep_id").distinct().hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi")
     return out.dropDuplicates([id_col]) if repeated else out
 
