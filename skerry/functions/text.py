@@ -10,6 +10,9 @@ WINDOW, OVERLAP = 500, 50
 
 #: Where a lower-case letter meets an upper-case one, an acronym a word, or letters digits.
 _BOUNDARY = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])"
+#: Such a place with the characters beside it, and a whole word that has one.
+_BREAK = r"[a-z][A-Z]|[A-Z][A-Z][a-z]|[a-zA-Z][0-9]|[0-9][a-zA-Z]"
+_BROKEN = rf"(?<![a-zA-Z0-9])[a-zA-Z0-9]*?(?:{_BREAK})[a-zA-Z0-9]*"
 _SPACES = r"(?U)^\s+|\s+$"
 
 
@@ -18,12 +21,14 @@ def code_tokens(text: Column) -> Column:
 
     Words break at other characters than ASCII letters and digits and at camel,
     acronym and digit boundaries; a word that breaks is a token as a whole too.
-    All are lower-cased, those of one character are dropped. One pass over the
-    text for each kind keeps the work on strings rather than on arrays.
+    All are lower-cased, those of one character are dropped. Work stays on
+    strings rather than on arrays of words, and prose without such words takes
+    the short way.
     """
+    plain = F.split(F.lower(text), "[^a-z0-9]+")
     parts = F.split(F.lower(F.regexp_replace(text, _BOUNDARY, " ")), "[^a-z0-9]+")
-    wholes = F.transform(F.filter(F.split(text, "[^a-zA-Z0-9]+"), lambda w: w.rlike(_BOUNDARY)), F.lower)
-    return F.filter(F.concat(parts, wholes), lambda t: F.length(t) >= 2)
+    wholes = F.transform(F.regexp_extract_all(text, F.lit(_BROKEN), F.lit(0)), F.lower)
+    return F.filter(F.when(text.rlike(_BREAK), F.concat(parts, wholes)).otherwise(plain), lambda t: F.length(t) >= 2)
 
 
 def trim_all(text: Column) -> Column:

@@ -37,7 +37,7 @@ def chunk_id_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's chunks; a line counts as a paragraph, as the texts have no blank lines."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.paragraph_chunks(F.regexp_replace("text", "\n", "\n\n"))).alias("chunk_index", "chunk"))
+    d = tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.paragraph_chunks(F.regexp_replace("text", "\n", "\n\n"))).alias("chunk_index", "chunk"))
     return d.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.substring(F.sha2("chunk", 256), 1, 16).alias("text_hash"))
 
 
@@ -81,7 +81,7 @@ SELECT doc_id, chunk_index::INT AS chunk_index, length(chunk)::INT AS n_chars, s
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that each line of each document gives, oversized ones split by sentences."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).withColumn("p", T.trim_all(F.col("l"))).filter("length(p) > 0")
+    d = tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).withColumn("p", T.trim_all(F.col("l"))).filter("length(p) > 0")
     pieces = d.select("doc_id", (F.col("i") + 1).alias("line"), F.posexplode(T.sentence_pieces(F.col("p"))).alias("piece", "s"))
     return pieces.select("doc_id", "line", "piece", F.length("s").alias("n_chars"))
 
@@ -91,7 +91,7 @@ SENTENCE_SQL = f"WITH {_PARAGRAPHS_SQL} SELECT doc_id, i AS line, (generate_subs
 
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over white-space tokens with the lines that they begin and end in."""
-    d = table(spark, sf_dir, "documents")
+    d = tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     per_line = F.transform(F.split("text", "\n"), lambda line: F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")))
     running = F.aggregate(per_line, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
     d = d.select("doc_id", running.alias("cum"))
@@ -173,7 +173,7 @@ WITH {_DIFF_SQL}, {_CHUNK_DIFF_SQL} SELECT * FROM (SELECT count(*) FILTER (statu
 
 def _delta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The postings, and those of the benchmark's texts under the ids of documents."""
-    return lexical.postings(table(spark, sf_dir, "documents")), lexical.postings(table(spark, sf_dir, "benchmark"), "item_id")
+    return lexical.postings(tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), lexical.postings(table(spark, sf_dir, "benchmark"), "item_id")
 
 
 def _summary(post: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.text import code_tokens, r4
 from skerry.functions.vectors import l2_norm, mean_of, truncate
 from skerry.operators import fusion, knn, lexical, metrics, results
-from skerry.sources.tables import table
+from skerry.sources.tables import spread, table
 
 K = 10
 DEEP = 50
@@ -49,7 +50,8 @@ def _ranked(k: int) -> str:
 
 
 def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(table(spark, sf_dir, "documents"))
+    """The index of a query: computed once, however often the query's plan meets it."""
+    return lexical.postings(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +73,7 @@ CODE_TOKENS_SQL = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unn
 
 def page_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of every term of the pages' source, which holds identifiers."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(code_tokens(F.col("html")))).alias("term"))
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.explode(F.array_distinct(code_tokens(F.col("html")))).alias("term"))
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 

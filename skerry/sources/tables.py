@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals few large input splits to all cores, for work that costs far more than moving the rows.
+
+    Inputs with a split for every core, as all large ones have, stay as they are.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a file: path by source, id and a language's extension, size, time and hash."""
     ext = F.create_map(*[F.lit(x) for pair in (("en", ".ts"), ("de", ".md"), ("fr", ".png"), ("es", ".xyz")) for x in pair])
