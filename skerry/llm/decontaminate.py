@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from skerry.llm.common import cut
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Differing bits that a window may have; the blocks are 64 / (RADIUS + 1) = 4 bits.
-RADIUS, BLOCK_BITS = 15, 4
+#: Differing bits that a window may have. At similarity 0.8 the expected number is 9.5 with a deviation of 2.8,
+#: so that one window in thousands lies beyond; the 64 bits fall into RADIUS + 1 blocks of three or four bits.
+RADIUS = 19
+CUTS = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
 #: Distinct benchmark shingles up to which they are broadcast (16 bytes and a list of sizes each); beyond, the join shuffles.
 BROADCAST_SHINGLES = 1_000_000
 
@@ -57,8 +59,9 @@ def simhash(hashes: str) -> Column:
 
 
 def blocks(fp: str) -> Column:
-    n = 64 // BLOCK_BITS
-    return F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.shiftright(F.col(fp), i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("bits")) for i in range(n)]))
+    """One row for each block: its number and its bits."""
+    at = lambda a, z: F.shiftright(F.col(fp), a).bitwiseAND(F.lit((1 << (z - a)) - 1))
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("block"), at(a, z).alias("bits")) for i, (a, z) in enumerate(zip(CUTS, CUTS[1:], strict=False))]))
 
 
 def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
