@@ -26,6 +26,8 @@ from skerry.llm.common import batches_of, cut, ship, strings
 
 #: Rows that the classifier is fitted on at most (all labelled rows up to that; beyond, those of the smallest hashes).
 SAMPLE_ROWS = 20_000
+#: Tasks over the sample; each sends one table of context sums (3 MB) to the driver.
+SAMPLE_PARTS = 12
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 48, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 20, 256, 2e-3, 1e-3
 BATCH_BYTES = 1_000_000
@@ -226,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").filter(~held_out("id"))
     known = cut(known.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = cut(texts.join(F.broadcast(known), "id").repartition(4, "id"))
+    sample = cut(texts.join(F.broadcast(known), "id").repartition(SAMPLE_PARTS, "id"))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, DIM), np.float32)
@@ -235,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
 
     # sums of whole numbers: exact in any order
-    sums = sample.select("id", "text").coalesce(4).mapInArrow(count, "sums binary").collect()
+    sums = sample.select("id", "text").coalesce(SAMPLE_PARTS).mapInArrow(count, "sums binary").collect()
     context = np.sum([np.frombuffer(r["sums"], np.float32).reshape(BUCKETS, DIM) for r in sums], axis=0, dtype=np.float32) if sums else np.zeros((BUCKETS, DIM), np.float32)
     size = np.linalg.norm(context, axis=1, keepdims=True)
     context = (context / np.maximum(size, 1e-9)).astype(np.float32)
