@@ -14,6 +14,7 @@ from skerry.functions.text import content_hash
 from skerry.operators import fusion, knn, lexical, manifest, results
 from skerry.operators.chunking import all_chunks
 from skerry.operators.embedding import PREFIXES, Embedder, embed_chunks, ensemble
+from skerry.sources import pdf
 from skerry.sources.files import STORE, read_contents, scan
 from skerry.sources.store import Store
 
@@ -31,13 +32,15 @@ def _checked_type(kind: str | None) -> None:
 
 
 def index(
-    spark: SparkSession, path: str, ignore: bool = True, type: str | None = None, clear: bool = False, embedder: Embedder | None = None, image_embedder: Embedder | None = None
+    spark: SparkSession, path: str, ignore: bool = True, type: str | None = None, clear: bool = False, embedder: Embedder | None = None, image_embedder: Embedder | None = None,
+    pdf_reader: pdf.Reader | None = None,
 ) -> dict:
     """Brings the index of ``path`` up to date and returns the counters.
 
     Only files whose time or size changed are read, only those whose hash
     changed are cut into chunks, and only chunks whose text changed are
-    embedded. A snapshot is written at the end, all tables together.
+    embedded. A snapshot is written at the end, all tables together. PDF files
+    need a reader; without one, or where it fails, they have no chunks.
     """
     began = time.time()
     _checked_type(type)
@@ -61,7 +64,10 @@ def index(
 
     changed = diff.filter(F.col("status").isin("new", "changed")).select("path")
     text = F.when(F.col("type") == "image", "").otherwise(F.make_valid_utf8(F.col("content").cast("string")))
-    new_chunks = all_chunks(read.join(changed, "path", "left_semi").select("path", "type", text.alias("text"))).cache()
+    todo_files = read.join(changed, "path", "left_semi")
+    is_pdf = F.lower("path").endswith(".pdf")
+    texts = todo_files.filter(~is_pdf).select("path", "type", text.alias("text")).unionByName(pdf.with_text(todo_files.filter(is_pdf), pdf_reader or pdf.default_reader()))
+    new_chunks = all_chunks(texts).cache()
     stale = diff.filter(F.col("status").isin("new", "changed", "deleted")).select("path")
     old_chunks = store.load("chunks")
     in_type = old_chunks.filter(mine)

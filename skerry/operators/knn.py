@@ -41,13 +41,15 @@ def _search(ids: list, vectors: np.ndarray, k: int):
     return run
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, where: str | None = None) -> DataFrame:
     """(qid, id, distance, rank): the k nearest rows of ``corpus`` to each row of ``queries``; ties by id.
 
     Queries go to the executors in blocks of ``block`` vectors, each task keeps
     its own best k of a query, so tasks times queries times k rows are shuffled
     whatever the corpus holds. Null and zero vectors are no one's neighbours.
+    ``where`` is a condition in SQL on the corpus's columns, met before the search.
     """
+    corpus = corpus.filter(where) if where else corpus
     found = None
     rows: list = []
     part = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).alias("v")).filter("v is not null").sort("q")

@@ -119,6 +119,11 @@ def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, K).select("qid", F.col("id").alias("vec_id"), "rank", knn.search_score().alias("score"))
 
 
+def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours among the vectors that a condition keeps."""
+    return knn.knn(*_queries(spark, sf_dir), K, where="label IN (1, 3, 5, 7)").select("qid", F.col("id").alias("vec_id"), "rank", knn.search_score().alias("score"))
+
+
 def knn_image_rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, DEEP).select("qid", F.col("id").alias("vec_id"), "rank", knn.image_score().alias("score"))
 
@@ -304,7 +309,7 @@ SELECT event_type, len(v) AS n, {_r4("list_sum(v) / len(v)")} AS mean, v[1] AS l
 QUERIES = {
     f.__name__: f
     for f in (
-        code_tokens_tf, page_terms, bm25_topk, bm25_prefix_topk, keyword_normalized, knn_cosine_topk, knn_image_rescaled, vec_truncate_norm, prompt_ensemble_mean, rrf_fuse, hybrid_query,
+        code_tokens_tf, page_terms, bm25_topk, bm25_prefix_topk, keyword_normalized, knn_cosine_topk, knn_filtered, knn_image_rescaled, vec_truncate_norm, prompt_ensemble_mean, rrf_fuse, hybrid_query,
         mode_branches, envelope_json, collapse_adjacent, threshold_dir_topk, image_dedupe, ir_metrics, ir_metrics_agg, latency_percentiles,
     )
 }
@@ -317,6 +322,7 @@ SQL = {
     "bm25_prefix_topk": f"WITH {POSTINGS_SQL}, {PREFIX_SQL}, {SCORED_SQL}, {_ranked(K)} {_TOP}",
     "keyword_normalized": f"WITH {POSTINGS_SQL}, {PREFIX_SQL}, {SCORED_SQL}, {_ranked(DEEP)} SELECT qid, doc_id, {_r4('score / max(score) OVER (PARTITION BY qid)')} AS score, rank FROM ranked",
     "knn_cosine_topk": f"WITH {KNN_SQL.format(k=K)} SELECT qid, id AS vec_id, rank, {_SEARCH_SCORE} AS score FROM near",
+    "knn_filtered": f"WITH {KNN_SQL.format(k=K).replace('WHERE q.vec_id % 20 = 0', 'WHERE q.vec_id % 20 = 0 AND e.label IN (1, 3, 5, 7)')} SELECT qid, id AS vec_id, rank, {_SEARCH_SCORE} AS score FROM near",
     "knn_image_rescaled": f"WITH {KNN_SQL.format(k=DEEP)} SELECT qid, id AS vec_id, rank, {_IMAGE_SCORE} AS score FROM near",
     "vec_truncate_norm": VEC_SQL,
     "prompt_ensemble_mean": PROMPT_SQL,

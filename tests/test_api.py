@@ -93,3 +93,28 @@ def test_stream(spark, tmp_path):
     assert [(r["doc_id"], r["term"]) for r in incremental.load(spark, out).collect()] == [(1, "delta")]
     incremental.apply_delta(spark, out, spark.createDataFrame([(9, "late", False, 1)], schema), 0)
     assert incremental.load(spark, out).count() == 1
+
+
+def test_pdf_reader(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF roses")
+    (tmp_path / "b.pdf").write_bytes(b"broken")
+
+    def reader(data):
+        if not data.startswith(b"%PDF"):
+            raise RuntimeError("no header")
+        return data.decode()
+
+    got = api.index(spark, str(tmp_path), pdf_reader=reader)
+    assert got["files_indexed"] == 2 and got["chunks_created"] == 1
+    assert api.query(spark, "roses", str(tmp_path), mode="keyword")["text"][0]["file"] == "a.pdf"
+
+
+def test_synthetic_files(spark):
+    from skerry.operators.chunking import all_chunks
+    from skerry.sources.synthetic import code_file, corpus, text_file
+
+    assert code_file(7, 3) == code_file(7, 3) != code_file(7, 4) and len(text_file(500, 1)) == 500
+    df = corpus(spark, 6, lines=400)
+    assert [r["type"] for r in df.orderBy("path").collect()].count("code") == 3
+    chunks = all_chunks(df).collect()
+    assert {c["path"] for c in chunks} == {r["path"] for r in df.collect()} and max(c["line_end"] for c in chunks) == 400
