@@ -29,7 +29,7 @@ from skerry.llm.words import spread, word_bpe
 FRAME_IDS = 262_144
 BATCH_BYTES = 3_000_000
 #: Words whose ids a worker remembers at most, before it begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 #: Fixed values of the seekable format.
 SEEK_MAGIC, SKIP_INDEX, SKIP_TABLE, HAS_CHECKSUMS = 0x8F92EAB1, 0x184D2A50, 0x184D2A5E, 0x80
