@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import math
 import os
 import tempfile
 import uuid
@@ -94,7 +95,7 @@ def by_id_order(df: DataFrame, key: str, ahead: bool = False) -> DataFrame:
     spark = df.sparkSession
     n = n_parts(spark)
     probe = df.select(F.col(key).cast("long").alias("k")).agg(
-        F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], F.lit(20 * n + 1000)).alias("q"), F.min("k").alias("lo"), F.count(F.lit(1)).alias("n"), F.count("k").alias("n_keys")
+        F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], F.lit(10 * n + 1000)).alias("q"), F.min("k").alias("lo"), F.count(F.lit(1)).alias("n"), F.count("k").alias("n_keys")
     ).first()
     if probe is None or probe["lo"] is None:
         edges = []
@@ -102,7 +103,6 @@ def by_id_order(df: DataFrame, key: str, ahead: bool = False) -> DataFrame:
         edges = sorted({int(x) for x in probe["q"]} | {int(probe["lo"])})
     k = F.col(key).cast("long")
     low = edges[1:]
-    # the number of bounds at or below the key, by halving
     part = _rank_in(k, low) if low else F.lit(0)
     out = df.withColumn("_part", F.when(k.isNull(), F.lit(0)).otherwise(part).cast("int"))
     parts = len(low) + 1
@@ -119,8 +119,13 @@ def by_id_order(df: DataFrame, key: str, ahead: bool = False) -> DataFrame:
 
 
 def _rank_in(k, edges: list[int]):
-    """How many of ``edges`` (ascending) are at most ``k``."""
-    return F.size(F.filter(F.lit(edges).cast("array<bigint>"), lambda e: e <= k))
+    """How many of ``edges`` (ascending) are at most ``k``: first among every s-th, then within one step of s."""
+    s = max(1, math.isqrt(len(edges)))
+    array = lambda xs: F.lit(xs).cast("array<bigint>")
+    upto = lambda xs: F.size(F.filter(xs, lambda e: e <= k))
+    steps = upto(array(edges[::s]))
+    at = lambda c: F.when(c > 0, (c - 1) * s + upto(F.slice(array(edges), (c - 1) * s + 1, s))).otherwise(0)
+    return F.element_at(F.transform(F.array(steps), at), 1)
 
 
 def give_back() -> None:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import struct
 import uuid
 from collections.abc import Callable, Iterator
 

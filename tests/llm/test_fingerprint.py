@@ -81,3 +81,13 @@ def test_fingerprints_of_odd_rows(spark):
     got = {(r["doc_id"], r["fingerprint"]) for r in fingerprints(docs(spark)).collect()}
     by = dict(got)
     assert by[1] == by[6] and by[2] == by[3] == "" and len(got) == 9
+
+
+def test_ranks_among_bounds(spark):
+    from pyspark.sql import functions as F
+
+    from skerry.llm.common import _rank_in
+
+    for edges in ([5], [1, 2], list(range(0, 300, 3)), [-7, -3, 0, 9, 10, 11, 50]):
+        df = spark.range(-10, 310).select("id", _rank_in(F.col("id"), edges).alias("r"))
+        assert all(r["r"] == sum(e <= r["id"] for e in edges) for r in df.collect())
