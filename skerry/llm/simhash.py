@@ -33,24 +33,28 @@ LARGE = 4096
 # --- fingerprints ---
 
 
-def shingle_hashes(text: str) -> list[int]:
+def shingle_hashes(text: str, size: int = SHINGLE) -> list[int]:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return []
     line = b" ".join(words)
-    if len(words) < SHINGLE:
+    if len(words) < size:
         return [xxhash.xxh64_intdigest(line, SEED)]
     starts = [0, *accumulate([len(w) + 1 for w in words])]
-    stops = [s - 1 for s in starts[SHINGLE:]]
+    stops = [s - 1 for s in starts[size:]]
     return list(map(xxhash.xxh64_intdigest, [line[a:z] for a, z in zip(starts, stops, strict=False)], repeat(SEED)))
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
     """A bit is 1 if it is set in over half the shingles' hashes; 0 for a text without words."""
-    each = [shingle_hashes(t) for t in texts]
+    return majority([np.array(shingle_hashes(t), np.uint64) for t in texts])
+
+
+def majority(each: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each array of hashes."""
     sizes = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.fromiter((h for hs in each for h in hs), np.uint64, int(sizes.sum()))
-    out = np.zeros(len(texts), np.uint64)
+    flat = np.concatenate(each) if each else np.zeros(0, np.uint64)
+    out = np.zeros(len(each), np.uint64)
     some = np.flatnonzero(sizes)
     if not len(some):
         return out
@@ -97,11 +101,11 @@ class GrayIndex:
             self.levels.append((ones, own, 64 - np.bitwise_count(mask).astype(np.int16)))
             above = mask
 
-    def links(self, radius: int = RADIUS, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(self, radius: int = RADIUS, step: int = 512, every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of places in ``codes`` that join all codes within ``radius``, transitively.
 
         A group whose every member is within the radius of the searching code,
-        and hence of each other, gives one pair.
+        and hence of each other, gives one pair; with ``every``, all pairs come.
         """
         depth = len(self.levels)
         for q0 in range(0, len(self.codes), step):
@@ -114,7 +118,10 @@ class GrayIndex:
                 width = FAN ** (depth - 1 - d)
                 keep = (diff <= radius) & ((node + 1) * width > who)  # a pair is found from its first code
                 who, node, diff = who[keep], node[keep], diff[keep]
-                whole = diff + free[node] <= radius
+                if every and d < depth - 1:
+                    whole = np.zeros(len(diff), bool)
+                else:
+                    whole = diff + free[node] <= radius
                 if whole.any():
                     a, b = who[whole], node[whole] * width
                     yield a[a != b], b[a != b]
@@ -282,17 +289,144 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+# --- near copies by similarity ---
+
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: Differing bits within which two texts are compared; at similarity 0.8 one pair in thousands lies beyond.
+WIDE = 20
+#: Smallest shingles, each in an order of its own, that texts meet under: texts of similarity s share one with probability s.
+ANCHORS = 6
+#: Texts under one anchor beyond which they also have to share a second one.
+CROWD = 20_000
+#: Texts of shared anchors up to which their keys are broadcast (8 bytes each).
+BROADCAST_TEXTS = 1_000_000
+_ORDERS = np.array([xxhash.xxh64_intdigest(bytes([i]), 101) | 1 for i in range(ANCHORS)], np.uint64)
+
+
+def similarity_rows(texts: list[str]) -> tuple[list[int], np.ndarray, list[list[int]], list[bytes]]:
+    """(hash of the words, fingerprint, anchors, set of shingles) of each text; sets are of 32-bit halves of the hashes."""
+    sets = [np.unique(np.array(shingle_hashes(t, SIMILAR_WORDS), np.uint64)) for t in texts]
+    keys = [int(np.uint64(xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), 9)).astype(np.int64)) for t in texts]
+    anchors = [(s[:, None] * _ORDERS[None, :]).min(axis=0).view(np.int64).tolist() if len(s) else [] for s in sets]
+    return keys, majority(sets), anchors, [np.unique(s.astype(np.uint32)).tobytes() for s in sets]
+
+
+def similar_pairs(codes: np.ndarray, sets: list[np.ndarray], threshold: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of places that join all texts of a group whose shingle sets are similar, transitively.
+
+    Pairs within WIDE bits come from the index, nearest first; a pair of one
+    part already isn't compared again.
+    """
+    order = np.argsort(gray_rank(codes), kind="stable")
+    label = np.arange(len(codes))
+    out = []
+    for left, right in GrayIndex(codes).links(WIDE, 256, every=True) if len(codes) > 1 else ():
+        a, b = order[left], order[right]
+        near = np.argsort(np.bitwise_count(codes[a] ^ codes[b]), kind="stable")
+        a, b = a[near], b[near]
+        while len(a):
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
+            done = 0
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                done += 1
+                n, m = len(sets[x]), len(sets[y])
+                if label[x] == label[y] or min(n, m) < threshold * max(n, m):
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both >= threshold * (n + m - both) - 1e-9:
+                    label[label == label[y]] = label[x]
+                    out.append((x, y))
+                    break
+            a, b = a[done:], b[done:]
+    return out
+
+
+def _groups(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Whole groups of rows that are sorted by their first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in it:
+        rows = list(zip(*(b.column(i).to_pylist() for i in range(keys)), strict=True))
+        at = 0
+        for i, k in enumerate(rows):
+            if k != last and (held or i > at):
+                if i > at:
+                    held.append(b.slice(at, i - at))
+                yield pa.Table.from_batches(held)
+                held, at = [], i
+            last = k
+        if len(rows) > at:
+            held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _join_similar(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in _groups(it, 2):
+        if t.num_rows < 2:
+            continue
+        keys = t.column(2).to_pylist()
+        codes = np.array(t.column(3).to_pylist(), np.int64).view(np.uint64)
+        pairs = similar_pairs(codes, [np.frombuffer(x, np.uint32) for x in t.column(4).to_pylist()])
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x, _ in pairs], pa.int64()), pa.array([keys[y] for _, y in pairs], pa.int64())], ["a", "b"])
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``component_id`` of every row: texts of five-word similarity 0.8 or more are joined, transitively.
+
+    Equal texts (but for case and white space) are one before anything is
+    compared. Texts that share one of their anchors meet in a group, where the
+    Gray-order index over their SimHashes gives the pairs within WIDE bits, and
+    exact similarity of their shingle sets decides. Only anchors that two texts
+    share are looked at. Nulls, ids and other columns: as ``near_duplicates``.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(it, "text", BATCH_BYTES):
+            keys, fps, anchors, sets = similarity_rows(strings(b.column(1)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(keys, pa.int64()), pa.array(fps.view(np.int64)), pa.array(anchors, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "key", "fp", "anchors", "shingles"]
+            )
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = cut(rows.mapInArrow(run, "doc_id long, key long, fp long, anchors array<long>, shingles binary"))
+    texts = cut(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("anchors").alias("anchors")))
+    under = texts.select("key", "fp", "anchors", F.posexplode("anchors").alias("slot", "anchor")).withColumn("anchor", F.xxhash64("slot", "anchor"))
+    shared = cut(under.groupBy("slot", "anchor").count().filter("count > 1"))
+    if not shared.filter(F.col("count") > CROWD).isEmpty():
+        crowd = shared.filter(F.col("count") > CROWD).select("slot", "anchor")
+        second = under.join(crowd, ["slot", "anchor"], "left_semi").select("key", "fp", "anchors", "slot", "anchor", F.posexplode("anchors").alias("other", "more")).filter("other <> slot")
+        second = second.select("key", "fp", (100 + F.col("slot") * ANCHORS + F.col("other")).alias("slot"), F.xxhash64("anchor", "more").alias("anchor"))
+        first = under.join(shared.filter(F.col("count") <= CROWD), ["slot", "anchor"], "left_semi").select("key", "fp", "slot", "anchor")
+        members = cut(first.unionByName(second))
+    else:
+        members = cut(under.join(shared, ["slot", "anchor"], "left_semi").select("key", "fp", "slot", "anchor"))
+    wanted = cut(members.select("key").distinct())
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    sets = cut(rows.join(few, "key", "left_semi").groupBy("key").agg(F.min("shingles").alias("shingles")))
+    dealt = members.join(sets, "key").select("slot", "anchor", "key", "fp", "shingles").repartition(n_parts(spark), "slot", "anchor").sortWithinPartitions("slot", "anchor", "key")
+    label = components(dealt.mapInArrow(_join_similar, "a long, b long"))
+    joined = cut(texts.join(label, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("label", "key").alias("label")))
+    least = cut(joined.groupBy("label").agg(F.min("first").alias("component_id")))
+    of = cut(joined.join(least, "label").select("key", "component_id"))
+    return rows.select("doc_id", "key").join(of, "key", "left").select("doc_id", "component_id")
+
+
 def hex_of(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those of its smallest document id.
+    """The rows of ``docs`` that stand for their group of similar texts: those of its smallest document id.
 
     Rows that share an id count as one document, of which one row stays; rows
     with null ids stay only where no row of their component has an id.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = similar_texts(docs, id_col, text_col)
     mine = F.col("component_id").eqNullSafe(F.col("doc_id"))
     keep = cut(found.filter(mine).select(F.col("doc_id").alias("__keep_id"), F.lit(1).alias("__one")))
     repeated = not keep.groupBy("__keep_id").count().filter("count > 1").isEmpty()
