@@ -327,8 +327,8 @@ def similar_pairs(codes: np.ndarray, sets: list[np.ndarray], threshold: float =
         while len(a):
             open_ = label[a] != label[b]
             a, b = a[open_], b[open_]
-            done = 0
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            done = joined = 0
+            for x, y in zip(a[:50_000].tolist(), b[:50_000].tolist(), strict=True):
                 done += 1
                 n, m = len(sets[x]), len(sets[y])
                 if label[x] == label[y] or min(n, m) < threshold * max(n, m):
@@ -337,7 +337,9 @@ def similar_pairs(codes: np.ndarray, sets: list[np.ndarray], threshold: float =
                 if both >= threshold * (n + m - both) - 1e-9:
                     label[label == label[y]] = label[x]
                     out.append((x, y))
-                    break
+                    joined += 1
+                    if joined == 16:  # what these have closed is put away at once
+                        break
             a, b = a[done:], b[done:]
     return out
 

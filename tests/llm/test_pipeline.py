@@ -6,7 +6,7 @@ import corpus_pipeline as P
 from conftest import SF
 from helpers import DOCS, ODD, PASSAGE, table
 from test_decontaminate import brute as brute_leaks
-from test_simhash import brute as brute_components
+from test_simhash import brute_similar
 
 from skerry.llm.common import cut, read_table
 from skerry.llm.pii import redact, spans
@@ -23,7 +23,7 @@ def test_equals_brute_force(spark):
     rows = [tuple(r) for r in docs.collect()]
     model = fit(docs, read_table(spark, SF, "labels"))
     rows = [r for r, s in zip(rows, model.score([r[1] for r in rows]), strict=True) if s >= THRESHOLD]
-    keep = {d for d, _, c in brute_components(rows) if d == c}
+    keep = {d for d, c in brute_similar(rows) if d == c}
     rows = [r for r in rows if r[0] in keep]
     bad = {d for d, _ in brute_leaks(rows, [tuple(r) for r in read_table(spark, SF, "benchmark").collect()])}
     rows = [(r[0], redact(r[1], spans(r[1]))) for r in rows if r[0] not in bad]

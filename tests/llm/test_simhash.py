@@ -105,10 +105,66 @@ def test_long_text_in_steps():
     assert int(S.fingerprints(["", t, "a b", t])[1]) == brute_fp(t)
 
 
+def shingle_set(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_similar(rows):
+    """(id, smallest id of those that similarity joins) for rows with ids."""
+    sets = [shingle_set(r[1]) for r in rows]
+    p = list(range(len(rows)))
+
+    def root(x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (not sets[i] and not sets[j]) or both and both >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                p[root(i)] = root(j)
+    first = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            first[root(i)] = min(first.get(root(i), r[0]), r[0])
+    return [(r[0], first.get(root(i))) for i, r in enumerate(rows)]
+
+
+def edited(seed, n=120):
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(500)]
+    base = [[rnd.choice(words) for _ in range(rnd.choice((3, 8, 60, 200)))] for _ in range(12)]
+    rows = []
+    for d in range(n):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.choice((0, 0, 1, 1, 2, 3))):
+            w[rnd.randrange(len(w))] = rnd.choice(words)
+        rows.append((d, " ".join(w).upper() if d % 3 == 0 else "  ".join(w), "en", "s", 1))
+    return rows
+
+
+@pytest.mark.parametrize("crowd", [20_000, 3])
+def test_similar_texts_equal_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(S, "CROWD", crowd)
+    for rows in (edited(1), ODD, []):
+        got = multiset((r["doc_id"], r["component_id"]) for r in S.similar_texts(docs(spark, rows)).collect())
+        assert got == multiset(brute_similar(rows))
+
+
+def test_all_pairs_of_the_index():
+    codes = clusters(5)
+    g = S.GrayIndex(codes)
+    got = {tuple(sorted((int(g.codes[x]), int(g.codes[y])))) for a, b in g.links(20, 64, every=True) for x, y in zip(a, b, strict=True)}
+    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 20
+    assert got == {tuple(sorted((int(codes[i]), int(codes[j])))) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)}
+
+
 def test_keep_one(spark):
-    d = docs(spark)
-    got = S.keep_one(d)
-    assert got.schema == d.schema
-    ids = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got.select("doc_id").collect())
-    want = {c for d, _, c in brute(ODD) if c == d}
-    assert {i for ok, i in ids if ok} | ({None} if (False, 0) in ids else set()) == want and len(ids) == len(want)
+    for rows in (ODD, edited(2)):
+        d = docs(spark, rows)
+        got = S.keep_one(d)
+        assert got.schema == d.schema
+        ids = [r["doc_id"] for r in got.select("doc_id").collect()]
+        assert multiset(ids) == multiset({c for i, c in brute_similar(rows) if c == i})
