@@ -22,11 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import batches_of, cut, ship, strings
+from skerry.llm.common import batches_of, cut, give_back, ship, strings
 
 #: Rows that the classifier is fitted on at most (all labelled rows up to that; beyond, those of the smallest hashes).
 SAMPLE_ROWS = 20_000
-#: Tasks over the sample; each sends one table of context sums (3 MB) to the driver.
+#: Tasks over the sample; each makes one table of context sums (3 MB).
 SAMPLE_PARTS = 12
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 48, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 20, 256, 2e-3, 1e-3
@@ -236,9 +236,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             total += contexts(strings(b.column(1)))
         yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
 
-    # sums of whole numbers: exact in any order
-    sums = sample.select("id", "text").coalesce(SAMPLE_PARTS).mapInArrow(count, "sums binary").collect()
-    context = np.sum([np.frombuffer(r["sums"], np.float32).reshape(BUCKETS, DIM) for r in sums], axis=0, dtype=np.float32) if sums else np.zeros((BUCKETS, DIM), np.float32)
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BUCKETS, DIM), np.float32)
+        for b in it:
+            for x in b.column(0).to_pylist():
+                total += np.frombuffer(x, np.float32).reshape(BUCKETS, DIM)
+        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+
+    # sums of whole numbers: exact in any order; one task adds the few tables, the driver gets one
+    each = sample.select("id", "text").coalesce(SAMPLE_PARTS).mapInArrow(count, "sums binary")
+    context = np.frombuffer(each.repartition(1).mapInArrow(add, "sums binary").first()["sums"], np.float32).reshape(BUCKETS, DIM)
     size = np.linalg.norm(context, axis=1, keepdims=True)
     context = (context / np.maximum(size, 1e-9)).astype(np.float32)
 
@@ -250,7 +257,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = sample.select("id", "text", "y").mapInArrow(pool, "id long, y int, x binary").collect()
     got.sort(key=lambda r: (r["id"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float64).reshape(len(got), 2 * DIM + 1)
-    return train(x, np.array([r["y"] for r in got], np.float64), context)
+    y = np.array([r["y"] for r in got], np.float64)
+    del got
+    model = train(x, y, context)
+    del x
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
