@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.license_rules import RULES, STEMS
+from skerry.llm.license_rules import NARROW, RULES, STEMS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A character of a word in lower-cased text, and one that isn't.
@@ -106,7 +106,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     other columns are left out; an empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    gate = reduce(lambda a, b: a | b, [F.contains(F.lower("_text"), F.lit(x)) for x in STEMS])
+    has_stem = lambda x: F.contains(F.lower("_text"), F.lit(x))
+    gate = reduce(lambda a, b: a | b, [has_stem(x) & F.lower("_text").rlike(java_pattern(NARROW[x])) if x in NARROW else has_stem(x) for x in STEMS])
     base = "|".join(f"(?:{_phrase(p)})" for p in PHRASES)
     none = F.lit(None).cast("long")
 

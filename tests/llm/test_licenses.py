@@ -67,3 +67,50 @@ def test_suppression(spark):
     rows = [(1, "Licensed under the Apache License, Version 2.0.", None, None, None), (2, "GNU Lesser General Public License version 2.1", None, None, None)]
     got = {r["doc_id"]: [d["label"] for d in r["detections"]] for r in scan(docs(spark, rows)).collect()}
     assert got == {1: ["apache-2.0"], 2: ["lgpl-2.1"]}
+
+
+def sample(rnd, nodes, sep):
+    """A text that the parsed pattern matches; ``sep`` stands where words may be parted."""
+    out = ""
+    for op, arg in nodes:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "NOT_LITERAL":
+            out += ","
+        elif op == "BRANCH":
+            out += sample(rnd, rnd.choice(arg[1]), sep)
+        elif op == "SUBPATTERN":
+            out += sample(rnd, arg[-1], sep)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sample(rnd, arg[2], sep) for _ in range(rnd.randint(arg[0], min(arg[1], max(arg[0], 2)))))
+        elif op == "IN":
+            fits = [c for c in (sep, ",", "x", "c", "s", "2") if any(str(k) == "LITERAL" and chr(v) == c or str(k) == "RANGE" and v[0] <= ord(c) <= v[1] or str(k) == "CATEGORY" and c == "x" for k, v in arg)]
+            out += "," if str(arg[0][0]) == "NEGATE" else fits[0]
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_no_gate_keeps_a_rule_from_a_match(spark):
+    rnd = random.Random(7)
+    rows = []
+    for label, _, keywords, pattern in RULES:
+        for sep in "\n -\t":
+            for _ in range(6):
+                t = sample(rnd, re._parser.parse(pattern.pattern), sep)
+                assert pattern.search(t), (pattern.pattern, t)
+                assert all(k in t for k in keywords), (label, keywords, t)
+                assert any(x in t for x in STEMS), (label, t)
+                rows.append((len(rows), t, None, None, None))
+    got = {r["doc_id"]: r["detections"] for r in scan(docs(spark, rows)).collect()}
+    assert all(got[d] for d, *_ in rows)
+
+
+def test_words_parted_by_line_ends(spark):
+    texts = {
+        "gpl-3.0": "GNU General Public\nLicense, version 3", "apache-2.0": "Apache\n License, Version 2.0", "cc-by": "Creative  Commons\nAttribution", "mpl-2.0": "Mozilla-Public-License 2.0",
+        "cc-by-sa-4.0": "CC BY-SA 4.0", "perl": "under the same terms as\nPerl itself", "openrail": "Open RAIL-M license", "public-domain": "released into the Public\nDomain",
+    }
+    got = {r["doc_id"]: {d["label"] for d in r["detections"]} for r in scan(docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts.values())])).collect()}
+    assert all(label in got[i] for i, label in enumerate(texts)), got
