@@ -3,13 +3,16 @@
 Tags with their path, and text blocks with their path, are tokens. A token's
 occurrence vector says how often each of the host's pages has it; the vector is
 kept as a sum over pages of count times a hash of the page, which aggregates
-anywhere in any order. Tokens of equal vectors form an equivalence class.
-Classes that occur in all of a host's pages, once each, are its template; a
-page's tokens of the class must stand in the template's order (else the page is
-read without one), and classes nest by their paths. Text that is itself in the
-template is constant; what remains between its tags are slots. The slot that
-holds the article is the page's article or main element; where the markup
-names none, the template's container with the most unlinked slot text.
+anywhere in any order. Tokens of equal vectors form an equivalence class, on
+however many of the host's pages and however often on each, from a support of
+SUPPORT pages and SHARE of the host's; a lone token is none, as a sentence that
+articles repeat has no vector but its own. Classes are the host's template. A page
+may lack any of them, and has a class if it holds its tokens equally often and
+in the class's order, turn by turn; the others are left out for that page.
+Text that is itself in a class of the page is constant; what remains between
+its tags are slots. The slot that holds the article is the page's article or
+main element; where the markup names none, the deepest of the template's
+containers on the page with nearly the most unlinked slot text.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from pyspark.sql import functions as F
 from skerry.llm.common import batches_of, cut, ship, strings
 
 BATCH_BYTES = 4_000_000
-#: A host's pages from which a text that all of them have counts as constant.
-LEAST_PAGES = 5
+#: Pages, and share of a host's pages, from which a token is taken for template rather than for copied text; the share bounds
+#: a host's template by the tokens of 1 / SHARE mean pages, however many pages it has.
+SUPPORT, SHARE = 3, 0.2
 #: Bytes of templates up to which they are broadcast; beyond, pages are joined by host.
 BROADCAST_BYTES = 8_000_000
 
@@ -193,6 +197,17 @@ class Page:
                 self.tags.append((path, len(self.blocks)))
         flush()
 
+    def sequence(self) -> Iterator[tuple[str, str, str, int, bool]]:
+        """Tags and blocks in the order of the page: kind, path, text, unlinked characters, whether it is chaff."""
+        at = 0
+        for i, (path, text, free, _, chaff) in enumerate(self.blocks):
+            while at < len(self.tags) and self.tags[at][1] <= i:
+                yield "tag", self.tags[at][0], "", 0, False
+                at += 1
+            yield "text", path, text, free, chaff
+        for path, _ in self.tags[at:]:
+            yield "tag", path, "", 0, False
+
     def text(self, constants: frozenset[int] = frozenset(), container: str | None = None) -> str:
         keep = [b for b in self.blocks if not b[4]]
         for kind in ("article", "main", "named"):
@@ -227,17 +242,16 @@ def host_of(url: str | None) -> str:
 
 
 def _emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each token of each page: its count, its place and the unlinked text below it."""
+    """A row for each token of each page: its count, its place and the unlinked text below it; and one for the page."""
     for b in batches_of(it, "html", BATCH_BYTES):
-        cols: list[list] = [[] for _ in range(8)]
+        cols: list[list] = [[] for _ in range(7)]
         for url, source in zip(b.column(1).to_pylist(), strings(b.column(2)), strict=True):
             page = Page(source)
             key = xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass"), 5)
-            seen: dict[tuple[str, str, str], list[int]] = {}
-            for i, (path, _) in enumerate(page.tags):
-                seen.setdefault(("tag", path, ""), [0, i, 0])[0] += 1
-            for i, (path, text, free, _, chaff) in enumerate(page.blocks):
-                seen.setdefault(("text", path, text), [0, i, 0])[0] += 1
+            seen: dict[tuple[str, str, str], list[int]] = {("page", "", ""): [1, 0, 0]}
+            for i, (kind, path, text, _, _) in enumerate(page.sequence()):
+                seen.setdefault((kind, path, text), [0, i, 0])[0] += 1
+            for path, _, free, _, chaff in page.blocks:
                 while not chaff and path:
                     if ("tag", path, "") in seen:
                         seen["tag", path, ""][2] += free
@@ -245,50 +259,67 @@ def _emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = host_of(url)
             for (kind, path, text), (n, place, free) in seen.items():
                 sign = n * key & 0xFFFFFFFF  # of the vector: sums of 32-bit parts stay within a long
-                for col, x in zip(cols, (host, token(kind, path, text), kind, path, n, sign, place, free), strict=True):
+                for col, x in zip(cols, (host, token(kind, path, text), kind == "page", n, sign, place, free), strict=True):
                     col.append(x)
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "token", "kind", "path", "n", "sign", "place", "free"])
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "token", "page", "n", "sign", "place", "free"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, constants, container) of hosts whose template has something to say.
+    """(host, pages, constants, free): the equivalence classes of each host.
 
-    ``pages`` has page_id, url and html. Every step is a pre-aggregated sum by
-    host and token; what is gathered for a host are tokens that every one of
-    its pages has, no more than its shortest page.
+    ``constants`` are the class's tokens in order, ``free`` the unlinked
+    characters below each on a mean page. ``pages`` has page_id, url and html.
+    Every step is a pre-aggregated sum by host and token; what is gathered for
+    a host are tokens that SHARE of its pages have.
     """
-    tokens = pages.select("page_id", "url", "html").mapInArrow(_emit, "host string, token long, kind string, path string, n long, sign long, place long, free long")
-    by_token = tokens.groupBy("host", "token", "kind", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("sign").alias("vector"), F.sum("place").alias("place"), F.sum("free").alias("free"))
-    by_token = cut(by_token.filter("pages >= 2"))
-    most = by_token.groupBy("host").agg(F.max("pages").alias("all"))
-    root = by_token.join(most, "host").filter((F.col("pages") == F.col("all")) & (F.col("n") == F.col("all")))
-    # equivalence classes: equal occurrence vectors; valid ones have two tokens or more
-    classes = root.groupBy("host", "vector", "all").agg(
-        F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list(F.struct("place", "token", "kind", "path", "free"))).alias("members")
-    ).filter("size >= 2")
-    texts = F.transform(F.filter("members", lambda x: (x["kind"] == "text") & (F.col("all") >= LEAST_PAGES)), lambda x: x["token"])
-    tags = F.filter("members", lambda x: (x["kind"] == "tag") & (x["free"] > 0))
-    # the deepest of the containers that hold nearly all of the slot text
-    best = F.array_max(F.transform(tags, lambda x: x["free"]))
-    deep = F.array_max(F.transform(F.filter(tags, lambda x: x["free"] >= 0.9 * best), lambda x: F.struct(F.length(x["path"]).alias("n"), x["path"].alias("path"))))["path"]
-    order = F.transform(F.filter("members", lambda x: x["kind"] == "tag"), lambda x: x["token"])
-    return classes.select("host", texts.alias("constants"), deep.alias("container"), order.alias("frame"))
+    tokens = pages.select("page_id", "url", "html").mapInArrow(_emit, "host string, token long, page boolean, n long, sign long, place long, free long")
+    by_token = tokens.groupBy("host", "token", "page").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("sign").alias("vector"), F.sum("place").alias("place"), F.sum("free").alias("free"))
+    by_token = cut(by_token.filter(F.col("pages") >= SUPPORT))
+    most = by_token.filter("page").select("host", F.col("pages").alias("all"))
+    often = by_token.filter("not page").join(most, "host").filter(F.col("pages") >= SHARE * F.col("all"))
+    member = F.struct("place", "token", (F.col("free") / F.col("pages")).alias("free"))
+    classes = often.groupBy("host", "vector", "pages", "n").agg(F.array_sort(F.collect_list(member)).alias("members")).filter(F.size("members") >= 2)
+    return classes.select("host", "pages", F.transform("members", lambda x: x["token"]).alias("constants"), F.transform("members", lambda x: x["free"]).alias("free"))
+
+
+def in_turn(places: list[list[int]]) -> bool:
+    """Whether all members occur equally often, first to last, and then again."""
+    if len({len(p) for p in places}) != 1:
+        return False
+    turns = [x for turn in zip(*places, strict=True) for x in turn]
+    return all(x < y for x, y in zip(turns, turns[1:], strict=False))
+
+
+def read_by(page: Page, classes: list[dict]) -> tuple[frozenset[int], str | None]:
+    """(constants, container) of a page: those of the classes that it has."""
+    wanted = {t for c in classes for t in c["constants"]}
+    places: dict[int, list[int]] = {}
+    paths: dict[int, str] = {}
+    for i, (kind, path, text, _, _) in enumerate(page.sequence()):
+        t = token(kind, path, text)
+        if t in wanted:
+            places.setdefault(t, []).append(i)
+            if kind == "tag":
+                paths[t] = path
+    has = [c for c in classes if all(t in places for t in c["constants"]) and in_turn([places[t] for t in c["constants"]])]
+    tags = [(free, paths[t]) for c in has for t, free in zip(c["constants"], c["free"], strict=True) if t in paths and len(places[t]) == 1 and free > 0]
+    best = max((free for free, _ in tags), default=0)
+    deep = max(((len(path), path) for free, path in tags if free >= 0.9 * best), default=(0, None))[1]
+    return frozenset(t for c in has for t in c["constants"] if t not in paths), deep
 
 
 def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, list[dict] | None] = {}
     for b in batches_of(it, "html", BATCH_BYTES):
         out = []
-        for source, constants, container, frame in zip(strings(b.column(2)), *(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+        for i, (source, host) in enumerate(zip(strings(b.column(2)), b.column(3).to_pylist(), strict=True)):
+            if host not in known:
+                if len(known) >= 1000:
+                    known.clear()
+                known[host] = b.column(4)[i].as_py()
             page = Page(source)
-            if frame and (constants or container):
-                want, i = frame, 0
-                for path, _ in page.tags:
-                    if i < len(want) and token("tag", path) == want[i]:
-                        i += 1
-                if i < len(want):  # not in the template's order
-                    constants, container = [], None
-            out.append(page.text(frozenset(constants or ()), container))
+            out.append(page.text(*read_by(page, known[host])) if known[host] else page.text())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
@@ -302,12 +333,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     spark = pages.sparkSession
     ship(spark)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    known = cut(templates(rows).withColumn("_bytes", F.size("constants") * 8 + F.size("frame") * 8 + F.length(F.coalesce("container", F.lit(""))) + 64))
+    known = cut(templates(rows).withColumn("_bytes", F.size("constants") * 16 + 64))
     size = known.agg(F.sum("_bytes")).first()[0] or 0
-    known = known.groupBy(F.col("host").alias("_host")).agg(F.max_by(F.struct("constants", "container", "frame"), F.size("frame")).alias("t"))
+    known = known.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct("constants", "free")).alias("t"))
     if size <= BROADCAST_BYTES:
         known = F.broadcast(known)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    joined = rows.withColumn("_h", host).join(known, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "t.constants", "t.container", "t.frame")
+    joined = rows.withColumn("_h", host).join(known, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "_h", "t")
     kind = dict(rows.dtypes)["page_id"]
     return joined.mapInArrow(_extract, f"page_id {kind}, url string, text string")

@@ -56,6 +56,19 @@ def test_template_of_a_host(spark):
     assert "Story 1" in got[103] and "Story 5" in got[200]
 
 
+def test_template_survives_odd_pages_and_repeats(spark):
+    """A stub, a cut page, optional and repeated blocks and small hosts: each page is read by the classes that it has."""
+    often = "<div class=x4><p>Read our other tales</p></div>"
+    far = 'and tells of many a far land beyond the sea'
+    rows = [(i, "https://h.example/x", page(i, far) + often * 2) for i in range(8)] + [(20 + i, "https://h.example/x", page(20 + i, far).replace("<div class=x2>", often + "<div class=x2>")) for i in range(4)]
+    rows += [(90, "https://h.example/x", "<p>moved</p>"), (91, "https://h.example/x", page(91, far)[: page(91, far).index("<p>Part")])] + [(100 + i, "https://few.example/", page(i, far)) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in [*range(8), *range(20, 24)]:
+        assert got[i] == f"Story {i} begins here and goes on {far}\nPart two of {i}"
+    assert got[90] == "moved" and got[91] == f"Story 91 begins here and goes on {far}"
+    assert all(got[100 + i] == f"Story {i} begins here and goes on {far}\nPart two of {i}" for i in range(3))
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(1, None, None), (None, "not a url", "<article>x</article>"), (2, "http://[bad", ""), (3, "https://a.b/", "<article>y</article>"), (3, "https://a.b/", "<article>y</article>"), (4, "u", "<p>" + "long " * 200_000)]
     got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in op3_html(spark, table(spark, tmp_path, "pages", rows, PAGES)).collect()), key=str)
