@@ -11,6 +11,7 @@ their remaining 32 bits, which bounds any group by 65,536 fingerprints.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations, repeat
 
@@ -296,8 +297,8 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 WIDE = 20
 #: Smallest shingles, each in an order of its own, that texts meet under: texts of similarity s share one with probability s.
 ANCHORS = 6
-#: Texts under one anchor beyond which they also have to share a second one.
-CROWD = 20_000
+#: Texts, and bytes of their shingle sets, that meet at once; a larger group is divided by sizes and by pairs of blocks, without loss.
+CROWD, CROWD_BYTES = 20_000, 32_000_000
 #: Texts of shared anchors up to which their keys are broadcast (8 bytes each).
 BROADCAST_TEXTS = 1_000_000
 _ORDERS = np.array([xxhash.xxh64_intdigest(bytes([i]), 101) | 1 for i in range(ANCHORS)], np.uint64)
@@ -375,6 +376,26 @@ def _join_similar(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x, _ in pairs], pa.int64()), pa.array([keys[y] for _, y in pairs], pa.int64())], ["a", "b"])
 
 
+def divided(crowded: DataFrame) -> DataFrame:
+    """(key, fp, slot, anchor): groups of at most about 2 x CROWD texts in which all pairs meet that can be similar.
+
+    ``crowded`` has key, fp, n (the size of the shingle set), slot and anchor.
+    Sets of similarity SIMILARITY differ in size by that factor at most: with
+    bands a little wider they lie in one band or in two that follow each other,
+    so each set goes to its own band and to the next. A band's texts are dealt
+    to blocks by hash, and every two blocks make a group.
+    """
+    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / -math.log(SIMILARITY - 0.01))
+    by_band = crowded.select("key", "fp", "n", "slot", "anchor", F.explode(F.array(band, band + 1)).alias("band"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CROWD, F.sum("n") * 4 / CROWD_BYTES)).cast("int")
+    sizes = cut(by_band.groupBy("slot", "anchor", "band").agg(F.count(F.lit(1)).alias("count"), blocks.alias("blocks")).filter("count > 1"))
+    dealt = by_band.join(F.broadcast(sizes), ["slot", "anchor", "band"]).withColumn("mine", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: (i != F.col("mine")) | (F.col("blocks") == 1))
+    pairs = dealt.select("key", "fp", "slot", "anchor", "band", "mine", F.explode(others).alias("other"))
+    group = F.xxhash64("anchor", "band", F.least("mine", "other"), F.greatest("mine", "other"))
+    return pairs.select("key", "fp", (F.col("slot") + 100).alias("slot"), group.alias("anchor"))
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``component_id`` of every row: texts of five-word similarity 0.8 or more are joined, transitively.
 
@@ -382,7 +403,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     compared. Texts that share one of their anchors meet in a group, where the
     Gray-order index over their SimHashes gives the pairs within WIDE bits, and
     exact similarity of their shingle sets decides. Only anchors that two texts
-    share are looked at. Nulls, ids and other columns: as ``near_duplicates``.
+    share are looked at; a group of any size is compared whole, in parts that
+    fit a task. Nulls, ids and other columns: as ``near_duplicates``.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -396,15 +418,13 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(rows.mapInArrow(run, "doc_id long, key long, fp long, anchors array<long>, shingles binary"))
-    texts = cut(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("anchors").alias("anchors")))
-    under = texts.select("key", "fp", "anchors", F.posexplode("anchors").alias("slot", "anchor")).withColumn("anchor", F.xxhash64("slot", "anchor"))
-    shared = cut(under.groupBy("slot", "anchor").count().filter("count > 1"))
-    if not shared.filter(F.col("count") > CROWD).isEmpty():
-        crowd = shared.filter(F.col("count") > CROWD).select("slot", "anchor")
-        second = under.join(crowd, ["slot", "anchor"], "left_semi").select("key", "fp", "anchors", "slot", "anchor", F.posexplode("anchors").alias("other", "more")).filter("other <> slot")
-        second = second.select("key", "fp", (100 + F.col("slot") * ANCHORS + F.col("other")).alias("slot"), F.xxhash64("anchor", "more").alias("anchor"))
-        first = under.join(shared.filter(F.col("count") <= CROWD), ["slot", "anchor"], "left_semi").select("key", "fp", "slot", "anchor")
-        members = cut(first.unionByName(second))
+    texts = cut(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("anchors").alias("anchors"), F.min(F.length("shingles") / 4).cast("long").alias("n")))
+    under = texts.select("key", "fp", "n", F.posexplode("anchors").alias("slot", "anchor")).withColumn("anchor", F.xxhash64("slot", "anchor"))
+    shared = cut(under.groupBy("slot", "anchor").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n")).filter("count > 1"))
+    crowd = (F.col("count") > CROWD) | (F.col("n") * 4 > CROWD_BYTES)
+    if not shared.filter(crowd).isEmpty():
+        first = under.join(shared.filter(~crowd), ["slot", "anchor"], "left_semi").select("key", "fp", "slot", "anchor")
+        members = cut(first.unionByName(divided(under.join(F.broadcast(shared.filter(crowd)), ["slot", "anchor"], "left_semi"))))
     else:
         members = cut(under.join(shared, ["slot", "anchor"], "left_semi").select("key", "fp", "slot", "anchor"))
     wanted = cut(members.select("key").distinct())

@@ -153,6 +153,32 @@ def test_similar_texts_equal_brute_force(spark, monkeypatch, crowd):
         assert got == multiset(brute_similar(rows))
 
 
+def test_crowded_groups_lose_no_pair(spark, monkeypatch):
+    """Two texts of similarity 0.8 whose only common anchor is that of a crowd."""
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    while True:
+        a = [word() for _ in range(49)]
+        b = [*a[:-5], *(word() for _ in range(5))]
+        _, fps, (x, y), _ = S.similarity_rows([" ".join(a), " ".join(b)])
+        same = [i for i in range(S.ANCHORS) if x[i] == y[i]]
+        if len(same) == 1 and (int(fps[0]) ^ int(fps[1])).bit_count() <= S.WIDE:
+            break
+    at = same[0]
+    passage = next(a[i : i + 5] for i in range(45) if S.similarity_rows([" ".join(a[i : i + 5])])[2][0][at] == x[at])
+    texts = [" ".join(a), " ".join(b)]
+    while len(texts) < 30:
+        t = " ".join([*passage, *(word() for _ in range(rnd.choice((1, 3, 20, 44))))])
+        if S.similarity_rows([t])[2][0][at] == x[at]:
+            texts.append(t)
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    for crowd, most in ((4, S.CROWD_BYTES), (20_000, 400)):
+        monkeypatch.setattr(S, "CROWD", crowd)
+        monkeypatch.setattr(S, "CROWD_BYTES", most)
+        got = {r["doc_id"]: r["component_id"] for r in S.similar_texts(docs(spark, rows)).collect()}
+        assert got[1] == 0 and multiset(got.items()) == multiset(brute_similar(rows))
+
+
 def test_all_pairs_of_the_index():
     codes = clusters(5)
     g = S.GrayIndex(codes)
