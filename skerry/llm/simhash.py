@@ -18,7 +18,7 @@ from itertools import accumulate, combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.common import batches_of, cut, n_parts, ship, strings
@@ -406,6 +406,13 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share are looked at; a group of any size is compared whole, in parts that
     fit a task. Nulls, ids and other columns: as ``near_duplicates``.
     """
+    rows, joined, least = _similar(docs, id_col, text_col)
+    of = cut(joined.select("key", "label").join(least, "label").select("key", F.col("first.doc_id").alias("component_id")))
+    return rows.select("doc_id", "key").join(of, "key", "left").select("doc_id", "component_id")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows (doc_id, text_hash, key and more), each text's (key, label), and each label's ``first`` row by id (null last) and hash."""
     spark = docs.sparkSession
     ship(spark)
 
@@ -413,18 +420,21 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches_of(it, "text", BATCH_BYTES):
             keys, fps, anchors, sets = similarity_rows(strings(b.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.int64()), pa.array(fps.view(np.int64)), pa.array(anchors, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "key", "fp", "anchors", "shingles"]
+                [b.column(0), b.column(2), pa.array(keys, pa.int64()), pa.array(fps.view(np.int64)), pa.array(anchors, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+                ["doc_id", "text_hash", "key", "fp", "anchors", "shingles"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(rows.mapInArrow(run, "doc_id long, key long, fp long, anchors array<long>, shingles binary"))
-    texts = cut(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("anchors").alias("anchors"), F.min(F.length("shingles") / 4).cast("long").alias("n")))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    rows = cut(rows.mapInArrow(run, "doc_id long, text_hash long, key long, fp long, anchors array<long>, shingles binary"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    texts = cut(rows.groupBy("key").agg(first, F.min("fp").alias("fp"), F.min("anchors").alias("anchors"), F.min(F.length("shingles") / 4).cast("long").alias("n")))
     under = texts.select("key", "fp", "n", F.posexplode("anchors").alias("slot", "anchor")).withColumn("anchor", F.xxhash64("slot", "anchor"))
     shared = cut(under.groupBy("slot", "anchor").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n")).filter("count > 1"))
     crowd = (F.col("count") > CROWD) | (F.col("n") * 4 > CROWD_BYTES)
     if not shared.filter(crowd).isEmpty():
-        first = under.join(shared.filter(~crowd), ["slot", "anchor"], "left_semi").select("key", "fp", "slot", "anchor")
-        members = cut(first.unionByName(divided(under.join(F.broadcast(shared.filter(crowd)), ["slot", "anchor"], "left_semi"))))
+        usual = under.join(shared.filter(~crowd), ["slot", "anchor"], "left_semi").select("key", "fp", "slot", "anchor")
+        members = cut(usual.unionByName(divided(under.join(F.broadcast(shared.filter(crowd)), ["slot", "anchor"], "left_semi"))))
     else:
         members = cut(under.join(shared, ["slot", "anchor"], "left_semi").select("key", "fp", "slot", "anchor"))
     wanted = cut(members.select("key").distinct())
@@ -433,9 +443,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = members.join(sets, "key").select("slot", "anchor", "key", "fp", "shingles").repartition(n_parts(spark), "slot", "anchor").sortWithinPartitions("slot", "anchor", "key")
     label = components(dealt.mapInArrow(_join_similar, "a long, b long"))
     joined = cut(texts.join(label, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("label", "key").alias("label")))
-    least = cut(joined.groupBy("label").agg(F.min("first").alias("component_id")))
-    of = cut(joined.join(least, "label").select("key", "component_id"))
-    return rows.select("doc_id", "key").join(of, "key", "left").select("doc_id", "component_id")
+    least = cut(joined.groupBy("label").agg(F.min("first").alias("first")))
+    return rows, joined, least
 
 
 def hex_of(fp: str) -> Column:
@@ -443,16 +452,18 @@ def hex_of(fp: str) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their group of similar texts: those of its smallest document id.
+    """One row of ``docs`` for each group of similar texts: that of its smallest document id, null last.
 
-    Rows that share an id count as one document, of which one row stays; rows
-    with null ids stay only where no row of their component has an id.
+    Of several texts of that id the one of the smallest hash stays, of rows
+    that share both the first by a hash of all columns.
     """
-    found = similar_texts(docs, id_col, text_col)
-    mine = F.col("component_id").eqNullSafe(F.col("doc_id"))
-    keep = cut(found.filter(mine).select(F.col("doc_id").alias("__keep_id"), F.lit(1).alias("__one")))
-    repeated = not keep.groupBy("__keep_id").count().filter("count > 1").isEmpty()
+    rows, _, least = _similar(docs, id_col, text_col)
+    keep = cut(least.select(F.col("first.doc_id").alias("__keep_id"), F.col("first.text_hash").alias("__keep_hash")))
+    repeated = not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
+    text = F.xxhash64(F.col(text_col).cast("string"))
     # as many as the documents that stay: never broadcast
-    out = docs.join(keep.select("__keep_id").distinct().hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi")
-    return out.dropDuplicates([id_col]) if repeated else out
-
+    out = docs.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep_id")) & (text == F.col("__keep_hash")), "left_semi")
+    if repeated:
+        order = Window.partitionBy(id_col, text_col).orderBy(F.xxhash64(*docs.columns))
+        out = out.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
+    return out

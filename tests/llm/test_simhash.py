@@ -194,3 +194,19 @@ def test_keep_one(spark):
         assert got.schema == d.schema
         ids = [r["doc_id"] for r in got.select("doc_id").collect()]
         assert multiset(ids) == multiset({c for i, c in brute_similar(rows) if c == i})
+
+
+def test_keep_one_of_each_group_whatever_the_ids(spark):
+    """Unlike texts of null ids, or of one id, all stay; of similar ones one does."""
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    near = text[0] + " more"
+    rows = [(None, text[0], "en", "s", 1), (None, near, "en", "s", 1), (None, text[1], "en", "s", 1), (None, text[1], "en", "s", 1)]
+    rows += [(9, text[2], "en", "s", 1), (9, text[3], "de", "s", 1), (9, text[3], "en", "s", 1), (8, text[4], "en", "s", 1), (None, text[4], "en", "s", 1), (7, text[5], "en", "s", 1)]
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        got = [tuple(r) for r in S.keep_one(docs(spark, rows, extra=False).repartition(3)).collect()]
+        of_null = [t for d, t, *_ in got if d is None]
+        assert len(of_null) == 2 and text[1] in of_null and (text[0] in of_null) != (near in of_null)
+        assert multiset((d, t) for d, t, *_ in got if d is not None) == multiset([(9, text[2]), (9, text[3]), (8, text[4]), (7, text[5])])
+        assert seed == 0 or multiset(got) == last
+        last = multiset(got)
