@@ -82,6 +82,27 @@ def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Rows of one key from which it is looked up apart, and the number of such keys at most (the most frequent).
+OFTEN, OFTEN_KEYS = 50_000, 10_000
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns that ``table`` (distinct keys) has for their ``key``, null where it has none.
+
+    A key may hold any share of the rows: the most frequent, OFTEN_KEYS at
+    most, are broadcast with their values, so that their rows stay where they
+    are; a shuffle gathers no more of another key than OFTEN or rows / OFTEN_KEYS.
+    """
+    often = cut(rows.groupBy(key).count().filter((F.col("count") > OFTEN) & F.col(key).isNotNull()).orderBy(F.desc("count"), key).limit(OFTEN_KEYS).select(key))
+    columns = [*rows.columns, *[c for c in table.columns if c != key]]
+    if often.isEmpty():
+        return rows.join(table, key, "left").select(columns)
+    few = F.broadcast(often)
+    hot = cut(table.join(few, key, "left_semi"))
+    apart = rows.join(few, key, "left_semi").join(F.broadcast(hot), key, "left").select(columns)
+    return apart.unionByName(rows.join(few, key, "left_anti").join(table, key, "left").select(columns))
+
+
 def by_id_order(df: DataFrame, key: str, ahead: bool = False) -> DataFrame:
     """Rows of ``df`` in ascending ``key`` (a long; null first) over numbered partitions.
 

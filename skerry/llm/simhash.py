@@ -1,34 +1,41 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-Fingerprints that agree on two of four 16-bit blocks meet in one group (any two
-within two bits agree on two blocks at least). A group's fingerprints are
-sorted by Gray rank, so that neighbours share long bit patterns; upper nodes
-hold the bits that their whole group shares, children only what is left, and a
-search adds up differences on its way down and drops a group as soon as they
-pass the radius. Groups that would grow large are dealt out again by blocks of
-their remaining 32 bits, which bounds any group by 65,536 fingerprints.
+Two fingerprints within two bits agree on one of three 21-bit blocks at least.
+For each block there is a table of all distinct fingerprints with that block's
+bits moved to the front, sorted by Gray rank over its whole length and dealt in
+ranges. A range is a tree: upper nodes hold the bits that their whole group
+shares, children only what is left, and a search adds up differences on its way
+down and drops a group as soon as they pass the radius, or touch the leading
+block (the pair then stands in another table). All links come from that search.
+Where many fingerprints share a leading block, they go on to tables that also
+put a block of the remaining bits to the front, level by level, which bounds
+the fingerprints under one leading pattern by 1,024.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate, combinations, repeat
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import batches_of, cut, n_parts, ship, strings
+from skerry.llm.common import batches_of, cut, look_up, n_parts, ship, strings
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BATCH_BYTES = 2_000_000
-#: Children of a node; a group of as many is one leaf.
+#: Children of a node.
 FAN = 8
-#: Fingerprints in a group beyond which it is dealt out by its remaining bits.
+#: Fingerprints under one leading pattern beyond which they go on to the next level of tables.
 LARGE = 4096
+#: Fingerprints of a range from which its next group begins a tree of its own.
+RANGE = 8192
+#: Width of the three blocks that each level may move to the front; what is left over (1, 1, 2, 2 and 2 bits) leads in no table.
+WIDTHS = (21, 14, 9, 6, 4)
 
 
 # --- fingerprints ---
@@ -85,10 +92,14 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Distinct 64-bit codes in Gray order under a tree of shared bit patterns."""
+    """Distinct 64-bit codes in Gray order under a tree of shared bit patterns.
+
+    ``looked_at`` counts the codes that searches have compared with others.
+    """
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+        self.looked_at = 0
         ones, zeros = self.codes, ~self.codes
         levels = [(ones, ones | zeros)]
         while len(ones) > FAN:
@@ -102,22 +113,27 @@ class GrayIndex:
             self.levels.append((ones, own, 64 - np.bitwise_count(mask).astype(np.int16)))
             above = mask
 
-    def links(self, radius: int = RADIUS, step: int = 512, every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places in ``codes`` that join all codes within ``radius``, transitively.
+    def links(self, radius: int = RADIUS, step: int = 512, every: bool = False, lead: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places in ``codes`` that join all codes within ``radius`` that agree on the first ``lead`` bits, transitively.
 
         A group whose every member is within the radius of the searching code,
         and hence of each other, gives one pair; with ``every``, all pairs come.
         """
         depth = len(self.levels)
+        first = np.uint64(((1 << lead) - 1) << (64 - lead))
         for q0 in range(0, len(self.codes), step):
             q = np.arange(q0, min(q0 + step, len(self.codes)))
             node = np.tile(np.arange(len(self.levels[0][0])), len(q))
             who = np.repeat(q, len(self.levels[0][0]))
             diff = np.zeros(len(who), np.int16)
             for d, (pattern, own, free) in enumerate(self.levels):
-                diff = diff + np.bitwise_count((self.codes[who] ^ pattern[node]) & own[node]).astype(np.int16)
+                self.looked_at += len(who) if d == depth - 1 else 0
+                bits = (self.codes[who] ^ pattern[node]) & own[node]
+                diff = diff + np.bitwise_count(bits).astype(np.int16)
                 width = FAN ** (depth - 1 - d)
                 keep = (diff <= radius) & ((node + 1) * width > who)  # a pair is found from its first code
+                if lead:
+                    keep &= (bits & first) == 0
                 who, node, diff = who[keep], node[keep], diff[keep]
                 if every and d < depth - 1:
                     whole = np.zeros(len(diff), bool)
@@ -156,79 +172,96 @@ def spanning(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def group_links(codes: np.ndarray, groups: np.ndarray) -> tuple[list[int], list[int]]:
-    """Links within each group; equal ``groups`` stand together, ``codes`` differ within one."""
-    starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))) if len(groups) else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate((starts, [len(groups)])))
-    size_of = np.repeat(sizes, sizes)
-    left, right = [], []
-    for d in range(1, FAN):  # a group that fits one leaf is compared as it stands
-        a = np.flatnonzero((size_of[:-d] <= FAN) & (groups[:-d] == groups[d:])) if len(groups) > d else np.zeros(0, np.int64)
-        a = a[np.bitwise_count(codes[a] ^ codes[a + d]) <= RADIUS]
-        left += codes[a].tolist()
-        right += codes[a + d].tolist()
-    for s, n in zip(starts[sizes > FAN].tolist(), sizes[sizes > FAN].tolist(), strict=True):
-        index = GrayIndex(codes[s : s + n])
-        for a, b in index.links():
-            left += index.codes[a].tolist()
-            right += index.codes[b].tolist()
-    return left, right
-
-
-def _join_groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (table, key, fp) sorted by table and key; a group may go on in the next batch."""
-    held: list[pa.RecordBatch] = []
+def leading(level: int) -> int:
+    """Bits that all codes of a group of this level share at the front."""
+    return sum(WIDTHS[: level + 1])
+
+
+def _gray(code: Column) -> Column:
+    for s in (1, 2, 4, 8, 16, 32):
+        code = code.bitwiseXOR(F.shiftrightunsigned(code, s))
+    return code
 
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        keys = t.column(1).to_numpy()
-        tables = t.column(0).to_numpy()
-        change = np.concatenate(([False], (keys[1:] != keys[:-1]) | (tables[1:] != tables[:-1])))
-        codes = t.column(2).to_numpy().view(np.uint64) if t.column(2).num_chunks == 1 else np.ascontiguousarray(t.column(2).to_numpy()).view(np.uint64)
-        pairs = spanning(*group_links(codes, np.cumsum(change)))
-        to = lambda k: pa.array(np.array([p[k] for p in pairs], np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([to(0), to(1)], ["a", "b"])
+
+def _tables(rows: DataFrame, level: int) -> DataFrame:
+    """(level, table, group, rank, fp): each row's code three times, a block of its free bits moved to the front of these each time.
+
+    ``group`` is the leading bits' own Gray rank, so that groups, and codes in them by ``rank``, stand in Gray order.
+    """
+    free = 64 - leading(level - 1)
+    mask = F.lit((1 << free) - 1 if free < 64 else -1)
+    tail = F.col("code").bitwiseAND(mask)
+    turned = lambda s: F.shiftleft(tail, s).bitwiseOR(F.shiftrightunsigned(tail, free - s)).bitwiseAND(mask) if s else tail
+    each = [F.struct((F.col("table") * 3 + i + 1).alias("table"), F.col("code").bitwiseAND(F.bitwise_not(mask)).bitwiseOR(turned(i * WIDTHS[level])).alias("code")) for i in range(3)]
+    got = rows.select("fp", F.explode(F.array(*each)).alias("at")).select("fp", "at.table", "at.code")
+    got = got.withColumn("rank", _gray(F.col("code")))
+    return got.select(F.lit(level).alias("level"), "table", F.shiftrightunsigned("rank", 64 - leading(level)).alias("group"), "rank", "fp")
+
+
+def search_range(codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(codes, codes, number of comparisons): the links of a range of one table, which holds whole groups."""
+    index = GrayIndex(codes)
+    got = list(index.links(lead=leading(level)))
+    left, right = (np.concatenate([index.codes[p[k]] for p in got]) if got else np.zeros(0, np.uint64) for k in (0, 1))
+    return left, right, index.looked_at
+
+
+def _search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (level, table, group, rank, fp) in order; a range ends where a group does, when it is long enough."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        level, table, rank, fp = (t.column(i).to_numpy() for i in (0, 1, 3, 4))
+        ends = np.flatnonzero((table[1:] != table[:-1]) | (level[1:] != level[:-1])) + 1
+        for a, z in zip([0, *ends.tolist()], [*ends.tolist(), len(table)], strict=True):
+            r = np.ascontiguousarray(rank[a:z]).view(np.uint64)
+            codes = r ^ (r >> np.uint64(1))
+            order = np.argsort(codes)
+            left, right, _ = search_range(codes, int(level[a]))
+            own = fp[a:z][order]
+            x, y = (own[np.searchsorted(codes[order], side)] for side in (left, right))
+            pairs = spanning(x.tolist(), y.tolist())
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for b in it:
         if not b.num_rows:
             continue
         held.append(b)
-        t, k = b.column(0).to_numpy(), b.column(1).to_numpy()
-        same = (t == t[-1]) & (k == k[-1])
-        if same.all():
+        n += b.num_rows
+        if n < RANGE:
             continue
-        last = b.num_rows - int(np.argmin(same[::-1]))
-        held[-1] = b.slice(0, last)
-        yield solve(pa.Table.from_batches(held))
-        held = [b.slice(last)]
+        last = np.ones(b.num_rows, bool)
+        for i in range(3):
+            col = b.column(i).to_numpy()
+            last &= col == col[-1]
+        at = b.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+        if at:
+            held[-1] = b.slice(0, at)
+            yield from solve(pa.Table.from_batches(held))
+            held, n = [b.slice(at)], b.num_rows - at
     if held:
-        yield solve(pa.Table.from_batches(held))
-
-
-def _mask(shifts: tuple[int, ...], bits: int) -> int:
-    m = sum(((1 << bits) - 1) << s for s in shifts)
-    return m - (1 << 64) if m >> 63 else m
-
-
-#: For any two of the four blocks: their mask, and the shifts of the rest's 8-bit parts.
-TABLES = [(_mask(two, 16), [s + k for s in (0, 16, 32, 48) if s not in two for k in (0, 8)]) for two in combinations((0, 16, 32, 48), 2)]
+        yield from solve(pa.Table.from_batches(held))
 
 
 def linked_pairs(codes: DataFrame) -> DataFrame:
     """(a, b) pairs of the distinct longs in ``fp`` that join all within two bits, transitively."""
-    spark = codes.sparkSession
-    row = lambda t, key: F.struct(F.lit(t).alias("table"), key.alias("key"))
-    fp = F.col("fp")
-    keyed = codes.select(fp, F.explode(F.array(*[row(t, fp.bitwiseAND(F.lit(m))) for t, (m, _) in enumerate(TABLES)])).alias("at")).select("at.table", "at.key", "fp")
-    large = cut(keyed.groupBy("table", "key").count().filter(F.col("count") > LARGE).select("table", "key"))
-    if not large.isEmpty():
-        again: Column | None = None
-        for t, (m, parts) in enumerate(TABLES):
-            rows = F.array(*[row(100 + 10 * t + i, fp.bitwiseAND(F.lit(m | _mask(two, 8)))) for i, two in enumerate(combinations(parts, 2))])
-            again = F.when(F.col("table") == t, rows) if again is None else again.when(F.col("table") == t, rows)
-        hot = keyed.join(large, ["table", "key"], "left_semi").select("fp", F.explode(again).alias("at")).select("at.table", "at.key", "fp")
-        keyed = keyed.join(large, ["table", "key"], "left_anti").select("table", "key", "fp").unionByName(hot)
-    dealt = keyed.repartition(n_parts(spark), "table", "key").sortWithinPartitions("table", "key")
-    return dealt.mapInArrow(_join_groups, "a long, b long")
+    rows = codes.select("fp", F.lit(0).alias("table"), F.col("fp").alias("code"))
+    dealt: DataFrame | None = None
+    for level in range(len(WIDTHS)):
+        keyed = _tables(rows, level)
+        large = keyed.groupBy("table", "group").count().filter(F.col("count") > LARGE).select("table", "group")
+        large = cut(large) if level + 1 < len(WIDTHS) else None
+        more = large is not None and not large.isEmpty()
+        own = keyed.join(large, ["table", "group"], "left_anti").select(keyed.columns) if more else keyed
+        dealt = own if dealt is None else dealt.unionByName(own)
+        if not more:
+            break
+        rank = F.col("rank")
+        rows = cut(keyed.join(large, ["table", "group"], "left_semi").select("fp", "table", rank.bitwiseXOR(F.shiftrightunsigned(rank, 1)).alias("code")))
+    ordered = dealt.repartitionByRange(n_parts(codes.sparkSession), "level", "table", "group").sortWithinPartitions("level", "table", "group", "rank")
+    return ordered.mapInArrow(_search, "a long, b long")
 
 
 # --- components ---
@@ -245,16 +278,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.filter("a <> b").distinct())
     label = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
     while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
+        both = edges.select("a", "b").union(edges.select("b", "a"))
         up = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
         while True:
-            over = up.select(F.col("node").alias("mid"), F.col("to").alias("far"))
-            nxt = cut(up.join(over, F.col("to") == F.col("mid")).select("node", "far", F.col("to").alias("was")))
+            over = up.select(F.col("node").alias("to"), F.col("to").alias("far"))
+            nxt = cut(look_up(up, over, "to").select("node", "far", F.col("to").alias("was")))
             moved = not nxt.filter("far <> was").isEmpty()
             up = nxt.select("node", F.col("far").alias("to"))
             if not moved:
                 break
-        put = lambda df, col: df.join(up.select(F.col("node").alias("_n"), F.col("to").alias("_t")), F.col(col) == F.col("_n"), "left").withColumn(col, F.coalesce("_t", col)).drop("_n", "_t")
+        put = lambda df, col: look_up(df, up.select(F.col("node").alias(col), F.col("to").alias("_t")), col).withColumn(col, F.coalesce("_t", col)).drop("_t")
         label = cut(put(label, "label"))
         edges = cut(put(put(edges, "a"), "b").filter("a <> b").distinct())
     return label
@@ -283,19 +316,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = cut(rows.mapInArrow(run, "doc_id long, fp long"))
     codes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     label = components(linked_pairs(codes.select("fp")))
-    joined = codes.join(label, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    joined = cut(joined)
+    joined = cut(codes.join(label, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
     least = cut(joined.groupBy("label").agg(F.min("first").alias("component_id")))
-    of = cut(joined.join(least, "label").select("fp", "component_id"))
-    return fps.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    of = cut(look_up(joined, least, "label").select("fp", "component_id"))
+    return look_up(fps, of, "fp").select("doc_id", "fp", "component_id")
 
 
 # --- near copies by similarity ---
 
+#: Words of a shingle, and the least similarity: the cosine of two texts' sets of shingles, which is what SimHash bits estimate
+#: (sets of equal size then share two thirds of their union).
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: Differing bits within which two texts are compared; at similarity 0.8 one pair in thousands lies beyond.
-WIDE = 20
-#: Smallest shingles, each in an order of its own, that texts meet under: texts of similarity s share one with probability s.
+#: Differing bits within which two texts are compared; at similarity 0.8 the expected number is 13 with a deviation of 3.2, so that
+#: one pair in 3,000 lies beyond.
+WIDE = 24
+#: Smallest shingles, each in an order of its own, that texts meet under. Texts share one with a probability of the shared part of
+#: their union, 0.64 at least: one pair in 450 of those just at the threshold shares none.
 ANCHORS = 6
 #: Texts, and bytes of their shingle sets, that meet at once; a larger group is divided by sizes and by pairs of blocks, without loss.
 CROWD, CROWD_BYTES = 20_000, 32_000_000
@@ -332,10 +368,10 @@ def similar_pairs(codes: np.ndarray, sets: list[np.ndarray], threshold: float =
             for x, y in zip(a[:50_000].tolist(), b[:50_000].tolist(), strict=True):
                 done += 1
                 n, m = len(sets[x]), len(sets[y])
-                if label[x] == label[y] or min(n, m) < threshold * max(n, m):
+                if label[x] == label[y] or min(n, m) < threshold**2 * max(n, m) - 1e-9:
                     continue
                 both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if both >= threshold * (n + m - both) - 1e-9:
+                if both >= threshold * math.sqrt(n * m) - 1e-9:
                     label[label == label[y]] = label[x]
                     out.append((x, y))
                     joined += 1
@@ -380,12 +416,12 @@ def divided(crowded: DataFrame) -> DataFrame:
     """(key, fp, slot, anchor): groups of at most about 2 x CROWD texts in which all pairs meet that can be similar.
 
     ``crowded`` has key, fp, n (the size of the shingle set), slot and anchor.
-    Sets of similarity SIMILARITY differ in size by that factor at most: with
+    Sets of similarity SIMILARITY differ in size by its square at most: with
     bands a little wider they lie in one band or in two that follow each other,
     so each set goes to its own band and to the next. A band's texts are dealt
     to blocks by hash, and every two blocks make a group.
     """
-    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / -math.log(SIMILARITY - 0.01))
+    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / -math.log(SIMILARITY**2 - 0.01))
     by_band = crowded.select("key", "fp", "n", "slot", "anchor", F.explode(F.array(band, band + 1)).alias("band"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CROWD, F.sum("n") * 4 / CROWD_BYTES)).cast("int")
     sizes = cut(by_band.groupBy("slot", "anchor", "band").agg(F.count(F.lit(1)).alias("count"), blocks.alias("blocks")).filter("count > 1"))
@@ -397,22 +433,25 @@ def divided(crowded: DataFrame) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``component_id`` of every row: texts of five-word similarity 0.8 or more are joined, transitively.
+    """``doc_id`` and ``component_id`` of every row: texts of five-word cosine similarity 0.8 or more are joined, transitively.
 
     Equal texts (but for case and white space) are one before anything is
     compared. Texts that share one of their anchors meet in a group, where the
     Gray-order index over their SimHashes gives the pairs within WIDE bits, and
     exact similarity of their shingle sets decides. Only anchors that two texts
     share are looked at; a group of any size is compared whole, in parts that
-    fit a task. Nulls, ids and other columns: as ``near_duplicates``.
+    fit a task. Null texts are empty and one group with other texts without words;
+    null ids are passed over for the smallest id; repeated rows give a row each,
+    very long texts are compared whole; other columns, whatever their names, are
+    left out; an empty table gives an empty one.
     """
     rows, joined, least = _similar(docs, id_col, text_col)
-    of = cut(joined.select("key", "label").join(least, "label").select("key", F.col("first.doc_id").alias("component_id")))
-    return rows.select("doc_id", "key").join(of, "key", "left").select("doc_id", "component_id")
+    of = cut(look_up(joined.select("key", "label"), least, "label").select("key", F.col("first.doc_id").alias("component_id")))
+    return look_up(rows.select("doc_id", "key"), of, "key").select("doc_id", "component_id")
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows (doc_id, text_hash, key and more), each text's (key, label), and each label's ``first`` row by id (null last) and hash."""
+    """All rows (doc_id, text_hash, row_hash, key and more), each text's (key, label), and each label's ``first`` row by id (null last) and hashes."""
     spark = docs.sparkSession
     ship(spark)
 
@@ -420,14 +459,14 @@ def _similar(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         for b in batches_of(it, "text", BATCH_BYTES):
             keys, fps, anchors, sets = similarity_rows(strings(b.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(keys, pa.int64()), pa.array(fps.view(np.int64)), pa.array(anchors, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                ["doc_id", "text_hash", "key", "fp", "anchors", "shingles"],
+                [b.column(0), b.column(2), b.column(3), pa.array(keys, pa.int64()), pa.array(fps.view(np.int64)), pa.array(anchors, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+                ["doc_id", "text_hash", "row_hash", "key", "fp", "anchors", "shingles"],
             )
 
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    rows = cut(rows.mapInArrow(run, "doc_id long, text_hash long, key long, fp long, anchors array<long>, shingles binary"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.xxhash64(*docs.columns).alias("row_hash"))
+    rows = cut(rows.mapInArrow(run, "doc_id long, text_hash long, row_hash long, key long, fp long, anchors array<long>, shingles binary"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row_hash")).alias("first")
     texts = cut(rows.groupBy("key").agg(first, F.min("fp").alias("fp"), F.min("anchors").alias("anchors"), F.min(F.length("shingles") / 4).cast("long").alias("n")))
     under = texts.select("key", "fp", "n", F.posexplode("anchors").alias("slot", "anchor")).withColumn("anchor", F.xxhash64("slot", "anchor"))
     shared = cut(under.groupBy("slot", "anchor").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n")).filter("count > 1"))
@@ -454,16 +493,18 @@ def hex_of(fp: str) -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of similar texts: that of its smallest document id, null last.
 
-    Of several texts of that id the one of the smallest hash stays, of rows
-    that share both the first by a hash of all columns.
+    Of several rows of that id the one of the smallest hash of its text, then
+    of all its columns, stays; of rows equal in all columns one. Rows of null
+    ids are documents of their own. Null and empty texts are one group; ties
+    fall by those hashes, whatever the order of rows; very long texts are read
+    whole; all columns stay as they are, whatever their names; an empty table
+    gives an empty one.
     """
     rows, _, least = _similar(docs, id_col, text_col)
-    keep = cut(least.select(F.col("first.doc_id").alias("__keep_id"), F.col("first.text_hash").alias("__keep_hash")))
-    repeated = not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
-    text = F.xxhash64(F.col(text_col).cast("string"))
+    keep = cut(least.select(*[F.col(f"first.{c}").alias(f"__keep_{c}") for c in ("doc_id", "text_hash", "row_hash")]))
+    kept = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.xxhash64(*docs.columns).alias("row_hash"))
+    same = kept["doc_id"].eqNullSafe(F.col("__keep_doc_id")) & (kept["text_hash"] == F.col("__keep_text_hash")) & (kept["row_hash"] == F.col("__keep_row_hash"))
     # as many as the documents that stay: never broadcast
-    out = docs.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep_id")) & (text == F.col("__keep_hash")), "left_semi")
-    if repeated:
-        order = Window.partitionBy(id_col, text_col).orderBy(F.xxhash64(*docs.columns))
-        out = out.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
-    return out
+    out = docs.join(keep.hint("merge"), same, "left_semi")
+    repeated = rows.groupBy("doc_id", "text_hash", "row_hash").count().filter("count > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates()

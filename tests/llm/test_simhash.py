@@ -56,7 +56,9 @@ def clusters(seed, n=5, size=200):
 @pytest.mark.parametrize("seed", range(12))
 def test_index_joins_what_brute_force_joins(seed):
     codes = clusters(seed)
-    left, right = S.group_links(codes, np.zeros(len(codes)))
+    index = S.GrayIndex(codes)
+    left, right = (np.concatenate([index.codes[p[k]] for p in index.links()] or [codes[:0]]) for k in (0, 1))
+    left, right = left.tolist(), right.tolist()
     assert all((a ^ b).bit_count() <= 2 for a, b in zip(left, right, strict=True))
     assert parts(codes, zip(left, right, strict=True)) == parts(codes, all_links(codes))
 
@@ -66,16 +68,56 @@ def test_gray_rank():
     assert (S.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
 
 
-@pytest.mark.parametrize("large", [4096, 20])
-def test_pairs_with_large_groups_dealt_again(spark, monkeypatch, large):
+@pytest.mark.parametrize(("large", "rows"), [(4096, 8192), (4096, 50), (20, 8192), (3, 5)])
+def test_pairs_with_large_groups_dealt_again(spark, monkeypatch, large, rows):
     monkeypatch.setattr(S, "LARGE", large)
+    monkeypatch.setattr(S, "RANGE", rows)
     codes = clusters(99, 8, 120)
     df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
     got = [(np.int64(r["a"]).view(np.uint64), np.int64(r["b"]).view(np.uint64)) for r in S.linked_pairs(df).collect()]
     assert parts(codes, got) == parts(codes, all_links(codes))
 
 
-def test_components_of_chains_and_stars(spark):
+def test_the_index_looks_at_few_and_finds_all():
+    """All links of a table come from its tree, which compares under one in a hundred of all pairs."""
+    rnd = np.random.default_rng(8)
+    codes = rnd.integers(0, 1 << 64, 8000, dtype=np.uint64)
+    near = codes[:300] ^ (np.uint64(1) << rnd.integers(0, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, 300, dtype=np.uint64))
+    codes = np.unique(np.concatenate((codes, near)))
+    looked, found = 0, []
+    for turn in (0, 21, 42):
+        turned = (codes << np.uint64(turn)) | (codes >> np.uint64(64 - turn)) if turn else codes
+        back = lambda c, s=turn: (c >> np.uint64(s)) | (c << np.uint64(64 - s)) if s else c
+        a, b, n = S.search_range(turned, 0)
+        looked += n
+        found += list(zip(back(a).tolist(), back(b).tolist(), strict=True))
+    assert looked < 0.01 * len(codes) ** 2 / 2
+    assert parts(codes, found) == parts(codes, all_links(codes)) and len({tuple(sorted(p)) for p in found}) >= 290
+
+
+def test_all_tables_share_their_leading_bits():
+    """Two differing bits leave one block of each level untouched."""
+    for level in range(len(S.WIDTHS)):
+        free = 64 - S.leading(level - 1)
+        assert 3 * S.WIDTHS[level] <= free and (level + 1 == len(S.WIDTHS) or S.leading(level) < 64)
+
+
+@pytest.mark.parametrize("often", [50_000, 2])
+def test_look_up(spark, monkeypatch, often):
+    from skerry.llm import common
+
+    monkeypatch.setattr(common, "OFTEN", often)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 9 + [2] * 4 + [3, 4, None, None, None])], "k long, i long")
+    table_ = spark.createDataFrame([(1, "a"), (3, "c"), (9, "z")], "k long, v string")
+    got = multiset(map(tuple, common.look_up(rows, table_, "k").collect()))
+    assert got == multiset((r["k"], r["i"], {1: "a", 3: "c"}.get(r["k"])) for r in rows.collect())
+
+
+@pytest.mark.parametrize("often", [50_000, 2])
+def test_components_of_chains_and_stars(spark, monkeypatch, often):
+    from skerry.llm import common
+
+    monkeypatch.setattr(common, "OFTEN", often)
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5), (7000, 6999)]
     got = {r["node"]: r["label"] for r in S.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({got[i] for i in range(201)}) == 1 and len({got[i] for i in range(1000, 1100)}) == 1 and len(set(got.values())) == 3
@@ -123,7 +165,7 @@ def brute_similar(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if (not sets[i] and not sets[j]) or both and both >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+            if (not sets[i] and not sets[j]) or both and both >= 0.8 * (len(sets[i]) * len(sets[j])) ** 0.5 - 1e-9:
                 p[root(i)] = root(j)
     first = {}
     for i, r in enumerate(rows):
@@ -154,7 +196,7 @@ def test_similar_texts_equal_brute_force(spark, monkeypatch, crowd):
 
 
 def test_crowded_groups_lose_no_pair(spark, monkeypatch):
-    """Two texts of similarity 0.8 whose only common anchor is that of a crowd."""
+    """Two texts of cosine similarity 0.89 whose only common anchor is that of a crowd."""
     rnd = random.Random(3)
     word = lambda: f"w{rnd.randrange(10**6)}"
     while True:
