@@ -18,15 +18,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SH = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
 
-#: Every window against every item that shares its first shingle; no fingerprints, so it also shows that the radius loses none.
+#: Every window that begins with a shared shingle, with every end; no fingerprints, so it also shows that the index loses none.
 OP1_SQL = f"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS w FROM documents), ds AS (SELECT doc_id, {_SH} AS s FROM dw),
 dsh AS (SELECT doc_id, unnest(s) AS h, generate_subscripts(s, 1) - 1 AS pos FROM ds),
 iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS w FROM benchmark), its AS (SELECT item_id, {_SH} AS s FROM iw),
 ish AS (SELECT item_id, m, h, count(*) AS c FROM (SELECT item_id, len(s) AS m, unnest(s) AS h FROM its) GROUP BY ALL),
-hits AS (SELECT DISTINCT doc_id, pos, h FROM dsh WHERE h IN (SELECT h FROM ish)),
-wins AS (SELECT doc_id, item_id, m, pos AS start FROM hits JOIN ish USING (h)),
-inside AS (SELECT w.doc_id, w.item_id, w.start, w.m, y.h, count(*) AS c, max(y.pos) AS last FROM wins w JOIN hits y ON y.doc_id = w.doc_id AND y.pos >= w.start AND y.pos < w.start + w.m GROUP BY ALL),
-sums AS (SELECT doc_id, item_id, start, x.m, max(last) AS last, sum(least(x.c, coalesce(i.c, 0))) AS shared FROM inside x LEFT JOIN ish i USING (item_id, h) GROUP BY ALL),
-sims AS (SELECT doc_id, item_id, start, (shared / (m + last - start + 1 - shared))::DOUBLE AS similarity FROM sums)
+hits AS (SELECT DISTINCT doc_id, item_id, m, pos, h, c FROM dsh JOIN ish USING (h)),
+inside AS (SELECT a.doc_id, a.item_id, a.m, a.pos AS start, y.pos, y.c, row_number() OVER (PARTITION BY a.doc_id, a.item_id, a.pos, y.h ORDER BY y.pos) AS nth
+  FROM hits a JOIN hits y ON y.doc_id = a.doc_id AND y.item_id = a.item_id AND y.pos >= a.pos AND y.pos < a.pos + ceil(a.m / 0.8)),
+sums AS (SELECT doc_id, item_id, m, start, pos, count(*) OVER (PARTITION BY doc_id, item_id, start ORDER BY pos) AS shared FROM inside WHERE nth <= c),
+sims AS (SELECT doc_id, item_id, start, (shared / (m + pos - start + 1 - shared))::DOUBLE AS similarity FROM sums)
 SELECT doc_id, item_id, similarity, start FROM sims WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""

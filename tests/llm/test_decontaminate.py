@@ -6,6 +6,8 @@ from conftest import SF
 from helpers import DOCS, ODD, PASSAGE, docs, multiset, table
 from oracle import differences, duck
 
+from skerry.llm import decontaminate as D
+from skerry.llm.common import read_table
 from skerry.llm.decontaminate import drop_leaks, leaks
 from skerry.llm.queries_decontaminate import OP1_SQL, op1_decontaminate
 
@@ -27,14 +29,16 @@ def brute(docs_, items, threshold=0.8):
     out = {}
     for d, t, *_ in docs_:
         s = shingles(t)
-        hits = [p for p, h in enumerate(s) if h in by]
-        for p in hits:
-            for i, c, m in (its[k] for k in by[s[p]]):
-                q = max(x for x in hits if p <= x < p + m)
-                shared = sum((Counter(s[p : q + 1]) & c).values())
-                sim = shared / (m + q - p + 1 - shared)
-                if sim >= threshold:
-                    out[d, i] = max(out.get((d, i), 0), round(sim, 9))
+        for p in range(len(s)):
+            for i, c, m in (its[k] for k in by[s[p]]) if s[p] in by else ():
+                shared, left = 0, Counter(c)
+                for q in range(p, min(len(s), p + 5 * m // 4 + 1)):
+                    if left[s[q]] > 0:
+                        left[s[q]] -= 1
+                        shared += 1
+                    sim = shared / (m + q - p + 1 - shared)
+                    if sim >= threshold - 1e-12:
+                        out[d, i] = max(out.get((d, i), 0), round(sim, 9))
     return out
 
 
@@ -77,6 +81,51 @@ def test_edited_passages(spark, tmp_path):
     assert got == {k: v for k, v in want.items() if k in got} and len(got) >= 0.99 * len(want) > 40
 
 
+def simhash_256(s):
+    """By the definition: bit by bit over the hashes that the operator's first step gives."""
+    return sum((sum(h >> b & 1 for h in s) * 2 > len(s)) << b for b in range(64))
+
+
+def test_fingerprints_by_definition(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([([3, -1, 5, 1 << 62, 3],), ([7],), (list(range(-300, 300)),)], "hs array<long>")
+    seeded = lambda k: F.transform("hs", lambda h: F.xxhash64(h, F.lit(k)))
+    hashes = [F.col("hs"), *[seeded(k) for k in range(1, 4)]]
+    for r in df.select(D.lanes(F.col("hs")).alias("fp"), *[h.alias(f"h{k}") for k, h in enumerate(hashes)]).collect():
+        want = [simhash_256([x % (1 << 64) for x in r[f"h{k}"]]) >> 16 * i & 0xFFFF for k in range(4) for i in range(4)]
+        assert r["fp"] == want
+
+
+def test_the_index_is_selective_and_whole_within_its_radius(spark):
+    """All pairs of windows and items of one size within RADIUS bits are candidates; of the rest under one pair in a hundred is."""
+    docs_, bench = read_table(spark, SF, "documents"), read_table(spark, SF, "benchmark")
+    from pyspark.sql import functions as F
+
+    items = D.cut(D.items_of(bench, "item_id", "text").withColumn("item_no", F.monotonically_increasing_id()))
+    wins = D.cut(D.windows(docs_, items, "doc_id", "text"))
+    met = {(r["doc_id"], r["start"], r["m"], r["item_id"]) for r in D.candidates(wins, items).select("doc_id", "start", "m", "item_id").collect()}
+    all_items, near, n = items.collect(), set(), 0
+    for w in wins.select("doc_id", "start", "m", "fp").collect():
+        n += 1
+        for i in all_items:
+            if i["m"] == w["m"] and sum((a ^ b).bit_count() for a, b in zip(w["fp"], i["fp"], strict=True)) <= D.RADIUS:
+                near.add((w["doc_id"], w["start"], w["m"], i["item_id"]))
+    assert D.RADIUS == 47 and near <= met and near and len(met - near) < 0.01 * n * len(all_items)
+
+
+def test_benchmark_in_parts(spark, monkeypatch):
+    want = multiset(map(tuple, op1_decontaminate(spark, SF).collect()))
+    monkeypatch.setattr(D, "PART_ITEMS", 9)
+    assert multiset(map(tuple, op1_decontaminate(spark, SF).collect())) == want
+
+
+def test_drop_leaks_tells_rows_of_one_id_apart(spark):
+    rows = [(1, PASSAGE, "en", "s", 1), (1, "clean words only", "en", "s", 1), (None, PASSAGE, "en", "s", 1), (None, "clean words only", "en", "s", 1), (None, None, None, None, None)]
+    got = drop_leaks(docs(spark, rows), spark.createDataFrame(ITEM_ROWS[:1], ITEMS)).collect()
+    assert multiset((r["doc_id"], r["text"]) for r in got) == multiset([(1, "clean words only"), (None, "clean words only"), (None, None)])
+
+
 def test_drop_leaks(spark):
     d = docs(spark)
     items = spark.createDataFrame(ITEM_ROWS[:1], ITEMS)
