@@ -22,7 +22,6 @@ documents are read once a part, and only leaks are shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -64,29 +63,17 @@ def shingles(text: str) -> Column:
     return F.element_at(F.transform(F.array(F.transform(words(text), lambda w: F.xxhash64(w))), of), 1)
 
 
-def lanes(hashes: Column) -> Column:
+def lanes(hashes: str) -> Column:
     """Blocks of the SimHash of an array of longs: bit b of a 64-bit hash is 1 if over half of the array have it.
 
-    Bits are counted 16 apart, four counts in one long (up to 65,535 shingles each), so that a block's bit k is a count of lane k.
+    Bits are counted 16 apart, four counts in one long (up to 65,535 shingles each), so that a block's bit k is a lane of count k.
     """
-
-    def of(hs: Column) -> Column:
-        n = F.size(hs).cast("long")
-        ones = F.lit(0x0001000100010001)
-
-        def block(counts: Column, at: int) -> Column:
-            bit = lambda k: F.when(F.shiftrightunsigned(counts[k], 16 * at).bitwiseAND(F.lit(0xFFFF)) * 2 > n, F.lit(1 << k)).otherwise(F.lit(0))
-            return reduce(lambda x, y: x + y, [bit(k) for k in range(BLOCK)]).cast("long")
-
-        def of_hash(seed: int) -> Column:
-            own = hs if seed == 0 else F.transform(hs, lambda h: F.xxhash64(h, F.lit(seed)))
-            count = lambda xs, k: F.aggregate(xs, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(ones))
-            counted = F.transform(F.array(own), lambda xs: F.array(*[count(xs, k) for k in range(BLOCK)]))
-            return F.element_at(F.transform(counted, lambda c: F.array(*[block(c, i) for i in range(64 // BLOCK)])), 1)
-
-        return F.flatten(F.array(*[of_hash(seed) for seed in range(HASHES)]))
-
-    return F.element_at(F.transform(F.array(hashes), of), 1)
+    last = BLOCK - 1
+    counts = f"transform(sequence(0, {last}), k -> aggregate(own, 0L, (a, h) -> a + (shiftrightunsigned(h, k) & {0x0001000100010001}L)))"
+    block = f"aggregate(sequence(0, {last}), 0L, (a, k) -> a | if(2 * (shiftrightunsigned(c[k], {BLOCK} * i) & 65535L) > size(own), shiftleft(1L, k), 0L))"
+    of_hash = f"element_at(transform(array({counts}), c -> transform(sequence(0, {64 // BLOCK - 1}), i -> {block})), 1)"
+    seeded = "if(s = 0, hs, transform(hs, h -> xxhash64(h, s)))"
+    return F.expr(f"element_at(transform(array({hashes}), hs -> flatten(transform(sequence(0, {HASHES - 1}), s -> element_at(transform(array({seeded}), own -> {of_hash}), 1)))), 1)")
 
 
 def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -94,7 +81,7 @@ def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     rows = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("_text")).distinct()
     got = rows.withColumn("_sh", shingles("_text")).filter(F.size("_sh") > 0)
     counts = F.transform(F.array_distinct("_sh"), lambda h: F.struct(h.alias("h"), F.size(F.filter("_sh", lambda x: x == h)).alias("n")))
-    return got.select("item_id", F.size("_sh").alias("m"), counts.alias("counts"), F.array_distinct("_sh").alias("hs"), lanes(F.col("_sh")).alias("fp"))
+    return got.select("item_id", F.size("_sh").alias("m"), counts.alias("counts"), F.array_distinct("_sh").alias("hs"), lanes("_sh").alias("fp"))
 
 
 def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -111,7 +98,7 @@ def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, thres
     hits = hits.select("doc_id", "text_hash", F.col("pos").cast("long").alias("start"), "sizes", F.slice("_sh", F.col("pos") + 1, most).alias("_own"))
     each = hits.select("doc_id", "text_hash", "start", F.explode("sizes").alias("m"), "_own")
     own = F.slice("_own", F.lit(1), F.ceil(F.col("m") / F.lit(threshold)).cast("int")).alias("own")
-    return each.select("doc_id", "text_hash", "start", "m", own, lanes(F.slice("_own", F.lit(1), F.col("m"))).alias("fp"))
+    return each.select("doc_id", "text_hash", "start", "m", own, lanes("slice(_own, 1, m)").alias("fp"))
 
 
 def _place(m: Column, block: Column, bits: Column) -> Column:
