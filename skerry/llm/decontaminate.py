@@ -111,7 +111,8 @@ def candidates(wins: DataFrame, items: DataFrame) -> DataFrame:
     flips = F.lit(FLIPS).cast("array<bigint>")
     entries = items.select("item_no", "m", F.posexplode("fp").alias("block", "bits"))
     entries = entries.select("item_no", F.explode(F.transform(flips, lambda f: _place(F.col("m"), F.col("block"), F.col("bits").bitwiseXOR(f)))).alias("place"))
-    probes = wins.select("*", F.posexplode("fp").alias("_block", "_bits"))
+    # outer: else a filter on the size of fp would compute it once more
+    probes = wins.select("*", F.posexplode_outer("fp").alias("_block", "_bits"))
     met = probes.withColumn("place", _place(F.col("m"), F.col("_block"), F.col("_bits"))).join(F.broadcast(entries), "place")
     known = items.select("item_no", "item_id", "counts", F.col("hs").alias("item_hs"), F.col("fp").alias("item_fp"))
     met = met.join(F.broadcast(known), "item_no")
