@@ -11,6 +11,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -163,7 +164,6 @@ def strings(col: pa.ChunkedArray | pa.Array) -> list[str]:
 
 def batches_of(it: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each holds about ``most`` bytes of ``column`` (one row at least)."""
-    import numpy as np
     import pyarrow.compute as pc
 
     for b in it:
@@ -177,3 +177,13 @@ def batches_of(it: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator
             end = max(at + 1, int(np.searchsorted(sizes, base + most, side="right")))
             yield b.slice(at, end - at)
             at = end
+
+
+def spread(first: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Indexes first[i], first[i]+1, ... of lens[i] items each, for all i in a row."""
+    total = int(lens.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    out = np.arange(total, dtype=np.int64)
+    out += np.repeat(first - (np.cumsum(lens) - lens), lens)
+    return out

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import batches_of, cut, give_back, ship, strings
+from skerry.llm.common import batches_of, cut, give_back, ship, spread, strings
 
 #: Rows that the classifier is fitted on at most (all labelled rows up to that; beyond, those of the smallest hashes).
 SAMPLE_ROWS = 20_000
@@ -33,10 +33,11 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 20, 256, 2e-3, 1e-3
 BATCH_BYTES = 1_000_000
 #: Words of the sample's average that a text's own words are weighed against.
 PRIOR_WORDS = 4
-#: Words of which a worker remembers the hashes.
-REMEMBERED = 100_000
+#: Runs of which a worker remembers the hashes, and their length at most.
+REMEMBERED, REMEMBERED_CHARS = 100_000, 64
 
-_CORE = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+#: A word: letters and digits, or one character of a script that writes words without spaces.
+_CORE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W_\u3040-\u30ff\u3400-\u9fff]+(?:['’-][^\W_\u3040-\u30ff\u3400-\u9fff]+)*")
 _REPEAT = "\1again"
 
 
@@ -54,33 +55,48 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=REMEMBERED)
-def parts_of(chunk: str) -> tuple[int, int, int]:
-    """Hashed word, punctuation run and shape of a run of non-space characters; the last bucket's neighbour -1 stands for none."""
-    m = _CORE.search(chunk)
-    if not m:
-        return -1, bucket("\2" + chunk[:8]), bucket("\1marks")
-    core = m[0]
-    rest = chunk[: m.start()] + chunk[m.end() :]
-    shape = -1
+def _shape(core: str) -> int:
     if len(core) > 1 and core.isupper():
-        shape = bucket("\1upper")
-    elif not core.isalpha():
-        shape = bucket("\1mixed")
-    elif core[0].isupper():
-        shape = bucket("\1title")
-    return bucket(core.lower()), bucket("\2" + rest[:8]) if rest else -1, shape
+        return bucket("\1upper")
+    if not core.isalpha():
+        return bucket("\1mixed")
+    return bucket("\1title") if core[0].isupper() else -1
 
 
-def chunks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct chunks, codes of all chunks, chunks of each text)."""
+def parts_of(chunk: str) -> list[tuple[int, int, int]]:
+    """Hashed word, marks and shape for each word of a run of non-space characters, whole; -1 stands for none.
+
+    A word has the marks up to the next one, the first also those before it.
+    """
+    words = list(_CORE.finditer(chunk))
+    if not words:
+        return [(-1, bucket("\2" + chunk), bucket("\1marks"))]
+    out, ahead = [], chunk[: words[0].start()]
+    for m, after in zip(words, [*words[1:], None], strict=True):
+        marks = ahead + chunk[m.end() : after.start() if after else len(chunk)]
+        out.append((bucket(m[0].lower()), bucket("\2" + marks) if marks else -1, _shape(m[0])))
+        ahead = ""
+    return out
+
+
+_remembered = lru_cache(maxsize=REMEMBERED)(parts_of)
+
+
+def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(parts of the distinct runs' words, places in these of all words, words of each text)."""
     lists = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
     flat = lists.flatten()
     keep = pc.not_equal(flat, "")
     coded = pc.filter(flat, keep).dictionary_encode()
     kept = np.concatenate(([0], np.cumsum(keep.to_numpy(zero_copy_only=False), dtype=np.int64)))
     ends = kept[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), np.diff(ends)
+    each = [_remembered(w) if len(w) <= REMEMBERED_CHARS else parts_of(w) for w in coded.dictionary.to_pylist()]
+    n = np.fromiter(map(len, each), np.int64, len(each))
+    parts = np.array([p for ps in each for p in ps], np.int64).reshape(-1, 3)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    reps = n[codes]
+    counts = np.diff(np.concatenate(([0], np.cumsum(reps)))[ends])
+    return parts, spread((np.cumsum(n) - n)[codes], reps), counts
 
 
 def _rows(table: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -90,18 +106,17 @@ def _rows(table: np.ndarray, which: np.ndarray) -> np.ndarray:
 
 
 def pooled(texts: list[str], context: np.ndarray) -> np.ndarray:
-    """Mean index and context vectors over a text's chunks, and the log of their number; zeros for an empty text."""
-    words, codes, counts = chunks(texts)
+    """Mean index and context vectors over a text's words, and the log of their number; zeros for an empty text."""
+    parts, codes, counts = chunks(texts)
     out = np.zeros((len(texts), 2 * DIM + 1), np.float32)
     some = np.flatnonzero(counts)
     if not len(some):
         return out
-    parts = np.array([parts_of(w) for w in words], np.int64).reshape(-1, 3)
     index = index_vectors()
     table = np.hstack([sum(_rows(t, parts[:, k]) for k in range(3)) for t in (index, context)])
     begin = (np.cumsum(counts) - counts)[some]
     total = np.zeros((len(some), 2 * DIM), np.float64)
-    step = 100_000  # chunks gathered at a time
+    step = 100_000  # words gathered at a time
     for a in range(0, len(codes), step):
         z = min(len(codes), a + step)
         lo, hi = np.searchsorted(begin, a, side="right") - 1, np.searchsorted(begin, z, side="left")
@@ -118,11 +133,10 @@ def pooled(texts: list[str], context: np.ndarray) -> np.ndarray:
 
 def contexts(texts: list[str]) -> np.ndarray:
     """Sums of the index vectors of the words within REACH, for each hashed word of the texts."""
-    words, codes, counts = chunks(texts)
+    parts, codes, counts = chunks(texts)
     out = np.zeros((BUCKETS, DIM), np.float32)
     if not len(codes):
         return out
-    parts = np.array([parts_of(w) for w in words], np.int64).reshape(-1, 3)
     index = index_vectors()
     table = sum(_rows(index, parts[:, k]) for k in range(3))
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -222,13 +236,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Labels are the only thing taken from ``labels``; null ids or labels and
     labels other than 0 and 1 are passed over, of several labels of an id the
-    smallest counts. The driver gets that many pooled vectors, never texts.
+    smallest counts, of several texts the first in order. Null texts are empty,
+    very long ones are read whole; without labels or documents the score is a
+    half. The driver gets ``rows`` pooled vectors at most, never texts.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").filter(~held_out("id"))
     known = cut(known.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = cut(texts.join(F.broadcast(known), "id").repartition(SAMPLE_PARTS, "id"))
+    one = texts.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    sample = cut(one.select("id", "text", "y").repartition(SAMPLE_PARTS, "id"))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, DIM), np.float32)
@@ -268,7 +285,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``score`` (0 to 1, higher: better) of every whole text; a null text counts as empty.
 
-    A row for each row; other columns are left out and no input of a score.
+    A row for each row, repeated ones alike; null ids are kept; very long texts
+    are read whole, words of any length too; other columns, whatever their
+    names, are left out and no input of a score; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
 
@@ -281,7 +300,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows whose text scores ``threshold`` or more, all columns as they are."""
+    """The rows whose text scores ``threshold`` or more, all columns as they are, whatever their names.
+
+    Null and empty texts go by the empty text's score; a score of just the
+    threshold stays; repeated rows go or stay alike; very long texts are read
+    whole; an empty table gives an empty one.
+    """
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 

@@ -17,6 +17,10 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from skerry.llm.common import spread
+
+__all__ = ["WordBpe", "spread", "word_bpe"]
+
 #: Code points from here on take the library's own path.
 LIMIT = 0x3000
 SPACE, LETTER, DIGIT, MARK, ODD = range(5)
@@ -184,13 +188,3 @@ class WordBpe:
 @lru_cache(maxsize=4)
 def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
-
-
-def spread(first: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Indexes first[i], first[i]+1, ... of lens[i] items each, for all i in a row."""
-    total = int(lens.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    out = np.arange(total, dtype=np.int64)
-    out += np.repeat(first - (np.cumsum(lens) - lens), lens)
-    return out

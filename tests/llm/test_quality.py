@@ -5,7 +5,7 @@ from conftest import SF
 from helpers import DOCS, ODD, docs, table
 
 from skerry.llm.common import read_table
-from skerry.llm.quality import BUCKETS, DIM, chunks, contexts, fit, index_vectors, keep_good, parts_of, pooled, score, train
+from skerry.llm.quality import BUCKETS, DIM, _temperature, chunks, contexts, fit, index_vectors, keep_good, parts_of, pooled, score, train
 from skerry.llm.queries_quality import op4_quality
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -18,6 +18,38 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
     held = [(known[r["doc_id"]], r["predicted"]) for r in rows if r["held_out"] and r["doc_id"] in known]
     assert len(held) > 50 and np.mean([a == b for a, b in held]) > 0.95
+    # calibration: the mean score of each of ten bins is near its share of label 1
+    scores, truth = (np.array([f(r) for r in rows if r["held_out"] and r["doc_id"] in known]) for f in (lambda r: r["score"], lambda r: known[r["doc_id"]]))
+    bins = np.minimum((scores * 10).astype(int), 9)
+    error = sum(abs(scores[bins == b].mean() - truth[bins == b].mean()) * np.mean(bins == b) for b in set(bins.tolist()))
+    assert error < 0.05
+
+
+def test_temperature_calibrates():
+    """Logits that are three times too sure get a divisor near three, and the error of ten bins falls."""
+    rng = np.random.default_rng(4)
+    z = rng.normal(0, 2, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-z))).astype(float)
+
+    def error(t):
+        p = 1 / (1 + np.exp(-3 * z / t))
+        b = np.minimum((p * 10).astype(int), 9)
+        return sum(abs(p[b == k].mean() - y[b == k].mean()) * np.mean(b == k) for k in set(b.tolist()))
+
+    t = _temperature(3 * z, y)
+    assert 2.5 < t < 3.6 and error(t) < 0.03 < error(1.0)
+
+
+def test_whole_texts_are_read():
+    """Each word of a run without spaces counts, and marks of any length."""
+    ctx = contexts(["a b"])
+    pairs = [("alpha/other/words/that/go/on", "alpha/other/w"), ("x" + "!" * 20, "x" + "!" * 9), ("漢字漢字文", "漢字漢字"), ("a,b,c," * 50 + "d", "a,b,c," * 50 + "e")]
+    for a, b in pairs:
+        x = pooled([a, b], ctx)
+        assert not np.allclose(x[0], x[1])
+    assert len(parts_of("one,two/three_four")) == 4 and len(parts_of("漢字")) == 2
+    long = "/".join(f"w{i}" for i in range(5000))
+    assert np.allclose(pooled([long], ctx)[0], brute_pool(long, ctx), atol=1e-4)
 
 
 def test_labels_of_the_held_out_fold_are_not_read(spark, tmp_path):
@@ -31,10 +63,10 @@ def test_labels_of_the_held_out_fold_are_not_read(spark, tmp_path):
 
 
 def brute_pool(text, context):
-    words = text.split()
+    words = [(w, p) for w in text.split() for p in parts_of(w)]
     total, index = np.zeros(2 * DIM), index_vectors()
     for i, w in enumerate(words):
-        for b in parts_of(w):
+        for b in w[1]:
             if b >= 0:
                 total += np.concatenate((index[b], context[b]))
         if i and words[i - 1] == w:
@@ -54,7 +86,7 @@ def test_pooling_equals_brute_force():
 
 def test_contexts_are_sums_over_neighbours():
     got, index = contexts(["aa bb cc dd", "ee"]), index_vectors()
-    b = {w: parts_of(w)[0] for w in ("aa", "bb", "cc", "dd", "ee")}
+    b = {w: parts_of(w)[0][0] for w in ("aa", "bb", "cc", "dd", "ee")}
     assert np.allclose(got[b["aa"]], index[b["bb"]] + index[b["cc"]]) and np.allclose(got[b["cc"]], index[b["aa"]] + index[b["bb"]] + index[b["dd"]]) and not got[b["ee"]].any()
 
 
