@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import batches_of, by_id_order, filesystem, give_back, new_dir, ship, strings
-from skerry.llm.words import spread, word_bpe
+from skerry.llm.common import batches_of, by_id_order, filesystem, give_back, new_dir, ship, spread, strings
+from skerry.llm.words import word_bpe
 
 FRAME_IDS = 262_144
 BATCH_BYTES = 3_000_000

@@ -17,10 +17,6 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from skerry.llm.common import spread
-
-__all__ = ["WordBpe", "spread", "word_bpe"]
-
 #: Code points from here on take the library's own path.
 LIMIT = 0x3000
 SPACE, LETTER, DIGIT, MARK, ODD = range(5)
@@ -44,6 +40,7 @@ class WordBpe:
         added = spec["added_tokens"]
         self.special = {x["content"]: x["id"] for x in added}
         self.cut_special = re.compile("|".join(re.escape(x) for x in self.special)) if self.special else None
+        self.special_heads = {x[0] for x in self.special}
         end = spec["model"]["end_of_word_suffix"]
         bare = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}
         self.bare = Tokenizer.from_str(json.dumps(bare))
@@ -99,7 +96,7 @@ class WordBpe:
     def split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """(distinct words, codes of all words, each text's first code, each text's number of codes)."""
         n = len(texts)
-        odd = np.fromiter((any(s in t for s in self.special) if "<|" in t else False for t in texts), bool, n)
+        odd = np.fromiter((any(c in t for c in self.special_heads) and self.cut_special.search(t) is not None for t in texts), bool, n)
         low = [t.lower() if t.isascii() else t.replace("Σ", "σ").lower() for t in texts]
         sizes = np.fromiter(map(len, low), np.int64, n)
         begin = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]

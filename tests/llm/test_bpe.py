@@ -9,9 +9,9 @@ from helpers import DOCS, ODD, docs, multiset, table
 
 from skerry.llm import tokenfile
 from skerry.llm.bpe import encode_decode
-from skerry.llm.common import new_dir, read_table
+from skerry.llm.common import new_dir, read_table, spread
 from skerry.llm.queries_bpe import op6_tokenfile, op10_bpe, tokenizer_path
-from skerry.llm.words import LIMIT, spread, word_bpe
+from skerry.llm.words import LIMIT, word_bpe
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +100,28 @@ def test_damaged_frame_is_noticed(spark, tmp_path):
 def test_empty_table_query(spark, tmp_path):
     sf = table(spark, tmp_path, "documents", [], DOCS)
     assert op10_bpe(spark, sf).count() == 0 and op6_tokenfile(spark, sf).count() == 0
+
+
+def test_each_distinct_word_is_encoded_once(bpe, monkeypatch):
+    """Words sorted over several batches, runs going on in the next one: ids go to every block and place."""
+    import pyarrow as pa
+
+    from skerry.llm import bpe as B
+
+    words = sorted((w for w in ["the"] * 7 + ["quick"] * 2 + ["jinxed", "vampires"] * 3), key=str.encode)
+    rows = [(w, 100 + i, i) for i, w in enumerate(words)]
+    encoded = []
+    once = type(bpe).encode
+    monkeypatch.setattr(type(bpe), "encode", lambda self, ws: encoded.extend(ws) or once(self, ws))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4], strict=True), (pa.string(), pa.int64(), pa.int32()), strict=True)], ["word", "block", "place"]) for a in range(0, len(rows), 4)]
+    got = [tuple(r.values()) for b in B._encode_table(tokenizer_path())(iter(batches)) for r in b.to_pylist()]
+    monkeypatch.undo()
+    assert sorted(encoded) == sorted(set(words))
+    assert got == [(b, p, k, i) for w, b, p in rows for k, i in enumerate(library(bpe, [w])[0])]
+
+
+def test_vocabulary_decodes_any_file_with_special_strings(spark, bpe):
+    from skerry.llm.bpe import vocabulary
+
+    got = {r["id"]: r["piece"] for r in vocabulary(spark, tokenizer_path()).collect()}
+    assert got == dict(enumerate(bpe.pieces)) and got[49407] == "<|endoftext|>"
