@@ -102,22 +102,40 @@ def test_empty_table_query(spark, tmp_path):
     assert op10_bpe(spark, sf).count() == 0 and op6_tokenfile(spark, sf).count() == 0
 
 
-def test_each_distinct_word_is_encoded_once(bpe, monkeypatch):
-    """Words sorted over several batches, runs going on in the next one: ids go to every block and place."""
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_each_distinct_word_is_encoded_once(bpe, monkeypatch, most):
+    """In one part of the table, over several blocks; with a lower bound it begins anew and gives the same."""
     import pyarrow as pa
+    import zstandard
 
     from skerry.llm import bpe as B
 
-    words = sorted((w for w in ["the"] * 7 + ["quick"] * 2 + ["jinxed", "vampires"] * 3), key=str.encode)
-    rows = [(w, 100 + i, i) for i, w in enumerate(words)]
+    monkeypatch.setattr(B, "REMEMBERED", most)
+    blocks = [["the", "quick"], ["the", "jinxed", "vampires"], ["quick", "the"], ["vampires"]]
     encoded = []
     once = type(bpe).encode
     monkeypatch.setattr(type(bpe), "encode", lambda self, ws: encoded.extend(ws) or once(self, ws))
-    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4], strict=True), (pa.string(), pa.int64(), pa.int32()), strict=True)], ["word", "block", "place"]) for a in range(0, len(rows), 4)]
-    got = [tuple(r.values()) for b in B._encode_table(tokenizer_path())(iter(batches)) for r in b.to_pylist()]
+    pack = zstandard.ZstdCompressor().compress
+    batch = pa.RecordBatch.from_pydict({"bucket": [0] * 4, "block": [10, 11, 12, 13], "at": [b""] * 4, "words": [pack("\n".join(ws).encode()) for ws in blocks]})
+    got = [r for b in B._encode_table(tokenizer_path())(iter([batch])) for r in b.to_pylist()]
     monkeypatch.undo()
-    assert sorted(encoded) == sorted(set(words))
-    assert got == [(b, p, k, i) for w, b, p in rows for k, i in enumerate(library(bpe, [w])[0])]
+    assert most == 3 or sorted(encoded) == sorted({w for ws in blocks for w in ws})
+    for r, ws in zip(got, blocks, strict=True):
+        low, high = B._unpack(r["ids"], "<u2").reshape(2, -1).astype(int)
+        assert (low + (high << 16)).tolist() == [i for w in ws for i in library(bpe, [w])[0]]
+
+
+def test_decode_of_stored_ids(spark, bpe):
+    from pyspark.sql import functions as F
+
+    from skerry.llm.bpe import decode
+
+    ids = library(bpe, [t or "" for _, t, *_ in ODD])
+    rows = [(d, i) for (d, *_), i in zip(ODD, ids, strict=True)] + [(70, None), (71, [1, 10**8, 1])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumns({"id": F.lit(1), "piece": F.lit("x"), "_row": F.lit(2)})
+    want = [(d, bpe.whole.decode([x for x in i or [] if x < len(bpe.pieces)], skip_special_tokens=False)) for d, i in rows]
+    assert multiset(map(tuple, decode(df, tokenizer_path()).collect())) == multiset(want)
+    assert decode(df.limit(0), tokenizer_path()).count() == 0
 
 
 def test_vocabulary_decodes_any_file_with_special_strings(spark, bpe):
