@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+_TABLES: list[str] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +46,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A URI of a folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` if it is set; otherwise (tests, one machine) a
-    folder of this process.
+    ``spark.checkpoint.dir`` if it is set; otherwise a folder of this process,
+    on one machine alone: a cluster must name one.
     """
     sc = spark.sparkContext
     got = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not got:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="skerry-shared-"))
         got = _OWN_DIR[0]
@@ -76,9 +79,25 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     to = new_dir(spark, "table")
     df.write.parquet(to)
+    _TABLES.append(to)
     return spark.read.schema(df.schema).parquet(to)
 
 
+def tables_made() -> int:
+    """Tables that ``cut`` has made in this process so far."""
+    return len(_TABLES)
+
+
+def drop_tables(spark: SparkSession, since: int, but_last: bool = False) -> None:
+    """Deletes what ``cut`` has made since, all but its last table if told so: for a job that has written what came of them."""
+    end = len(_TABLES) - 1 if but_last else len(_TABLES)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for uri in _TABLES[since:end]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(conf).delete(path, True)
+    del _TABLES[since:end]
+
+
 def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

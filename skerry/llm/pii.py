@@ -162,7 +162,9 @@ def redact(text: str, found: list[tuple[str, int, int]]) -> str:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``spans array<struct<kind,start,end>>`` of every whole text (null: empty, no spans).
 
-    One row for each row, whatever is null or repeated; other columns are left out.
+    One row for each row, whatever is null or repeated; very long texts are read
+    whole; of spans that begin together the order is that of KINDS; other
+    columns are left out, whatever their names; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
     schema = "doc_id long, spans array<struct<kind: string, start: long, end: long>>"
@@ -180,7 +182,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact_documents(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """The same rows and columns with personal data in ``text_col`` replaced; ``size_col`` follows the new text.
 
-    A null text stays null.
+    A null text stays null, an empty one empty; overlapping spans become one,
+    named by the first; repeated rows are changed alike; very long texts are read
+    whole; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)

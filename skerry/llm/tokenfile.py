@@ -27,6 +27,8 @@ from skerry.llm.common import batches_of, by_id_order, filesystem, give_back, ne
 from skerry.llm.words import word_bpe
 
 FRAME_IDS = 262_144
+#: Ids, and documents, of a file from which the next batch of its range begins another; they bound its index in memory.
+FILE_IDS, FILE_DOCS = 1 << 28, 1 << 20
 BATCH_BYTES = 3_000_000
 #: Words whose ids a worker remembers at most, before it begins anew.
 REMEMBERED = 700_000
@@ -116,7 +118,7 @@ def _write(path: str, folder: str, end_id: int):
         mem = _REMEMBERED.setdefault(path, _Remembered(path))
         width = "<u2" if len(mem.bpe.pieces) <= 1 << 16 and end_id < 1 << 16 else "<u4"
         fs, root = filesystem(folder)
-        part, out, name = TaskContext.get().partitionId(), None, ""
+        part, seq, out, name, files = TaskContext.get().partitionId(), 0, None, "", []
         doc_ids: list[int | None] = []
         sizes: list[np.ndarray] = []
         docs_in_frame: list[int] = []
@@ -129,9 +131,22 @@ def _write(path: str, folder: str, end_id: int):
             docs_in_frame.append(held_docs)
             held, held_n, held_docs = [], 0, 0
 
+        def close() -> None:
+            nonlocal out, seq, doc_ids, sizes, docs_in_frame
+            if held_docs:
+                flush()
+            n_tokens = np.concatenate(sizes)
+            ids_ = np.array([x if x is not None else 0 for x in doc_ids], "<i8")
+            none = np.array([x is None for x in doc_ids], np.uint8)
+            header = json.dumps({"docs": len(ids_), "frames": len(docs_in_frame), "width": width, "end_id": end_id}).encode()
+            w.close(struct.pack("<I", len(header)) + header + ids_.tobytes() + none.tobytes() + n_tokens.astype("<i8").tobytes() + np.array(docs_in_frame, "<i8").tobytes())
+            out.close()
+            files.append((part, seq, name, len(ids_), int(n_tokens.sum())))
+            out, seq, doc_ids, sizes, docs_in_frame = None, seq + 1, [], [], []
+
         for b in batches_of(it, "text", BATCH_BYTES):
             if out is None:
-                name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.tok.zst"
+                name = f"part-{part:06d}-{seq:04d}-{uuid.uuid4().hex[:12]}.tok.zst"
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 w = SeekableWriter(out, level=1)
             words, codes, head, count = mem.bpe.split(strings(b.column(1)))
@@ -158,17 +173,13 @@ def _write(path: str, folder: str, end_id: int):
                 at = stop
                 if held_n >= FRAME_IDS or at < len(z):
                     flush()
+            if sum(int(x.sum()) for x in sizes) >= FILE_IDS or len(doc_ids) >= FILE_DOCS:
+                close()
         if out is not None:
-            if held_docs:
-                flush()
-            n_tokens = np.concatenate(sizes)
-            ids_ = np.array([x if x is not None else 0 for x in doc_ids], "<i8")
-            none = np.array([x is None for x in doc_ids], np.uint8)
-            header = json.dumps({"docs": len(ids_), "frames": len(docs_in_frame), "width": width, "end_id": end_id}).encode()
-            w.close(struct.pack("<I", len(header)) + header + ids_.tobytes() + none.tobytes() + n_tokens.astype("<i8").tobytes() + np.array(docs_in_frame, "<i8").tobytes())
-            out.close()
-            give_back()
-            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "docs": [len(ids_)], "tokens": [int(n_tokens.sum())]})
+            close()
+        give_back()
+        if files:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*files, strict=True)], ["part", "seq", "name", "docs", "tokens"])
 
     return run
 
@@ -176,18 +187,19 @@ def _write(path: str, folder: str, end_id: int):
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Writes the ids of all documents, in ascending id order, and returns the list of files.
 
-    One file for each range of ids; ``manifest.json`` beside them lists those
+    One file for each range of ids, or more of FILE_IDS ids each; ``manifest.json`` beside them lists those
     of the attempts that succeeded, with documents and ids before each, so a
     retried task leaves at most a file that nothing reads. A null text is
     empty (its end id alone); null document ids come first; repeated ids are
-    ordered by their text; an empty table gives an empty manifest.
+    ordered by their text and stand in one range; very long texts are a frame of
+    their own; other columns are left out; an empty table gives an empty manifest.
     """
     ship(docs.sparkSession)
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = by_id_order(rows, "id").sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()).select("id", "text")
-    files = sorted((r.asDict() for r in ordered.mapInArrow(_write(path, folder, end_id), "part long, name string, docs long, tokens long").collect()), key=lambda r: r["part"])
+    files = sorted((r.asDict() for r in ordered.mapInArrow(_write(path, folder, end_id), "part long, seq long, name string, docs long, tokens long").collect()), key=lambda r: (r["part"], r["seq"]))
     at = 0
     for f in files:
         f["start"] = at
@@ -242,6 +254,8 @@ def _read(folder: str, project: Project, schema: pa.Schema):
 def read_tokens(spark: SparkSession, folder: str, project: Project = _real, schema: pa.Schema = REAL_SCHEMA) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before it) and ``ids`` of every document in ``folder``.
 
+    Null and repeated document ids, empty texts and very long ones come back as
+    they were written; a folder of an empty table gives an empty one.
     ``project`` turns them into other columns within the same pass.
     """
     from pyspark.sql.pandas.types import from_arrow_schema
@@ -256,7 +270,7 @@ def read_tokens(spark: SparkSession, folder: str, project: Project = _real, sche
 
 
 def read_documents(folder: str, wanted: set[int]) -> dict[int, np.ndarray]:
-    """The ids of single documents, from their frames alone."""
+    """The ids of single documents, from their frames alone; ids that aren't there are left out, of repeated ones the last counts."""
     fs, root = filesystem(folder)
     with fs.open_input_file(f"{root}/manifest.json") as f:
         files = json.loads(f.read())["files"]

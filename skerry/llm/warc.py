@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import batches_of, cut, filesystem, new_dir, ship
+from skerry.llm.common import batches_of, cut, filesystem, look_up, new_dir, ship
 from skerry.llm.tokenfile import SeekableReader, SeekableWriter
 
 FRAME_BYTES = 1_000_000
@@ -42,7 +42,11 @@ def _one_line(text: str) -> str:
 
 
 def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """A response or, with ``refers_to``, a revisit record (its block is empty; the digest and length are the full payload's)."""
+    """A response, an HTTP message that holds the payload, or, with ``refers_to``, a revisit record (its block is empty).
+
+    Digest and length are the full payload's in both. Record ids are the pages'
+    ids, so that rows of one page id share theirs.
+    """
     kind = "response" if refers_to is None else "revisit"
     head = [
         "WARC/1.1",
@@ -55,13 +59,14 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     ]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
-    block = payload if refers_to is None else b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http + payload if refers_to is None else b""
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record in a frame."""
+    """(headers, payload) of each record in a frame; a revisit's is empty."""
     at = 0
     while at < len(raw):
         end = raw.index(b"\r\n\r\n", at)
@@ -70,7 +75,8 @@ def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError("no record where one should begin")
         head = {k.lower(): v for k, v in (x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])}
         size = int(head["content-length"])
-        yield head, raw[end + 4 : end + 4 + size]
+        block = raw[end + 4 : end + 4 + size]
+        yield head, block.partition(b"\r\n\r\n")[2]
         at = end + 4 + size + 4
 
 
@@ -128,11 +134,12 @@ def revisits(pages: DataFrame, id_col: str, payload: str, least_bytes: int) -> D
     """(page_id, key, refers_to) of the rows whose payload a smaller page id has too.
 
     Only ids and payload hashes are shuffled; the smallest id of each hash
-    comes from a pre-aggregated sum, so one payload may hold any share of rows.
+    comes from a pre-aggregated sum, and frequent hashes are looked up apart, so
+    one payload may hold any share of the rows.
     """
-    keyed = pages.filter(F.octet_length(payload) >= least_bytes).select(F.col(id_col).alias("page_id"), F.sha2(payload, 256).alias("key"))
-    seen = keyed.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return keyed.join(seen, "key").filter("page_id > refers_to").distinct()
+    keyed = cut(pages.filter(F.octet_length(payload) >= least_bytes).select(F.col(id_col).alias("page_id"), F.sha2(payload, 256).alias("key")))
+    seen = cut(keyed.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    return look_up(keyed, seen, "key").filter("page_id > refers_to").distinct()
 
 
 def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> int:
@@ -141,7 +148,11 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     Payload: the column's UTF-8 (null: empty). Of rows with equal payloads of
     ``least_bytes`` or more, those of the smallest page id are responses and
     the others revisit records; rows with a null page id are responses.
-    ``manifest.json`` lists the bundles of the attempts that succeeded.
+    Repeated rows give a record each; very long payloads are a frame of their
+    own; other columns are left out; an empty table gives no bundle.
+    ``manifest.json`` lists the bundles of the attempts that succeeded. Where
+    the list of revisits is beyond Spark's broadcast limit, rows are joined to
+    it by a shuffle of ids, urls and payloads.
     """
     ship(pages.sparkSession)
     fs, root = filesystem(folder)
@@ -191,7 +202,11 @@ def _read(folder: str, project: Project, schema: pa.Schema):
 
 
 def read_bundles(spark: SparkSession, folder: str, project: Project = _real, schema: pa.Schema = REAL_SCHEMA) -> DataFrame:
-    """Every record of every bundle in ``folder``: ids, types, digests and blocks."""
+    """Every record of every bundle in ``folder``: ids, types, digests and payloads (``block``; empty for revisits).
+
+    Null ids and urls, empty payloads and repeated rows come back as they were
+    written (a null url as ''); a folder without bundles gives an empty table.
+    """
     from pyspark.sql.pandas.types import from_arrow_schema
 
     ship(spark)

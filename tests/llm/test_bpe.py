@@ -143,3 +143,34 @@ def test_vocabulary_decodes_any_file_with_special_strings(spark, bpe):
 
     got = {r["id"]: r["piece"] for r in vocabulary(spark, tokenizer_path()).collect()}
     assert got == dict(enumerate(bpe.pieces)) and got[49407] == "<|endoftext|>"
+
+
+def test_files_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "FILE_DOCS", 2)
+    monkeypatch.setattr(tokenfile, "BATCH_BYTES", 40)
+    rows = [(i, f"some words of text {i}", "en", "s", 1) for i in range(40)]
+    folder = new_dir(spark, "files")
+    files = tokenfile.write_tokens(docs(spark, rows), folder, tokenizer_path(), 2)
+    assert len(files) > len({f["part"] for f in files}) and sum(f["docs"] for f in files) == 40
+    got = sorted((r["doc_id"], r["start"], r["ids"]) for r in tokenfile.read_tokens(spark, folder).collect())
+    at = 0
+    for i, (d, start, ids) in enumerate(got):
+        assert d == i and start == at and ids[-1] == 2
+        at += len(ids)
+    assert tokenfile.read_documents(folder, {7})[7].tolist() == got[7][2]
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from skerry.llm import common
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:1", getConf=lambda: SimpleNamespace(get=lambda *_: None)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(far)
+    since = common.tables_made()
+    a, b = common.cut(spark.range(3)), common.cut(spark.range(4))
+    common.drop_tables(spark, since, but_last=True)
+    assert b.count() == 4 and common.tables_made() == since + 1
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        a.collect()
