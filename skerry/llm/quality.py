@@ -68,6 +68,8 @@ def parts_of(chunk: str) -> list[tuple[int, int, int]]:
 
     A word has the marks up to the next one, the first also those before it.
     """
+    if chunk.isalpha() and chunk.isascii():
+        return [(bucket(chunk.lower()), -1, _shape(chunk))]
     words = list(_CORE.finditer(chunk))
     if not words:
         return [(-1, bucket("\2" + chunk), bucket("\1marks"))]
@@ -82,8 +84,8 @@ def parts_of(chunk: str) -> list[tuple[int, int, int]]:
 _remembered = lru_cache(maxsize=REMEMBERED)(parts_of)
 
 
-def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(parts of the distinct runs' words, places in these of all words, words of each text)."""
+def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(parts of the distinct runs' words, words of each distinct run, codes of all runs, runs of each text)."""
     lists = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
     flat = lists.flatten()
     keep = pc.not_equal(flat, "")
@@ -92,11 +94,8 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = kept[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
     each = [_remembered(w) if len(w) <= REMEMBERED_CHARS else parts_of(w) for w in coded.dictionary.to_pylist()]
     n = np.fromiter(map(len, each), np.int64, len(each))
-    parts = np.array([p for ps in each for p in ps], np.int64).reshape(-1, 3)
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    reps = n[codes]
-    counts = np.diff(np.concatenate(([0], np.cumsum(reps)))[ends])
-    return parts, spread((np.cumsum(n) - n)[codes], reps), counts
+    parts = np.fromiter((x for ps in each for p in ps for x in p), np.int64, 3 * int(n.sum())).reshape(-1, 3)
+    return parts, n, coded.indices.to_numpy(zero_copy_only=False), np.diff(ends)
 
 
 def _rows(table: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -107,16 +106,18 @@ def _rows(table: np.ndarray, which: np.ndarray) -> np.ndarray:
 
 def pooled(texts: list[str], context: np.ndarray) -> np.ndarray:
     """Mean index and context vectors over a text's words, and the log of their number; zeros for an empty text."""
-    parts, codes, counts = chunks(texts)
+    parts, n, codes, counts = chunks(texts)
     out = np.zeros((len(texts), 2 * DIM + 1), np.float32)
     some = np.flatnonzero(counts)
     if not len(some):
         return out
     index = index_vectors()
     table = np.hstack([sum(_rows(t, parts[:, k]) for k in range(3)) for t in (index, context)])
+    if len(parts) > len(n):  # a run of several words is their sum
+        table = np.add.reduceat(table, np.cumsum(n) - n, axis=0)
     begin = (np.cumsum(counts) - counts)[some]
     total = np.zeros((len(some), 2 * DIM), np.float64)
-    step = 100_000  # words gathered at a time
+    step = 20_000  # runs gathered at a time
     for a in range(0, len(codes), step):
         z = min(len(codes), a + step)
         lo, hi = np.searchsorted(begin, a, side="right") - 1, np.searchsorted(begin, z, side="left")
@@ -124,19 +125,23 @@ def pooled(texts: list[str], context: np.ndarray) -> np.ndarray:
     again = np.concatenate(([False], codes[1:] == codes[:-1]))
     again[begin] = False
     repeats = np.add.reduceat(again, begin, dtype=np.int64)
+    words = np.add.reduceat(n[codes], begin)
     b = bucket(_REPEAT)
     total += repeats[:, None] * np.concatenate((index[b], context[b]))[None, :] * NONZERO
-    out[some, :-1] = total / counts[some][:, None]
-    out[some, -1] = np.log1p(counts[some])
+    out[some, :-1] = total / words[:, None]
+    out[some, -1] = np.log1p(words)
     return out
 
 
 def contexts(texts: list[str]) -> np.ndarray:
     """Sums of the index vectors of the words within REACH, for each hashed word of the texts."""
-    parts, codes, counts = chunks(texts)
+    parts, n, codes, counts = chunks(texts)
     out = np.zeros((BUCKETS, DIM), np.float32)
     if not len(codes):
         return out
+    reps = n[codes]
+    counts = np.diff(np.concatenate(([0], np.cumsum(reps)))[np.concatenate(([0], np.cumsum(counts)))])
+    codes = spread((np.cumsum(n) - n)[codes], reps)
     index = index_vectors()
     table = sum(_rows(index, parts[:, k]) for k in range(3))
     doc = np.repeat(np.arange(len(counts)), counts)
