@@ -55,12 +55,26 @@ def index_vectors() -> np.ndarray:
     return out
 
 
+UPPER, MIXED, TITLE, MARKS = (bucket("\1" + x) for x in ("upper", "mixed", "title", "marks"))
+
+
 def _shape(core: str) -> int:
+    if core.islower() and core.isalpha():
+        return -1
     if len(core) > 1 and core.isupper():
-        return bucket("\1upper")
+        return UPPER
     if not core.isalpha():
-        return bucket("\1mixed")
-    return bucket("\1title") if core[0].isupper() else -1
+        return MIXED
+    return TITLE if core[0].isupper() else -1
+
+
+@lru_cache(maxsize=10_000)
+def _few_marks(marks: str) -> int:
+    return bucket("\2" + marks)
+
+
+def _marks(marks: str) -> int:
+    return -1 if not marks else _few_marks(marks) if len(marks) <= 8 else bucket("\2" + marks)
 
 
 def parts_of(chunk: str) -> list[tuple[int, int, int]]:
@@ -70,14 +84,15 @@ def parts_of(chunk: str) -> list[tuple[int, int, int]]:
     """
     if chunk.isalpha() and chunk.isascii():
         return [(bucket(chunk.lower()), -1, _shape(chunk))]
-    words = list(_CORE.finditer(chunk))
-    if not words:
-        return [(-1, bucket("\2" + chunk), bucket("\1marks"))]
-    out, ahead = [], chunk[: words[0].start()]
-    for m, after in zip(words, [*words[1:], None], strict=True):
+    m = _CORE.search(chunk)
+    if not m:
+        return [(-1, _marks(chunk), MARKS)]
+    out, ahead = [], chunk[: m.start()]
+    while m:
+        after = _CORE.search(chunk, m.end())
         marks = ahead + chunk[m.end() : after.start() if after else len(chunk)]
-        out.append((bucket(m[0].lower()), bucket("\2" + marks) if marks else -1, _shape(m[0])))
-        ahead = ""
+        out.append((bucket(m[0].lower()), _marks(marks), _shape(m[0])))
+        ahead, m = "", after
     return out
 
 
@@ -92,7 +107,7 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     coded = pc.filter(flat, keep).dictionary_encode()
     kept = np.concatenate(([0], np.cumsum(keep.to_numpy(zero_copy_only=False), dtype=np.int64)))
     ends = kept[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-    each = [_remembered(w) if len(w) <= REMEMBERED_CHARS else parts_of(w) for w in coded.dictionary.to_pylist()]
+    each = [_remembered(w) if len(w) <= REMEMBERED_CHARS else parts_of(w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
     n = np.fromiter(map(len, each), np.int64, len(each))
     parts = np.fromiter((x for ps in each for p in ps for x in p), np.int64, 3 * int(n.sum())).reshape(-1, 3)
     return parts, n, coded.indices.to_numpy(zero_copy_only=False), np.diff(ends)
@@ -113,8 +128,12 @@ def pooled(texts: list[str], context: np.ndarray) -> np.ndarray:
         return out
     index = index_vectors()
     table = np.hstack([sum(_rows(t, parts[:, k]) for k in range(3)) for t in (index, context)])
-    if len(parts) > len(n):  # a run of several words is their sum
-        table = np.add.reduceat(table, np.cumsum(n) - n, axis=0)
+    several = n > 1
+    if several.any():  # a run of several words is their sum
+        first = np.cumsum(n) - n
+        sums = np.add.reduceat(table[np.repeat(several, n)], np.cumsum(n[several]) - n[several], axis=0)
+        table = table[first]
+        table[several] = sums
     begin = (np.cumsum(counts) - counts)[some]
     total = np.zeros((len(some), 2 * DIM), np.float64)
     step = 20_000  # runs gathered at a time
