@@ -36,11 +36,9 @@ def collection_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def query_terms(queries: DataFrame, id_col: str = "qid", text_col: str = "query", most: int | None = None) -> DataFrame:
-    """(qid, q): the distinct tokens of each query, the first ``most`` of its tokens if given."""
-    tokens = code_tokens(F.col(text_col))
-    tokens = F.slice(tokens, 1, most) if most else tokens
-    return queries.select(F.col(id_col).alias("qid"), F.explode(F.array_distinct(tokens)).alias("q"))
+def query_terms(queries: DataFrame, id_col: str = "qid", text_col: str = "query") -> DataFrame:
+    """(qid, q): the distinct tokens of each whole query."""
+    return queries.select(F.col(id_col).alias("qid"), F.explode(F.array_distinct(code_tokens(F.col(text_col)))).alias("q"))
 
 
 def expand_prefixes(vocabulary: DataFrame, terms: DataFrame, p: Bm25 = Bm25()) -> DataFrame:
@@ -69,14 +67,16 @@ def bm25(post: DataFrame, expanded: DataFrame, p: Bm25 = Bm25()) -> DataFrame:
     """(qid, doc_id, score, matched): OR of the query's terms, times the query terms that the document has.
 
     Only postings of the expanded terms are kept before anything is summed;
-    document frequencies come from those alone.
+    document frequencies come from those alone. What a query term gives a
+    document is summed once, however many queries have that term.
     """
     lengths = doc_lengths(post)
+    pairs, asked = expanded.select("q", "term", "weight").distinct(), expanded.select("qid", "q").distinct()
     wanted = post.join(expanded.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = wanted.join(lengths, "doc_id").join(df, "term").join(expanded, "term").crossJoin(F.broadcast(collection_stats(lengths)))
-    per_term = hits.withColumn("s", _score(p)).groupBy("qid", "doc_id", "q").agg(F.sum("s").alias("s"))
-    got = per_term.groupBy("qid", "doc_id").agg((F.sum("s") * F.count(F.lit(1))).alias("score"), F.count(F.lit(1)).alias("matched"))
+    hits = wanted.join(lengths, "doc_id").join(df, "term").join(pairs, "term").crossJoin(F.broadcast(collection_stats(lengths)))
+    per_term = hits.withColumn("s", _score(p)).groupBy("doc_id", "q").agg(F.sum("s").alias("s"))
+    got = per_term.join(asked, "q").groupBy("qid", "doc_id").agg((F.sum("s") * F.count(F.lit(1))).alias("score"), F.count(F.lit(1)).alias("matched"))
     # nine decimals: sums in another order then give the same score, and ties stay ties
     return got.withColumn("score", F.floor(F.col("score") * 1e9 + 0.5) / 1e9)
 

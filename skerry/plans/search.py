@@ -26,7 +26,7 @@ tokens AS (SELECT doc_id, unnest({_TOKEN_SQL.format(t="text")}) AS term FROM doc
 post AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
 lengths AS (SELECT doc_id, count(*) AS dl FROM post GROUP BY ALL),
 stats AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM lengths),
-terms AS (SELECT DISTINCT item_id AS qid, unnest(list_slice({_TOKEN_SQL.format(t="text")}, 1, 3)) AS q FROM benchmark)"""
+terms AS (SELECT DISTINCT item_id AS qid, unnest({_TOKEN_SQL.format(t="text")}) AS q FROM benchmark)"""
 
 EXACT_SQL = "expanded AS (SELECT qid, q, q AS term, 1.0::DOUBLE AS weight FROM terms)"
 PREFIX_SQL = """
@@ -55,7 +55,7 @@ def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", most=3)
+    return lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 def _scored(spark: SparkSession, sf_dir: str, prefix: bool = True) -> DataFrame:
@@ -182,11 +182,11 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _as_chunks(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
     """Hits as chunks: a source is a file, its documents are the chunks."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), F.col("doc_id").alias("chunk_index"), "text")
-    return ranked.join(d, "id").select("qid", "file_path", "chunk_index", F.col("chunk_index").alias("line_start"), (F.col("chunk_index") + 9).alias("line_end"), F.substring("text", 1, 40).alias("chunk_text"), "score")
+    return ranked.join(d, "id").select("qid", "file_path", "chunk_index", F.col("chunk_index").alias("line_start"), (F.col("chunk_index") + 9).alias("line_end"), F.col("text").alias("chunk_text"), "score")
 
 
 CHUNKS_SQL = """
-chunks AS (SELECT qid, source AS file_path, id AS chunk_index, id AS line_start, id + 9 AS line_end, substr(text, 1, 40) AS chunk_text, score FROM {t} JOIN documents ON doc_id = id)"""
+chunks AS (SELECT qid, source AS file_path, id AS chunk_index, id AS line_start, id + 9 AS line_end, text AS chunk_text, score FROM {t} JOIN documents ON doc_id = id)"""
 
 
 def _collapse_sql(source: str = "chunks", by: str = "qid") -> str:
