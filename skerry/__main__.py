@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
@@ -26,6 +27,18 @@ def as_text(got: dict) -> str:
     return "\n".join(out) if out else "No results."
 
 
+def _model(name: str | None):
+    """The embedder that ``module:name`` names."""
+    if name is None:
+        return None
+    module, _, attr = name.partition(":")
+    try:
+        got = getattr(importlib.import_module(module), attr)
+    except (ImportError, AttributeError) as e:
+        raise EngineError("GENERAL_ERROR", f"No embedder {name}: {e}", "Name it as module:name") from e
+    return got() if isinstance(got, type) or not hasattr(got, "embed") else got
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="skerry")
     sub = p.add_subparsers(dest="command", required=True)
@@ -37,7 +50,7 @@ def main(args: list[str] | None = None) -> int:
     q = sub.add_parser("query")
     q.add_argument("text")
     q.add_argument("--path", default=".")
-    q.add_argument("--top-k", type=int, default=10)
+    q.add_argument("-k", "--top-k", type=int, default=10)
     q.add_argument("--dir")
     q.add_argument("--threshold", type=float)
     q.add_argument("--type")
@@ -46,15 +59,18 @@ def main(args: list[str] | None = None) -> int:
     s = sub.add_parser("status")
     s.add_argument("path", nargs="?", default=".")
     s.add_argument("--no-ignore", action="store_true")
+    for x in (i, q):
+        x.add_argument("--model", help="module:name of an embedder of texts, or of a function that makes one")
+        x.add_argument("--clip-model", help="the same for images")
     for x in (i, q, s):
         x.add_argument("--format", choices=("json", "text"), default="json")
     a = p.parse_args(args)
     spark = SparkSession.builder.config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         if a.command == "index":
-            got = api.index(spark, a.path, not a.no_ignore, a.type, a.clear)
+            got = api.index(spark, a.path, not a.no_ignore, a.type, a.clear, _model(a.model), _model(a.clip_model))
         elif a.command == "query":
-            got = api.query(spark, a.text, a.path, a.top_k, a.dir, a.threshold, a.type, a.mode, not a.no_auto_index)
+            got = api.query(spark, a.text, a.path, a.top_k, a.dir, a.threshold, a.type, a.mode, not a.no_auto_index, _model(a.model), _model(a.clip_model))
             if a.format == "json":
                 got = {k: v for k, v in got.items() if k not in ("code", "text", "image") or v}
         else:

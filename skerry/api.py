@@ -118,18 +118,25 @@ def _nearest(spark: SparkSession, vectors: DataFrame, vector, k: int) -> DataFra
 def search(
     spark: SparkSession, store: Store, text: str, kind: str, mode: str, k: int, threshold: float | None, dir: str | None, embedder: Embedder | None
 ) -> DataFrame:
-    """Collapsed results (file_path, line_start, line_end, score, chunk_text, rank) of one type."""
+    """Collapsed results (file_path, line_start, line_end, score, chunk_text, rank) of one type.
+
+    A folder's chunks are ranked among themselves, with the whole type's term statistics.
+    """
     fetch = results.over_fetch(k, threshold is not None or dir is not None)
     chunks = store.load("chunks").filter(F.col("type") == kind)
-    row = chunks.select("id", F.col("path").alias("file_path"), "chunk_index", "line_start", "line_end", "chunk_text")
+    inside = chunks if dir is None else chunks.filter(results.in_folder(F.col("path"), dir))
+    row = inside.select("id", F.col("path").alias("file_path"), "chunk_index", "line_start", "line_end", "chunk_text")
     sem = lex = None
     if mode != "keyword" and embedder is not None:
         own = store.load("vectors").filter((F.col("type") == kind) & (F.col("model_id") == embedder.model_id))
+        own = own if dir is None else own.join(inside.select("id"), "id", "left_semi")
         sem = _nearest(spark, own, embedder.embed([PREFIXES[kind] + text])[0], fetch).withColumn("score", knn.search_score())
     if mode != "semantic":
         post = store.load("postings").join(chunks.select("id"), "id", "left_semi").withColumnRenamed("id", "doc_id")
         terms = lexical.query_terms(spark.createDataFrame([(0, text)], "qid long, query string"))
         hits = lexical.bm25(post, lexical.expand_prefixes(post.select("term").distinct(), terms))
+        if dir is not None:
+            hits = hits.join(inside.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         lex = lexical.relative(lexical.top_k(hits, fetch)).withColumnRenamed("doc_id", "id")
     if sem is not None and lex is not None and not sem.isEmpty() and not lex.isEmpty():
         ranked = fusion.rrf(sem.select("qid", "id", "rank"), lex.select("qid", "id", "rank")).select("qid", "id", "score")
@@ -163,7 +170,13 @@ def query(
     if type is not None and type not in by_type:
         raise EngineError("NO_INDEX", f"No {type} files are indexed", "Index files of this type first")
     stale = 0 if indexing else _stale(spark, project_dir, store)
-    effective = "keyword" if mode == "hybrid" and embedder is None else mode
+    effective, warning = mode, None
+    if mode != "semantic" and not store.has("postings"):
+        effective, warning = "semantic", "No keyword index: falling back to semantic search. Index the folder again for keyword and hybrid search"
+    if effective == "hybrid" and embedder is None:
+        effective = "keyword"
+    if effective == "semantic" and embedder is None and (image_embedder is None or type in ("code", "text")):
+        raise EngineError("GENERAL_ERROR", f"Semantic search needs an embedder{': the keyword index is missing' if warning else ''}", "Name one (--model), or use keyword mode")
     out: dict = {"query": text, "total_indexed": sum(by_type.values()), "search_scope": dir or ".", "mode": effective, "code": [], "text": [], "image": []}
     for kind in ("code", "text"):
         if kind in by_type and type in (None, kind):
@@ -174,11 +187,14 @@ def query(
                 out[kind].append(item)
     if "image" in by_type and type in (None, "image") and effective != "keyword" and image_embedder is not None:
         own = store.load("vectors").filter((F.col("type") == "image") & (F.col("model_id") == image_embedder.model_id))
+        own = own if dir is None else own.filter(results.in_folder(F.col("path"), dir))
         near = _nearest(spark, own, ensemble(image_embedder, text), results.over_fetch(top_k, threshold is not None or dir is not None))
         rows = near.join(own.select("id", F.col("path").alias("file_path")), "id").withColumn("score", knn.image_score())
         out["image"] = [{"file": r["file_path"], "score": r["score"]} for r in results.image_results(rows, top_k, threshold=threshold, dir=dir).orderBy("rank").collect()]
     if indexing:
         out["indexing"] = {"status": indexing["status"], "files_indexed": indexing["files_indexed"], "duration_ms": indexing["duration_ms"]}
+    if warning:
+        out["warning"] = warning
     if stale:
         out["stale"], out["stale_file_count"] = True, stale
     return out

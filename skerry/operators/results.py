@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 Keep = Callable[[Column], Column] | None
 
 
+def in_folder(path: Column, dir: str, strict: bool = False) -> Column:
+    """Whether a path lies in a folder: a prefix of the path; ``strict`` stops at its border."""
+    base = dir.removeprefix("./").removesuffix("/")
+    if base in ("", "."):
+        return F.lit(True)
+    if strict:
+        return (path == base) | path.startswith(base + "/")
+    return path.startswith(base)
+
+
 def post_filter(rows: DataFrame, threshold: float | None = None, dir: str | None = None, strict_dir: bool = False, model: Keep = None) -> DataFrame:
     """Rows of the wanted model, score and folder. A folder is a prefix of the path; ``strict_dir`` stops at its border."""
     if model is not None:
@@ -17,11 +27,7 @@ def post_filter(rows: DataFrame, threshold: float | None = None, dir: str | None
     if threshold is not None:
         rows = rows.filter(F.col("score") >= threshold)
     if dir is not None:
-        base = dir.removeprefix("./").removesuffix("/")
-        inside = F.col("file_path").startswith(base)
-        if strict_dir and base not in ("", "."):
-            inside = (F.col("file_path") == base) | F.col("file_path").startswith(base + "/")
-        rows = rows.filter(inside)
+        rows = rows.filter(in_folder(F.col("file_path"), dir, strict_dir))
     return rows
 
 

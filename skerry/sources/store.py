@@ -54,6 +54,11 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(os.path.join(self.folder, p["snapshot"], name))
 
+    def has(self, name: str) -> bool:
+        """Whether the current snapshot holds the table."""
+        p = self._pointer()
+        return p is not None and os.path.isdir(os.path.join(self.folder, p["snapshot"], name))
+
     def save(self, tables: dict[str, DataFrame], at: float) -> None:
         old = self._pointer()
         name = f"snapshot-{uuid.uuid4().hex[:12]}"

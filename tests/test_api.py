@@ -118,3 +118,37 @@ def test_synthetic_files(spark):
     assert [r["type"] for r in df.orderBy("path").collect()].count("code") == 3
     chunks = all_chunks(df).collect()
     assert {c["path"] for c in chunks} == {r["path"] for r in df.collect()} and max(c["line_end"] for c in chunks) == 400
+
+
+def test_a_folder_is_ranked_by_itself(spark, tmp_path):
+    """Better hits elsewhere don't take the places of a folder's own."""
+    for folder, text in (("top", "needle needle needle"), ("deep", "needle among many other words that make it the weaker hit of the two by far")):
+        (tmp_path / folder).mkdir()
+        for i in range(20 if folder == "top" else 1):
+            (tmp_path / folder / f"f{i}.md").write_text(f"{text} {folder}{i}")
+    e = HashingEmbedder(64)
+    api.index(spark, str(tmp_path), embedder=e)
+    for mode in ("keyword", "semantic", "hybrid"):
+        got = api.query(spark, "needle", str(tmp_path), top_k=1, dir="deep", mode=mode, embedder=e)
+        assert [r["file"] for r in got["text"]] == ["deep/f0.md"]
+    assert api.query(spark, "needle", str(tmp_path), top_k=1, dir=".", mode="keyword")["text"]
+
+
+def test_models_that_are_missing(spark, tree, capsys):
+    import shutil
+
+    from skerry.__main__ import main
+    from skerry.sources.store import Store
+
+    root, e = str(tree), HashingEmbedder(64)
+    api.index(spark, root, embedder=e)
+    with pytest.raises(EngineError, match="needs an embedder"):
+        api.query(spark, "user auth", root, mode="semantic")
+    store = Store(spark, os.path.join(root, api.STORE))
+    shutil.rmtree(os.path.join(store.folder, store._pointer()["snapshot"], "postings"))
+    got = api.query(spark, "user auth token", root, mode="keyword", embedder=e)
+    assert got["mode"] == "semantic" and "falling back" in got["warning"] and got["code"][0]["file"] == "src/auth.ts"
+    with pytest.raises(EngineError, match="keyword index is missing"):
+        api.query(spark, "user auth", root, mode="hybrid")
+    assert main(["query", "user auth", "--path", root, "--mode", "semantic", "--model", "nowhere:x"]) == 1
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["code"] == "GENERAL_ERROR"
