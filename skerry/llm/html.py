@@ -93,18 +93,22 @@ def _attrs(text: str) -> dict[str, str]:
 class Page:
     """A page's blocks in order.
 
-    ``blocks``: (path, text, unlinked characters, number of the article or main
-    element or -1, whether it is chaff). ``tags``: (path, place among the blocks).
+    A path of tags is a node with its parent, so that deep pages stay small:
+    ``keys`` has a hash of each node's whole path, equal on all pages.
+    ``blocks``: (node, text, unlinked characters, number of the article or main
+    element or -1, whether it is chaff). ``tags``: (node, place among the blocks).
     """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, int, int, bool]] = []
-        self.tags: list[tuple[str, int]] = []
+        self.parents, self.depths, self.keys = [-1], [0], [0]
+        self._nodes: dict[tuple[int, str], int] = {}
+        self.blocks: list[tuple[int, str, int, int, bool]] = []
+        self.tags: list[tuple[int, int]] = []
         self.kinds: list[str] = []  # of the elements that may be the article
-        stack: list[tuple[str, str, bool, int]] = []  # tag, path, chaff, article
+        stack: list[tuple[str, int, bool, int]] = []  # tag, node, chaff, article
         buf: list[str] = []
         linked = at = links = 0
-        path, chaff, art = "", False, -1
+        path, chaff, art = 0, False, -1
 
         def flush() -> None:
             nonlocal linked
@@ -119,7 +123,7 @@ class Page:
             nonlocal path, chaff, art, links
             links -= sum(x[0] == "a" for x in stack[i:])
             del stack[i:]
-            _, path, chaff, art = stack[-1] if stack else ("", "", False, -1)
+            _, path, chaff, art = stack[-1] if stack else ("", 0, False, -1)
 
         n = len(source)
         while at < n:
@@ -156,7 +160,7 @@ class Page:
                 flush()
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>|</{tag}\Z", re.I).search(source, at)
-                self.tags.append((f"{path}/{tag}", len(self.blocks)))
+                self.tags.append((self._node(path, tag), len(self.blocks)))
                 at = end.end() if end else n
                 if tag not in BLOCK:
                     buf.append(" ")
@@ -189,7 +193,7 @@ class Page:
                 mine = len(self.kinds)
                 self.kinds.append(kind)
             mark = attrs.get("class") or attrs.get("id") or ""
-            path = f"{path}/{tag}.{mark}" if mark else f"{path}/{tag}"
+            path = self._node(path, f"{tag}.{mark}" if mark else tag)
             chaff, art = now, mine
             stack.append((tag, path, now, mine))
             links += tag == "a"
@@ -197,8 +201,29 @@ class Page:
                 self.tags.append((path, len(self.blocks)))
         flush()
 
-    def sequence(self) -> Iterator[tuple[str, str, str, int, bool]]:
-        """Tags and blocks in the order of the page: kind, path, text, unlinked characters, whether it is chaff."""
+    def _node(self, parent: int, name: str) -> int:
+        got = self._nodes.get((parent, name))
+        if got is None:
+            got = self._nodes[parent, name] = len(self.keys)
+            self.parents.append(parent)
+            self.depths.append(self.depths[parent] + 1)
+            self.keys.append(xxhash.xxh64_intdigest(f"{self.keys[parent]:x}/{name}".encode("utf-8", "surrogatepass"), 3))
+        return got
+
+    def token(self, kind: str, node: int, text: str = "") -> int:
+        return int(np.uint64(xxhash.xxh64_intdigest(f"{kind}\0{self.keys[node]:x}\0{text}".encode("utf-8", "surrogatepass"), 3)).astype(np.int64))
+
+    def free(self) -> list[int]:
+        """Unlinked characters at and below each node, without chaff; a child's number is above its parent's."""
+        out = [0] * len(self.keys)
+        for node, _, free, _, chaff in self.blocks:
+            out[node] += 0 if chaff else free
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parents[i]] += out[i]
+        return out
+
+    def sequence(self) -> Iterator[tuple[str, int, str, int, bool]]:
+        """Tags and blocks in the order of the page: kind, node, text, unlinked characters, whether it is chaff."""
         at = 0
         for i, (path, text, free, _, chaff) in enumerate(self.blocks):
             while at < len(self.tags) and self.tags[at][1] <= i:
@@ -208,7 +233,7 @@ class Page:
         for path, _ in self.tags[at:]:
             yield "tag", path, "", 0, False
 
-    def text(self, constants: frozenset[int] = frozenset(), container: str | None = None) -> str:
+    def text(self, constants: frozenset[int] = frozenset(), container: int | None = None) -> str:
         keep = [b for b in self.blocks if not b[4]]
         for kind in ("article", "main", "named"):
             sizes: dict[int, int] = {}
@@ -222,18 +247,17 @@ class Page:
             if kind in self.kinds and kind != "named":
                 return ""
         else:
-            inside = [b for b in keep if container and (b[0] == container or b[0].startswith(container + "/"))]
+            under = [False] * len(self.keys)
+            for i in range(len(under)) if container else ():
+                under[i] = i == container or i > 0 and under[self.parents[i]]
+            inside = [b for b in keep if under[b[0]]]
             keep = inside or [b for b in keep if b[2] * 2 >= len(b[1])]
-        rest = [b for b in keep if token("text", b[0], b[1]) not in constants] if constants else keep
+        rest = [b for b in keep if self.token("text", b[0], b[1]) not in constants] if constants else keep
         if 2 * sum(len(b[1]) for b in rest) < sum(len(b[1]) for b in keep):
             rest = keep  # the host's pages are copies of one another rather than of a template
         return "\n".join(b[1] for b in rest)
 
 
-def token(kind: str, path: str, text: str = "") -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(f"{kind}\0{path}\0{text}".encode("utf-8", "surrogatepass"), 3)).astype(np.int64))
-
-
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -248,18 +272,13 @@ def _emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for url, source in zip(b.column(1).to_pylist(), strings(b.column(2)), strict=True):
             page = Page(source)
             key = xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass"), 5)
-            seen: dict[tuple[str, str, str], list[int]] = {("page", "", ""): [1, 0, 0]}
-            for i, (kind, path, text, _, _) in enumerate(page.sequence()):
-                seen.setdefault((kind, path, text), [0, i, 0])[0] += 1
-            for path, _, free, _, chaff in page.blocks:
-                while not chaff and path:
-                    if ("tag", path, "") in seen:
-                        seen["tag", path, ""][2] += free
-                    path = path.rpartition("/")[0]
-            host = host_of(url)
-            for (kind, path, text), (n, place, free) in seen.items():
+            seen: dict[tuple[str, int, str], list[int]] = {("page", 0, ""): [1, 0]}
+            for i, (kind, node, text, _, _) in enumerate(page.sequence()):
+                seen.setdefault((kind, node, text), [0, i])[0] += 1
+            below, host = page.free(), host_of(url)
+            for (kind, node, text), (n, place) in seen.items():
                 sign = n * key & 0xFFFFFFFF  # of the vector: sums of 32-bit parts stay within a long
-                for col, x in zip(cols, (host, token(kind, path, text), kind == "page", n, sign, place, free), strict=True):
+                for col, x in zip(cols, (host, page.token(kind, node, text), kind == "page", n, sign, place, below[node] if kind == "tag" else 0), strict=True):
                     col.append(x)
         kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "token", "page", "n", "sign", "place", "free"])
@@ -291,22 +310,22 @@ def in_turn(places: list[list[int]]) -> bool:
     return all(x < y for x, y in zip(turns, turns[1:], strict=False))
 
 
-def read_by(page: Page, classes: list[dict]) -> tuple[frozenset[int], str | None]:
+def read_by(page: Page, classes: list[dict]) -> tuple[frozenset[int], int | None]:
     """(constants, container) of a page: those of the classes that it has."""
     wanted = {t for c in classes for t in c["constants"]}
     places: dict[int, list[int]] = {}
-    paths: dict[int, str] = {}
-    for i, (kind, path, text, _, _) in enumerate(page.sequence()):
-        t = token(kind, path, text)
+    nodes: dict[int, int] = {}
+    for i, (kind, node, text, _, _) in enumerate(page.sequence()):
+        t = page.token(kind, node, text)
         if t in wanted:
             places.setdefault(t, []).append(i)
             if kind == "tag":
-                paths[t] = path
+                nodes[t] = node
     has = [c for c in classes if all(t in places for t in c["constants"]) and in_turn([places[t] for t in c["constants"]])]
-    tags = [(free, paths[t]) for c in has for t, free in zip(c["constants"], c["free"], strict=True) if t in paths and len(places[t]) == 1 and free > 0]
+    tags = [(free, nodes[t]) for c in has for t, free in zip(c["constants"], c["free"], strict=True) if t in nodes and len(places[t]) == 1 and free > 0]
     best = max((free for free, _ in tags), default=0)
-    deep = max(((len(path), path) for free, path in tags if free >= 0.9 * best), default=(0, None))[1]
-    return frozenset(t for c in has for t in c["constants"] if t not in paths), deep
+    deep = max(((page.depths[node], -node) for free, node in tags if free >= 0.9 * best), default=(0, None))[1]
+    return frozenset(t for c in has for t in c["constants"] if t not in nodes), None if deep is None else -deep
 
 
 def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,19 @@ def test_odd_sources():
     assert Page(deep).text() == "x"
 
 
+def test_deep_pages_stay_small():
+    """A megabyte of nested tags is read within 300 MB: a path is a node with its parent."""
+    import tracemalloc
+
+    for inner in ("<div>", "<div class=a>", "<span>"):
+        n = 1_000_000 // len(inner)
+        tracemalloc.start()
+        page_ = Page(inner * n + "x" + "</div>" * 10)
+        text, size = page_.text(), tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert text == "x" and size < 300_000_000 and max(page_.depths) == n
+
+
 def simple(h):
     """For pages whose article holds nothing but headings and paragraphs."""
     m = re.search(r"<article>(.*?)(</article>|\Z)", h, re.S)
