@@ -69,12 +69,15 @@ items AS (SELECT doc_id, i, p, CASE WHEN ss IS NULL THEN NULL ELSE flatten(list_
 packed AS (SELECT doc_id, i, p, CASE WHEN it IS NULL THEN NULL ELSE {_pack_sql("it", " ")} END AS f FROM items),
 pieces AS (SELECT doc_id, i, CASE WHEN f IS NULL THEN [p] WHEN f.cur = '' THEN f.done ELSE list_append(f.done, f.cur) END AS ps FROM packed)"""
 
-PARAGRAPH_SQL = f"""
-WITH {_PARAGRAPHS_SQL}, by_doc AS (SELECT doc_id, flatten(list(ps ORDER BY i)) AS ps FROM pieces GROUP BY doc_id),
+#: Each document's chunks as a list ``c``.
+PASSAGES_SQL = f"""{_PARAGRAPHS_SQL}, by_doc AS (SELECT doc_id, flatten(list(ps ORDER BY i)) AS ps FROM pieces GROUP BY doc_id),
 soft AS (SELECT doc_id, list_transform(ps, lambda s: {_item("s", "false")}) AS it FROM by_doc),
 merged AS (SELECT doc_id, {_pack_sql("it", "' || chr(10) || chr(10) || '")} AS f FROM soft),
 raw AS (SELECT doc_id, CASE WHEN f.cur = '' THEN f.done ELSE list_append(f.done, f.cur) END AS c FROM merged),
-kept AS (SELECT doc_id, CASE WHEN len(c) = 1 THEN c ELSE list_filter(c, lambda x: length(x) >= 200) END AS c FROM raw),
+kept AS (SELECT doc_id, CASE WHEN len(c) = 1 THEN c ELSE list_filter(c, lambda x: length(x) >= 200) END AS c FROM raw)"""
+
+PARAGRAPH_SQL = f"""
+WITH {PASSAGES_SQL},
 rows AS (SELECT doc_id, unnest(c) AS chunk, generate_subscripts(c, 1) - 1 AS chunk_index FROM kept)
 SELECT doc_id, chunk_index::INT AS chunk_index, length(chunk)::INT AS n_chars, substr(sha256(chunk), 1, 16) AS text_hash FROM rows"""
 

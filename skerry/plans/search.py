@@ -16,17 +16,17 @@ DEEP = 50
 
 # --- SQL shared by several queries ---
 
-_TOKEN_SQL = """list_filter(list_concat(
+TOKEN_SQL = """list_filter(list_concat(
   string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([a-zA-Z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-zA-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'),
   list_transform(list_filter(string_split_regex({t}, '[^a-zA-Z0-9]+'), lambda w: regexp_matches(w, '[a-z][A-Z]|[A-Z][A-Z][a-z]|[a-zA-Z][0-9]|[0-9][a-zA-Z]')), lambda w: lower(w))
 ), lambda x: length(x) >= 2)"""
 
 POSTINGS_SQL = f"""
-tokens AS (SELECT doc_id, unnest({_TOKEN_SQL.format(t="text")}) AS term FROM documents),
+tokens AS (SELECT doc_id, unnest({TOKEN_SQL.format(t="text")}) AS term FROM documents),
 post AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
 lengths AS (SELECT doc_id, count(*) AS dl FROM post GROUP BY ALL),
 stats AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM lengths),
-terms AS (SELECT DISTINCT item_id AS qid, unnest({_TOKEN_SQL.format(t="text")}) AS q FROM benchmark)"""
+terms AS (SELECT DISTINCT item_id AS qid, unnest({TOKEN_SQL.format(t="text")}) AS q FROM benchmark)"""
 
 EXACT_SQL = "expanded AS (SELECT qid, q, q AS term, 1.0::DOUBLE AS weight FROM terms)"
 PREFIX_SQL = """
@@ -68,7 +68,7 @@ def code_tokens_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _post(spark, sf_dir)
 
 
-CODE_TOKENS_SQL = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKEN_SQL.format(t='text')}) AS term FROM documents) GROUP BY ALL"
+CODE_TOKENS_SQL = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKEN_SQL.format(t='text')}) AS term FROM documents) GROUP BY ALL"
 
 
 def page_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def page_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-PAGE_TERMS_SQL = f"SELECT term, count(*) AS df FROM (SELECT DISTINCT page_id, unnest({_TOKEN_SQL.format(t='html')}) AS term FROM pages) GROUP BY ALL"
+PAGE_TERMS_SQL = f"SELECT term, count(*) AS df FROM (SELECT DISTINCT page_id, unnest({TOKEN_SQL.format(t='html')}) AS term FROM pages) GROUP BY ALL"
 
 
 def _rounded(df: DataFrame) -> DataFrame:
