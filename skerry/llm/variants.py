@@ -33,7 +33,8 @@ def words(docs: DataFrame, runs: str, id_col: str = "doc_id", text_col: str = "t
     """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     found = F.regexp_extract_all(docs[text_col].cast("string"), F.lit(runs), F.lit(0))
-    got = docs.select(F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("id"), F.explode(found).alias("w")).withColumn("w", F.translate("w", upper, upper.lower()))
+    got = docs.select(F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("id"), F.explode(found).alias("w")).filter(F.length("w") >= least_chars)
+    got = got.withColumn("w", F.when(F.lower("w") == F.col("w"), F.col("w")).otherwise(F.translate("w", upper, upper.lower())))
     if edit is not None:
         got = got.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "w")))
         at = (F.col("h") % F.length("w")).cast("int")
