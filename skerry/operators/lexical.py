@@ -21,10 +21,31 @@ class Bm25:
     prefix_decay: float = 0.3
 
 
+def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
+    """(doc_id, terms, tfs) with the columns named in ``more``: a document's distinct terms, ascending, and their counts.
+
+    All of a document's tokens are in its row, so they are sorted and counted there, without a shuffle.
+    """
+
+    def runs(t: Column) -> Column:
+        n = F.size(t)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(t, i) != F.element_at(t, i - 1)))
+        return F.when(n > 0, F.struct(t.alias("t"), starts.alias("at"))).otherwise(F.struct(t.alias("t"), F.array().cast("array<int>").alias("at")))
+
+    def counted(r: Column) -> Column:
+        after = lambda j: F.coalesce(F.try_element_at(r["at"], j + 2), F.size(r["t"]) + 1)
+        return F.struct(F.transform(r["at"], lambda i: F.element_at(r["t"], i)).alias("terms"), F.transform(r["at"], lambda i, j: after(j) - i).alias("tfs"))
+
+    bound = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  evaluates c once
+    tokens = F.sort_array(code_tokens(F.coalesce(text_col, F.lit(""))))
+    got = docs.select(F.col(id_col).alias("doc_id"), bound(bound(tokens, runs), counted).alias("c"), *[F.col(c).alias(name) for name, c in more.items()])
+    return got.select("doc_id", "c.terms", "c.tfs", *more)
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf). A document's terms come from its own row: the sum meets few rows of a key."""
-    terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(code_tokens(F.coalesce(text_col, F.lit("")))).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, term, tf) of documents with distinct ids; counted within each document's row."""
+    rows = doc_terms(docs, id_col, text_col).select("doc_id", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    return rows.select("doc_id", F.col("x.terms").alias("term"), F.col("x.tfs").cast("long").alias("tf"))
 
 
 def doc_lengths(post: DataFrame) -> DataFrame:
@@ -41,16 +62,16 @@ def query_terms(queries: DataFrame, id_col: str = "qid", text_col: str = "query"
     return queries.select(F.col(id_col).alias("qid"), F.explode(F.array_distinct(code_tokens(F.col(text_col)))).alias("q"))
 
 
-def expand_prefixes(vocabulary: DataFrame, terms: DataFrame, p: Bm25 = Bm25()) -> DataFrame:
-    """(qid, q, term, weight): each query term's own term and all longer ones that begin with it.
+def expand_prefixes(vocabulary: DataFrame, terms: DataFrame, p: Bm25 = Bm25(), *carry: str) -> DataFrame:
+    """(qid, q, term, weight): each query term's own term and all longer ones that begin with it; ``carry`` names further columns of the vocabulary.
 
     An equi-join on the vocabulary's prefixes: linear in the vocabulary, where a
     starts-with condition would compare every term with every query term.
     """
-    prefixes = vocabulary.select("term", F.explode(F.sequence(F.lit(2), F.length("term"))).alias("n")).select("term", F.substring(F.col("term"), F.lit(1), F.col("n")).alias("q"))
+    prefixes = vocabulary.select("term", *carry, F.explode(F.sequence(F.lit(2), F.length("term"))).alias("n")).select("term", *carry, F.substring(F.col("term"), F.lit(1), F.col("n")).alias("q"))
     t, q = F.length("term"), F.length("q")
     weight = F.when(F.col("term") == F.col("q"), 1.0).otherwise(p.prefix_weight * t / (t + p.prefix_decay * (t - q)))
-    return terms.join(prefixes, "q").select("qid", "q", "term", weight.alias("weight"))
+    return terms.join(prefixes, "q").select("qid", "q", "term", weight.alias("weight"), *carry)
 
 
 def exact_terms(terms: DataFrame) -> DataFrame:
@@ -81,10 +102,14 @@ def bm25(post: DataFrame, expanded: DataFrame, p: Bm25 = Bm25()) -> DataFrame:
     return got.withColumn("score", F.floor(F.col("score") * 1e9 + 0.5) / 1e9)
 
 
+def first_k(rows: DataFrame, k: int, order: list, by: str = "qid") -> DataFrame:
+    """The first k rows of each query with their rank from 1."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
+
+
 def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "qid", tie: str = "doc_id", ascending: bool = False) -> DataFrame:
     """The best k rows of each query with their rank from 1; ties by ``tie``."""
-    order = F.col(score).asc() if ascending else F.col(score).desc()
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order, F.col(tie)))).filter(F.col("rank") <= k)
+    return first_k(scored, k, [F.col(score).asc() if ascending else F.col(score).desc(), F.col(tie)], by)
 
 
 def relative(scored: DataFrame, score: str = "score", by: str = "qid") -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.text import code_tokens, r4
 from skerry.functions.vectors import l2_norm, mean_of, truncate
-from skerry.operators import fusion, knn, lexical, metrics, results
+from skerry.operators import blocks, fusion, knn, lexical, metrics, results
+from skerry.sources.shared import kept
 from skerry.sources.tables import spread, table
 
 K = 10
@@ -49,23 +49,21 @@ def _ranked(k: int) -> str:
     return f"ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= {k})"
 
 
-def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of a query: computed once, however often the query's plan meets it."""
-    return lexical.postings(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).persist(StorageLevel.MEMORY_AND_DISK)
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the documents, written once, however often a query's plan meets it; shorter documents come first among equals where that is asked for."""
+    return kept(blocks.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")), tie_col="n_chars"))
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
-def _scored(spark: SparkSession, sf_dir: str, prefix: bool = True) -> DataFrame:
-    post, terms = _post(spark, sf_dir), _terms(spark, sf_dir)
-    expanded = lexical.expand_prefixes(post.select("term").distinct(), terms) if prefix else lexical.exact_terms(terms)
-    return lexical.bm25(post, expanded)
+def _best(spark: SparkSession, sf_dir: str, k: int, prefix: bool = True) -> DataFrame:
+    return blocks.search(_index(spark, sf_dir), _terms(spark, sf_dir), k, prefix)
 
 
 def code_tokens_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _post(spark, sf_dir)
+    return lexical.postings(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 CODE_TOKENS_SQL = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKEN_SQL.format(t='text')}) AS term FROM documents) GROUP BY ALL"
@@ -85,15 +83,15 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(lexical.top_k(_scored(spark, sf_dir, False), K)).select("qid", "doc_id", "score", "matched", "rank")
+    return _rounded(_best(spark, sf_dir, K, False)).select("qid", "doc_id", "score", "matched", "rank")
 
 
 def bm25_prefix_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(lexical.top_k(_scored(spark, sf_dir), K)).select("qid", "doc_id", "score", "matched", "rank")
+    return _rounded(_best(spark, sf_dir, K)).select("qid", "doc_id", "score", "matched", "rank")
 
 
 def keyword_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.relative(lexical.top_k(_scored(spark, sf_dir), DEEP)).select("qid", "doc_id", "score", "rank")
+    return lexical.relative(_best(spark, sf_dir, DEEP)).select("qid", "doc_id", "score", "rank")
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -153,12 +151,11 @@ FROM m JOIN n USING (qid) GROUP BY qid"""
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two rankings of the same queries: BM25, and query terms matched by exact tokens, shorter documents first."""
-    lex = lexical.top_k(_scored(spark, sf_dir), DEEP).select("qid", F.col("doc_id").alias("id"), "rank")
-    exact = _scored(spark, sf_dir, False).join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    order = Window.partitionBy("qid").orderBy(F.desc("matched"), "n_chars", "doc_id")
-    sem = exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= DEEP).select("qid", F.col("doc_id").alias("id"), "rank")
-    return sem, lex
+    """Two rankings of the same queries from one index: query terms matched by exact tokens, shorter documents first, and BM25."""
+    index, terms = _index(spark, sf_dir), _terms(spark, sf_dir)
+    sem = blocks.search(index, terms, DEEP, prefixes=False, by="matched", tied=True)
+    lex = blocks.search(index, terms, DEEP)
+    return tuple(kept(x.select("qid", F.col("doc_id").alias("id"), "rank", "score")) for x in (sem, lex))
 
 
 HITS_SQL = f"""
@@ -209,7 +206,7 @@ def hybrid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mode_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword-only, semantic-only and fused answers side by side."""
     sem, lex = _hits(spark, sf_dir)
-    keyword = lexical.relative(lexical.top_k(_scored(spark, sf_dir), DEEP)).select("qid", F.col("doc_id").alias("id"), "rank", "score")
+    keyword = lexical.relative(lex)
     none = lex.limit(0)
     out = keyword.select(F.lit("keyword").alias("mode"), "qid", "id", "rank", "score")
     for mode, df in (("semantic", fusion.rrf(sem, none)), ("hybrid", fusion.rrf(sem, lex))):
