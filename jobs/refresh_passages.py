@@ -28,7 +28,7 @@ import sys
 if __name__ == "__main__":
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import LOG, command_line, read_config
@@ -49,11 +49,10 @@ def _table(spark: SparkSession, output: str, name: str, schema: str, by: list[st
     return spark.read.schema(schema).parquet(path)
 
 
-def _write(df: DataFrame, path: str, by: list[str]) -> int:
-    """Replaces the partitions that ``df`` has rows of; gives the number of its rows."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-    return seen.get["n"]
+def _write(df: DataFrame, number: int, path: str, by: list[str]) -> int:
+    """Replaces a batch's partitions; gives the number of its rows."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).filter(F.col("batch") == number).count()
 
 
 def cut_passages(docs: DataFrame, settings: dict) -> DataFrame:
@@ -70,19 +69,18 @@ def apply_batch(batch: DataFrame, number: int, output: str, settings: dict) -> d
     """Takes one batch (doc_id, text, source, modified) into the output; gives and logs the counts of what it read and wrote."""
     spark = batch.sparkSession
     earlier = spark.read.schema(VERSIONS).parquet(f"{output}/versions").filter(F.col("batch") < number)
-    read = Observation()
-    rows = batch.observe(read, F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("with_id"))
-    rows = rows.filter("doc_id is not null").select("doc_id", "modified", T.content_hash(F.coalesce("text", F.lit(""))).alias("doc_hash"), "source", F.coalesce("text", F.lit("")).alias("text"))
+    read = batch.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("with_id")).first()
+    rows = batch.filter("doc_id is not null").select("doc_id", "modified", T.content_hash(F.coalesce("text", F.lit(""))).alias("doc_hash"), "source", F.coalesce("text", F.lit("")).alias("text"))
     # the aggregation keeps one row of a document where it is read, so a document that comes often isn't gathered
     newest = rows.groupBy("doc_id").agg(F.max(F.struct("modified", "doc_hash", "source", "text")).alias("v")).select("doc_id", "v.*", F.lit(number).cast("long").alias("batch")).persist()
     try:
         todo = newest.join(earlier.select("doc_id", "doc_hash").distinct(), ["doc_id", "doc_hash"], "left_anti")
         # equal sources meet in few files, and a large source still goes to many tasks
-        passages = _write(cut_passages(todo, settings).hint("rebalance", "source"), f"{output}/passages", ["batch", "source"])
-        versions = _write(newest.drop("text"), f"{output}/versions", ["batch"])
+        passages = _write(cut_passages(todo, settings).hint("rebalance", "source"), number, f"{output}/passages", ["batch", "source"])
+        versions = _write(newest.drop("text"), number, f"{output}/versions", ["batch"])
     finally:
         newest.unpersist()
-    got = {"batch": number, "rows_read": read.get["rows"], "rows_without_id": read.get["rows"] - read.get["with_id"], "documents": versions, "passages_written": passages}
+    got = {"batch": number, "rows_read": read["rows"], "rows_without_id": read["rows"] - read["with_id"], "documents": versions, "passages_written": passages}
     LOG.info("refresh_passages: %s", " ".join(f"{k}={v}" for k, v in got.items()))
     return got
 

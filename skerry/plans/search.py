@@ -41,11 +41,11 @@ per_term AS (SELECT qid, doc_id, q, sum(weight * ln(1 + (n_docs - df + 0.5::DOUB
 scored AS (SELECT qid, doc_id, floor(sum(s) * count(*) * 1e9 + 0.5) / 1e9 AS score, count(*) AS matched FROM per_term GROUP BY ALL)"""
 
 
-def _r4(x: str) -> str:
+def r4_sql(x: str) -> str:
     return f"(floor(({x}) * 10000 + 0.5) / 10000)"
 
 
-def _ranked(k: int) -> str:
+def ranked_sql(k: int) -> str:
     return f"ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= {k})"
 
 
@@ -109,8 +109,8 @@ pairs AS (SELECT q.vec_id AS qid, e.vec_id AS id, 1 - list_dot_product(q.embeddi
     / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))) AS distance
   FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
 near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM pairs QUALIFY rank <= {k})"""
-_SEARCH_SCORE = _r4("least(greatest(1 - distance, 0), 1)")
-_IMAGE_SCORE = _r4("least(greatest((1 - distance - 0.15::DOUBLE) / 0.25::DOUBLE, 0), 1)")
+_SEARCH_SCORE = r4_sql("least(greatest(1 - distance, 0), 1)")
+_IMAGE_SCORE = r4_sql("least(greatest((1 - distance - 0.15::DOUBLE) / 0.25::DOUBLE, 0), 1)")
 
 
 def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ def vec_truncate_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VEC_SQL = f"""
 WITH t AS (SELECT vec_id, list_slice(embedding, 1, 32)::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM t)
-SELECT vec_id, len(e)::INT AS dims, {_r4("e[1] / n")} AS v1, {_r4("e[32] / n")} AS v32, {_r4("1.0::DOUBLE")} AS norm FROM n"""
+SELECT vec_id, len(e)::INT AS dims, {r4_sql("e[1] / n")} AS v1, {r4_sql("e[32] / n")} AS v32, {r4_sql("1.0::DOUBLE")} AS norm FROM n"""
 
 
 def prompt_ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def prompt_ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROMPT_SQL = f"""
 WITH x AS (SELECT vec_id // 4 AS qid, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
 m AS (SELECT qid, i, avg(v) AS v, count(*) AS prompts FROM x GROUP BY ALL), n AS (SELECT qid, sqrt(sum(v * v)) AS n FROM m GROUP BY ALL)
-SELECT qid, any_value(prompts) AS prompts, {_r4("max(CASE WHEN i = 1 THEN v END) / any_value(n)")} AS v1, {_r4("max(CASE WHEN i = 64 THEN v END) / any_value(n)")} AS v64
+SELECT qid, any_value(prompts) AS prompts, {r4_sql("max(CASE WHEN i = 1 THEN v END) / any_value(n)")} AS v1, {r4_sql("max(CASE WHEN i = 64 THEN v END) / any_value(n)")} AS v64
 FROM m JOIN n USING (qid) GROUP BY qid"""
 
 
@@ -168,7 +168,7 @@ def _fused_sql(sem: str = "sem", lex: str = "lex") -> str:
     return f"""
 joined AS (SELECT coalesce(s.qid, l.qid) AS qid, coalesce(s.id, l.id) AS id, s.rank AS semantic_rank, l.rank AS lexical_rank,
     coalesce(1 / (60 + s.rank), 0) + coalesce(1 / (60 + l.rank), 0) AS raw FROM {sem} s FULL JOIN {lex} l ON s.qid = l.qid AND s.id = l.id),
-normed AS (SELECT *, {_r4("raw / max(raw) OVER (PARTITION BY qid)")} AS score FROM joined),
+normed AS (SELECT *, {r4_sql("raw / max(raw) OVER (PARTITION BY qid)")} AS score FROM joined),
 fused AS (SELECT qid, id, semantic_rank, lexical_rank, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, semantic_rank NULLS LAST, lexical_rank NULLS LAST) AS rank FROM normed)"""
 
 
@@ -217,8 +217,8 @@ def mode_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODES_SQL = f"""
 WITH {HITS_SQL}, {_fused_sql()},
 kw AS (SELECT qid, doc_id AS id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= {DEEP})
-SELECT 'keyword' AS mode, qid, id, rank, {_r4("score / max(score) OVER (PARTITION BY qid)")} AS score FROM kw
-UNION ALL SELECT 'semantic', qid, id, rank, {_r4("(1 / (60 + rank)) / (1 / 61)")} FROM sem
+SELECT 'keyword' AS mode, qid, id, rank, {r4_sql("score / max(score) OVER (PARTITION BY qid)")} AS score FROM kw
+UNION ALL SELECT 'semantic', qid, id, rank, {r4_sql("(1 / (60 + rank)) / (1 / 61)")} FROM sem
 UNION ALL SELECT 'hybrid', qid, id, rank, score FROM fused"""
 
 
@@ -300,7 +300,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LATENCY_SQL = f"""
 WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL)
-SELECT event_type, len(v) AS n, {_r4("list_sum(v) / len(v)")} AS mean, v[1] AS least, v[-1] AS most,
+SELECT event_type, len(v) AS n, {r4_sql("list_sum(v) / len(v)")} AS mean, v[1] AS least, v[-1] AS most,
   v[floor(len(v) * 0.5)::INT + 1] AS p50, v[floor(len(v) * 0.95)::INT + 1] AS p95, v[floor(len(v) * 0.99)::INT + 1] AS p99 FROM s"""
 
 QUERIES = {
@@ -311,13 +311,13 @@ QUERIES = {
     )
 }
 
-_TOP = f"SELECT qid, doc_id, {_r4('score')} AS score, matched, rank FROM ranked"
+_TOP = f"SELECT qid, doc_id, {r4_sql('score')} AS score, matched, rank FROM ranked"
 SQL = {
     "code_tokens_tf": CODE_TOKENS_SQL,
     "page_terms": PAGE_TERMS_SQL,
-    "bm25_topk": f"WITH {POSTINGS_SQL}, {EXACT_SQL}, {SCORED_SQL}, {_ranked(K)} {_TOP}",
-    "bm25_prefix_topk": f"WITH {POSTINGS_SQL}, {PREFIX_SQL}, {SCORED_SQL}, {_ranked(K)} {_TOP}",
-    "keyword_normalized": f"WITH {POSTINGS_SQL}, {PREFIX_SQL}, {SCORED_SQL}, {_ranked(DEEP)} SELECT qid, doc_id, {_r4('score / max(score) OVER (PARTITION BY qid)')} AS score, rank FROM ranked",
+    "bm25_topk": f"WITH {POSTINGS_SQL}, {EXACT_SQL}, {SCORED_SQL}, {ranked_sql(K)} {_TOP}",
+    "bm25_prefix_topk": f"WITH {POSTINGS_SQL}, {PREFIX_SQL}, {SCORED_SQL}, {ranked_sql(K)} {_TOP}",
+    "keyword_normalized": f"WITH {POSTINGS_SQL}, {PREFIX_SQL}, {SCORED_SQL}, {ranked_sql(DEEP)} SELECT qid, doc_id, {r4_sql('score / max(score) OVER (PARTITION BY qid)')} AS score, rank FROM ranked",
     "knn_cosine_topk": f"WITH {KNN_SQL.format(k=K)} SELECT qid, id AS vec_id, rank, {_SEARCH_SCORE} AS score FROM near",
     "knn_filtered": f"WITH {KNN_SQL.format(k=K).replace('WHERE q.vec_id % 20 = 0', 'WHERE q.vec_id % 20 = 0 AND e.label IN (1, 3, 5, 7)')} SELECT qid, id AS vec_id, rank, {_SEARCH_SCORE} AS score FROM near",
     "knn_image_rescaled": f"WITH {KNN_SQL.format(k=DEEP)} SELECT qid, id AS vec_id, rank, {_IMAGE_SCORE} AS score FROM near",
@@ -329,7 +329,7 @@ SQL = {
     "collapse_adjacent": f"WITH {TURNS_SQL.replace('role AS qid', '0 AS qid')}, {_collapse_sql()} SELECT * FROM collapsed",
     "threshold_dir_topk": f"WITH {TURNS_SQL}, kept AS (SELECT * FROM chunks WHERE score >= 0.5 AND starts_with(file_path, 'talk/1')), {_collapse_sql('kept')} {_best_sql(5)}",
     "image_dedupe": IMAGE_SQL,
-    "ir_metrics": f"{METRICS_SQL} SELECT qid, {_r4('rr')} AS rr, {_r4('p1')} AS p1, {_r4('recall')} AS recall, {_r4('ndcg')} AS ndcg, hit FROM m",
-    "ir_metrics_agg": f"{METRICS_SQL} SELECT {_r4('avg(rr)')} AS mrr, {_r4('avg(p1)')} AS p1, {_r4('avg(recall)')} AS recall, {_r4('avg(ndcg)')} AS ndcg, count(*) AS n FROM m",
+    "ir_metrics": f"{METRICS_SQL} SELECT qid, {r4_sql('rr')} AS rr, {r4_sql('p1')} AS p1, {r4_sql('recall')} AS recall, {r4_sql('ndcg')} AS ndcg, hit FROM m",
+    "ir_metrics_agg": f"{METRICS_SQL} SELECT {r4_sql('avg(rr)')} AS mrr, {r4_sql('avg(p1)')} AS p1, {r4_sql('avg(recall)')} AS recall, {r4_sql('avg(ndcg)')} AS ndcg, count(*) AS n FROM m",
     "latency_percentiles": LATENCY_SQL,
 }

@@ -8,6 +8,7 @@ from conftest import SF
 from oracle import differences, duck
 from pyspark.sql import functions as F
 
+from jobs import answer_queries as A2
 from jobs import refresh_passages as R
 from jobs.common import read_config
 from jobs.registry import JOBS, JOBS_SQL
@@ -87,8 +88,8 @@ def test_a_batch_that_failed_half_way_is_replaced(spark, tmp_path, monkeypatch):
     add(spark, docs, "one", [(1, A, "s", 0), (2, B, "t", 0)], 1000)
     write = R._write
 
-    def fails(df, path, by):
-        got = write(df, path, by)
+    def fails(df, number, path, by):
+        got = write(df, number, path, by)
         if path.endswith("passages"):
             raise RuntimeError("lost")
         return got
@@ -120,3 +121,43 @@ def test_command_line(tmp_path):
     for batches in (1, 0):
         got = subprocess.run([sys.executable, f"{HERE}/jobs/refresh_passages.py", *args], capture_output=True, text=True, timeout=300)
         assert got.returncode == 0 and f"{batches} batches" in got.stderr and ("rows_read=200" in got.stderr) == bool(batches)
+
+
+def test_answers(spark, tmp_path):
+    docs = [(1, "graph node search", "s"), (2, "graph graph nodes", "t"), (3, "graph node search", "t"), (4, None, "t"), (5, "", "u"), (6, "search", "")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(2).write.parquet(f"{tmp_path}/docs")
+    items = [(1, "node search"), (2, "nothing here"), (3, None), (4, "nod graph"), (4, "graph search")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/items")
+    out = f"{tmp_path}/out"
+    first = A2.run(spark, f"{tmp_path}/items", f"{tmp_path}/docs", out, {"k": 2})
+    assert (first["documents_read"], first["queries_read"], first["answers_written"]) == (6, 5, 4)
+    got = rows(A2.read_answers(spark, out).select("qid", "rank", "doc_id", "matched", F.coalesce("source", F.lit("-"))))
+    assert got == [(1, 1, 1, 2, "s"), (1, 2, 3, 2, "t"), (4, 1, 1, 3, "s"), (4, 2, 3, 3, "t")]
+    assert rows(spark.read.parquet(f"{out}/sources").select("source", "hits", "queries", "firsts")) == [("s", 2, 2, 2), ("t", 2, 2, 0)]
+    whole = rows(A2.read_answers(spark, out).select("qid", "doc_id", "rank", "score", "matched", "source"))
+    assert A2.run(spark, f"{tmp_path}/items", f"{tmp_path}/docs", out, {"k": 2}) == first
+    assert rows(A2.read_answers(spark, out).select("qid", "doc_id", "rank", "score", "matched", "source")) == whole
+    # a source that no longer answers leaves no partition behind
+    A2.run(spark, f"{tmp_path}/items", f"{tmp_path}/docs", out, {"k": 1, "prefixes": False})
+    assert sorted(os.path.basename(p) for p in glob.glob(f"{out}/answers/source=*")) == ["source=s"]
+
+
+def test_answers_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/items")
+    assert A2.run(spark, f"{tmp_path}/items", f"{tmp_path}/docs", f"{tmp_path}/out")["answers_written"] == 0
+    assert A2.read_answers(spark, f"{tmp_path}/out").count() == 0
+
+
+def test_answers_command_line(tmp_path):
+    args = ["--queries", f"{SF}/benchmark.parquet", "--documents", f"{SF}/documents.parquet", "--output", f"{tmp_path}/out", "--config", f"{HERE}/jobs/answer_queries.json"]
+    got = subprocess.run([sys.executable, f"{HERE}/jobs/answer_queries.py", *args], capture_output=True, text=True, timeout=300, cwd=tmp_path)
+    assert got.returncode == 0 and "documents_read=200 queries_read=40" in got.stderr
+
+
+def test_nothing_of_a_session_is_changed_and_settings_are_known(spark, tmp_path):
+    assert read_config(spark, f"{HERE}/jobs/answer_queries.json", A2.DEFAULTS) == A2.DEFAULTS
+    before = spark.conf.getAll
+    A2.job2_answer_queries(spark, SF)
+    R.job1_refresh_passages(spark, SF)
+    assert spark.conf.getAll == before
