@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.text import code_tokens, r4
 from skerry.functions.vectors import l2_norm, mean_of, truncate
-from skerry.operators import blocks, fusion, knn, lexical, metrics, results
-from skerry.sources.shared import kept
+from skerry.operators import blocks, fusion, knn, lexical, lists, metrics, results
+from skerry.sources.shared import kept, new_dir
 from skerry.sources.tables import spread, table
 
 K = 10
@@ -126,6 +128,16 @@ def knn_image_rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, DEEP).select("qid", F.col("id").alias("vec_id"), "rank", knn.image_score().alias("score"))
 
 
+def knn_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours from a stored index of inverted lists, with every list that a bound doesn't rule out."""
+    e, q = _queries(spark, sf_dir)
+    to = new_dir(spark, "lists")
+    centroids = lists.fit(e, max(1, min(4096, math.isqrt(e.count()))))
+    lists.write(lists.build(e, centroids), centroids, to)
+    got = lists.search(lists.read(spark, to), q, K, exact=True)
+    return got.select("qid", F.col("id").alias("vec_id"), "rank", knn.search_score().alias("score"))
+
+
 def vec_truncate_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", truncate(F.col("embedding"), 32).alias("v"))
     return e.select("vec_id", F.size("v").alias("dims"), r4(F.element_at("v", 1)).alias("v1"), r4(F.element_at("v", 32)).alias("v32"), r4(l2_norm(F.col("v"))).alias("norm"))
@@ -203,6 +215,24 @@ def hybrid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.filter_and_collapse(_as_chunks(spark, sf_dir, rrf_fuse(spark, sf_dir)), K)
 
 
+def hybrid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword and vector search of the same queries, fused and collapsed.
+
+    The vector of a document is that of its number, and so is a query's; a
+    query without a vector is answered by keywords alone.
+    """
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    sem = knn.knn(e, asked, DEEP).select("qid", "id", "rank")
+    lex = _best(spark, sf_dir, DEEP).select("qid", F.col("doc_id").alias("id"), "rank")
+    return results.filter_and_collapse(_as_chunks(spark, sf_dir, fusion.rrf(sem, lex)), K)
+
+
+VECTOR_HITS_SQL = f"""
+{POSTINGS_SQL}, {PREFIX_SQL}, {SCORED_SQL}, lex AS (SELECT qid, doc_id AS id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= {DEEP}),
+{KNN_SQL.format(k=DEEP).replace("WHERE q.vec_id % 20 = 0", "WHERE q.vec_id IN (SELECT item_id FROM benchmark)")}, sem AS (SELECT qid, id, rank FROM near)"""
+
+
 def mode_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword-only, semantic-only and fused answers side by side."""
     sem, lex = _hits(spark, sf_dir)
@@ -306,7 +336,7 @@ SELECT event_type, len(v) AS n, {r4_sql("list_sum(v) / len(v)")} AS mean, v[1] A
 QUERIES = {
     f.__name__: f
     for f in (
-        code_tokens_tf, page_terms, bm25_topk, bm25_prefix_topk, keyword_normalized, knn_cosine_topk, knn_filtered, knn_image_rescaled, vec_truncate_norm, prompt_ensemble_mean, rrf_fuse, hybrid_query,
+        code_tokens_tf, page_terms, bm25_topk, bm25_prefix_topk, keyword_normalized, knn_cosine_topk, knn_lists, knn_filtered, knn_image_rescaled, vec_truncate_norm, prompt_ensemble_mean, rrf_fuse, hybrid_query, hybrid_vectors,
         mode_branches, envelope_json, collapse_adjacent, threshold_dir_topk, image_dedupe, ir_metrics, ir_metrics_agg, latency_percentiles,
     )
 }
@@ -319,12 +349,14 @@ SQL = {
     "bm25_prefix_topk": f"WITH {POSTINGS_SQL}, {PREFIX_SQL}, {SCORED_SQL}, {ranked_sql(K)} {_TOP}",
     "keyword_normalized": f"WITH {POSTINGS_SQL}, {PREFIX_SQL}, {SCORED_SQL}, {ranked_sql(DEEP)} SELECT qid, doc_id, {r4_sql('score / max(score) OVER (PARTITION BY qid)')} AS score, rank FROM ranked",
     "knn_cosine_topk": f"WITH {KNN_SQL.format(k=K)} SELECT qid, id AS vec_id, rank, {_SEARCH_SCORE} AS score FROM near",
+    "knn_lists": f"WITH {KNN_SQL.format(k=K)} SELECT qid, id AS vec_id, rank, {_SEARCH_SCORE} AS score FROM near",
     "knn_filtered": f"WITH {KNN_SQL.format(k=K).replace('WHERE q.vec_id % 20 = 0', 'WHERE q.vec_id % 20 = 0 AND e.label IN (1, 3, 5, 7)')} SELECT qid, id AS vec_id, rank, {_SEARCH_SCORE} AS score FROM near",
     "knn_image_rescaled": f"WITH {KNN_SQL.format(k=DEEP)} SELECT qid, id AS vec_id, rank, {_IMAGE_SCORE} AS score FROM near",
     "vec_truncate_norm": VEC_SQL,
     "prompt_ensemble_mean": PROMPT_SQL,
     "rrf_fuse": f"WITH {HITS_SQL}, {_fused_sql()} SELECT * FROM fused",
     "hybrid_query": f"WITH {HITS_SQL}, {_fused_sql()}, {CHUNKS_SQL.format(t='fused')}, {_collapse_sql()} {_best_sql(K)}",
+    "hybrid_vectors": f"WITH {VECTOR_HITS_SQL}, {_fused_sql()}, {CHUNKS_SQL.format(t='fused')}, {_collapse_sql()} {_best_sql(K)}",
     "mode_branches": MODES_SQL,
     "collapse_adjacent": f"WITH {TURNS_SQL.replace('role AS qid', '0 AS qid')}, {_collapse_sql()} SELECT * FROM collapsed",
     "threshold_dir_topk": f"WITH {TURNS_SQL}, kept AS (SELECT * FROM chunks WHERE score >= 0.5 AND starts_with(file_path, 'talk/1')), {_collapse_sql('kept')} {_best_sql(5)}",
