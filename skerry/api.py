@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skerry.errors import EngineError
 from skerry.functions.text import content_hash
 from skerry.operators import fusion, knn, lexical, manifest, results
-from skerry.operators.chunking import all_chunks
+from skerry.operators.chunking import Tokenizer, all_chunks
 from skerry.operators.embedding import PREFIXES, Embedder, embed_chunks, ensemble
 from skerry.sources import pdf
 from skerry.sources.files import STORE, read_contents, scan
@@ -33,7 +33,7 @@ def _checked_type(kind: str | None) -> None:
 
 def index(
     spark: SparkSession, path: str, ignore: bool = True, type: str | None = None, clear: bool = False, embedder: Embedder | None = None, image_embedder: Embedder | None = None,
-    pdf_reader: pdf.Reader | None = None,
+    pdf_reader: pdf.Reader | None = None, tokenizer: Tokenizer | None = None,
 ) -> dict:
     """Brings the index of ``path`` up to date and returns the counters.
 
@@ -41,6 +41,7 @@ def index(
     changed are cut into chunks, and only chunks whose text changed are
     embedded. A snapshot is written at the end, all tables together. PDF files
     need a reader; without one, or where it fails, they have no chunks.
+    ``tokenizer`` cuts code into tokens: from a text to their places.
     """
     began = time.time()
     _checked_type(type)
@@ -67,7 +68,7 @@ def index(
     todo_files = read.join(changed, "path", "left_semi")
     is_pdf = F.lower("path").endswith(".pdf")
     texts = todo_files.filter(~is_pdf).select("path", "type", text.alias("text")).unionByName(pdf.with_text(todo_files.filter(is_pdf), pdf_reader or pdf.default_reader()))
-    new_chunks = all_chunks(texts).cache()
+    new_chunks = all_chunks(texts, tokenizer).cache()
     stale = diff.filter(F.col("status").isin("new", "changed", "deleted")).select("path")
     old_chunks = store.load("chunks")
     in_type = old_chunks.filter(mine)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_CHUNK_CHARS, MIN_CHUNK_CHARS = 1600, 200
 WINDOW, OVERLAP = 500, 50
 
-#: Where a lower-case letter meets an upper-case one, an acronym a word, or letters digits.
+#: Characters that Unicode calls white space.
+WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+#: Where words break. Where a lower-case letter meets an upper-case one, an acronym a word, or letters digits.
 _BOUNDARY = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])"
 #: Such a place with the characters beside it, and a whole word that has one.
 _BREAK = r"[a-z][A-Z]|[A-Z][A-Z][a-z]|[a-zA-Z][0-9]|[0-9][a-zA-Z]"
@@ -35,49 +41,65 @@ def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, _SPACES, "")
 
 
-def _pack(items: Column, glue: str, most: int) -> Column:
-    """Joins strings greedily with ``glue`` while they fit ``most``; items are (s, hard), hard ones stand alone."""
-    first = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+def _cutter(most: int, least: int):
+    """(pieces of a paragraph, chunks of a text) as functions of strings.
+
+    Defined within, so that they go to executors by value.
+    """
+    paragraph_end, sentence_end = re.compile("\n\n+"), re.compile(rf"(?<=\.)[{WHITE_SPACE}]+")
+    white = WHITE_SPACE
+
+    def pack(items: list[str], glue: str) -> list[str]:
+        """Joined greedily while they fit; what is longer than ``most`` is sliced, its slices stand alone."""
+        out: list[str] = []
+        cur: list[str] = []
+        size = 0
+        for s in items:
+            if len(s) > most:
+                out += [glue.join(cur)] if cur else []
+                out += [s[i : i + most] for i in range(0, len(s), most)]
+                cur, size = [], 0
+            elif cur and size + len(glue) + len(s) <= most:
+                cur.append(s)
+                size += len(glue) + len(s)
+            else:
+                out += [glue.join(cur)] if cur else []
+                cur, size = [s], len(s)
+        return out + ([glue.join(cur)] if cur else [])
+
+    def pieces(p: str) -> list[str]:
+        return [p] if len(p) <= most else pack([s for s in sentence_end.split(p) if s], " ")
+
+    def chunks(t: str) -> list[str]:
+        whole = (p for p in (x.strip(white) for x in paragraph_end.split(t)) if p)
+        got = pack([s for p in whole for s in pieces(p)], "\n\n")
+        return got if len(got) == 1 else [c for c in got if len(c) >= least]
+
+    return pieces, chunks
 
-    def step(a: Column, x: Column) -> Column:
-        done, cur, s = a["done"], a["cur"], x["s"]
-        flushed = F.when(cur == "", done).otherwise(F.concat(done, F.array(cur)))
-        fits = F.length(cur) + len(glue) + F.length(s) <= most
-        return (
-            F.when(x["hard"], F.struct(F.concat(flushed, F.array(s)).alias("done"), F.lit("").alias("cur")))
-            .when(cur == "", F.struct(done.alias("done"), s.alias("cur")))
-            .when(fits, F.struct(done.alias("done"), F.concat(cur, F.lit(glue), s).alias("cur")))
-            .otherwise(F.struct(flushed.alias("done"), s.alias("cur")))
-        )
 
-    return F.aggregate(items, first, step, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
+def _of_strings(f):
+    """A function of strings as one of Arrow arrays; null stays null."""
 
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else f(t) for t in col.to_pylist()], pa.list_(pa.string()))
 
-def _soft(xs: Column) -> Column:
-    return F.transform(xs, lambda s: F.struct(s.alias("s"), F.lit(False).alias("hard")))
+    run.__annotations__ = {"col": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<string>")
 
 
 def sentence_pieces(paragraph: Column, most: int = MAX_CHUNK_CHARS) -> Column:
     """A paragraph as it is, or an oversized one's sentences packed to ``most`` characters; longer sentences are sliced."""
-    sentences = F.filter(F.split(paragraph, r"(?U)(?<=\.)\s+"), lambda s: s != "")
-    sliced = F.flatten(
-        F.transform(
-            sentences,
-            lambda s: F.when(
-                F.length(s) > most,
-                F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda i: F.struct(F.substring(s, i * most + 1, F.lit(most)).alias("s"), F.lit(True).alias("hard"))),
-            ).otherwise(F.array(F.struct(s.alias("s"), F.lit(False).alias("hard")))),
-        )
-    )
-    return F.when(F.length(paragraph) <= most, F.array(paragraph)).otherwise(_pack(sliced, " ", most))
+    return _of_strings(_cutter(most, 0)[0])(paragraph)
 
 
 def paragraph_chunks(text: Column, most: int = MAX_CHUNK_CHARS, least: int = MIN_CHUNK_CHARS) -> Column:
-    """Chunks at paragraph borders: trimmed, oversized ones split by sentences, small ones merged, undersized ones dropped unless alone."""
-    paragraphs = F.filter(F.transform(F.split(text, "\n\n+"), trim_all), lambda p: p != "")
-    pieces = F.flatten(F.transform(paragraphs, lambda p: sentence_pieces(p, most)))
-    packed = F.transform(F.array(_pack(_soft(pieces), "\n\n", most)), lambda c: F.when(F.size(c) == 1, c).otherwise(F.filter(c, lambda x: F.length(x) >= least)))
-    return F.element_at(packed, 1)
+    """Chunks at paragraph borders: trimmed, oversized ones split by sentences, small ones merged, undersized ones dropped unless alone.
+
+    In Python over Arrow batches, linear in the text: as array expressions the
+    same fold copied its arrays at each step and took several times as long.
+    """
+    return _of_strings(_cutter(most, least)[1])(text)
 
 
 def token_windows(n: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions import text as T
-from skerry.operators import lexical, manifest
+from skerry.operators import chunking, lexical, manifest
 from skerry.plans.search import POSTINGS_SQL
 from skerry.sources import tables
 from skerry.sources.files import EXTENSIONS, compile_rules, file_type, ignored
@@ -94,18 +94,8 @@ SENTENCE_SQL = f"WITH {_PARAGRAPHS_SQL} SELECT doc_id, i AS line, (generate_subs
 
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over white-space tokens with the lines that they begin and end in."""
-    d = tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    per_line = F.transform(F.split("text", "\n"), lambda line: F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")))
-    running = F.aggregate(per_line, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
-    d = d.select("doc_id", running.alias("cum"))
-    n = F.element_at("cum", -1)
-    w = d.select("doc_id", "cum", n.alias("n"), F.posexplode(T.token_windows(n)).alias("chunk_index", "w"))
-    line = lambda tok: F.coalesce(F.try_element_at(F.filter(F.transform("cum", lambda c, i: F.when(c > tok, i + 1)), lambda x: x.isNotNull()), F.lit(1)), F.size("cum"))
-    one = F.col("n") <= T.WINDOW
-    return w.select(
-        "doc_id", "chunk_index", F.when(one, F.col("n")).otherwise(F.col("w.end") - F.col("w.start")).cast("long").alias("n_tokens"),
-        F.when(one, 1).otherwise(line(F.col("w.start"))).cast("long").alias("line_start"), F.when(one, F.size("cum")).otherwise(line(F.col("w.end") - 1)).cast("long").alias("line_end"),
-    )
+    w = chunking.windows(tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), chunking.regex_tokenizer(r"\S+"))
+    return w.select("doc_id", "chunk_index", F.col("token_count").cast("long").alias("n_tokens"), F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
 WINDOWS_SQL = """
