@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skerry.functions.text import extension
+from skerry.sources.shared import ship
 
 #: File types by extension.
 CODE = ".ts .tsx .js .jsx .py .go .rs .java .c .cpp .h .hpp .rb .php .swift .kt .scala .sh .bash .zsh .css .scss .html .json .yaml .yml .toml"
@@ -103,27 +106,83 @@ def ignored(path: Column, rules: list[Rule]) -> Column:
     return F.exists(places, verdict)
 
 
-def _walk(root: str, rules: list[Rule], only: str | None) -> Iterator[tuple]:
-    stack = [""]
-    while stack:
-        rel = stack.pop()
-        with os.scandir(os.path.join(root, rel)) as entries:
-            for e in entries:
-                path = f"{rel}/{e.name}" if rel else e.name
-                if e.is_symlink():
-                    continue
-                if e.is_dir():
-                    if not is_ignored(path + "/x", rules):
-                        stack.append(path)
-                elif e.is_file() and not is_ignored(path, rules):
-                    kind = EXTENSIONS.get(os.path.splitext(e.name)[1].lower())
-                    if kind and only in (None, kind):
-                        s = e.stat()
-                        yield path, e.path, kind, s.st_size, s.st_mtime * 1000
-
-
-def scan(spark: SparkSession, root: str, use_ignore_files: bool = True, type_filter: str | None = None) -> DataFrame:
-    """One row for each file below a local folder: hidden names included, symlinks and ignored paths left out."""
+def _children(root: str, rel: str, rules: list[Rule], only: str | None) -> tuple[list[str], list[tuple]]:
+    """(folders, files) right below a folder that aren't ignored; symlinks are left out."""
+    folders, found = [], []
+    with os.scandir(os.path.join(root, rel)) as entries:
+        for e in entries:
+            path = f"{rel}/{e.name}" if rel else e.name
+            if e.is_symlink():
+                continue
+            if e.is_dir():
+                if not is_ignored(path + "/x", rules):
+                    folders.append(path)
+            elif e.is_file() and not is_ignored(path, rules):
+                kind = EXTENSIONS.get(os.path.splitext(e.name)[1].lower())
+                if kind and only in (None, kind):
+                    s = e.stat()
+                    found.append((path, e.path, kind, s.st_size, s.st_mtime * 1000))
+    return folders, found
+
+
+class Folder(InputPartition):
+    """A folder that a task lists; ``deep`` with all folders below it."""
+
+    def __init__(self, path: str, deep: bool):
+        super().__init__(path)
+        self.path, self.deep = path, deep
+
+
+class FolderReader(DataSourceReader):
+    """Deals the folders of a tree to tasks, which list them and make the rows.
+
+    The driver opens folders from the top, level by level, until there are
+    enough of them for all tasks; it keeps names of those folders alone. What
+    lies below them is found by the tasks.
+    """
+
+    def __init__(self, options: dict):
+        self.root, self.only = options["path"], options.get("type") or None
+        self.enough = int(options.get("tasks", "64"))
+        self.rules: list[Rule] = [(r, n) for r, n in json.loads(options["rules"])]
+
+    def partitions(self) -> list[Folder]:
+        opened, level = [], [""]
+        while level and len(level) + len(opened) < self.enough:
+            opened += level
+            level = [x for f in level for x in _children(self.root, f, self.rules, self.only)[0]]
+        # opened folders give their own files, the last level all that lies below
+        return [Folder(f, False) for f in opened] + [Folder(f, True) for f in level]
+
+    def read(self, partition: Folder) -> Iterator[tuple]:
+        stack = [partition.path]
+        while stack:
+            folders, found = _children(self.root, stack.pop(), self.rules, self.only)
+            yield from found
+            if partition.deep:
+                stack += folders
+
+
+class FolderSource(DataSource):
+    """Spark's ``skerry_folder`` format: the files of a folder tree as rows."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "skerry_folder"
+
+    def schema(self) -> str:
+        return SCAN_SCHEMA
+
+    def reader(self, schema) -> FolderReader:
+        return FolderReader(self.options)
+
+
+def scan(spark: SparkSession, root: str, use_ignore_files: bool = True, type_filter: str | None = None, tasks: int | None = None) -> DataFrame:
+    """One row for each file below a folder that all executors see: hidden names included, symlinks and ignored paths left out.
+
+    Tasks list the folders, some ``tasks`` of them or more (twice the cores without it);
+    the driver opens the top of the tree alone.
+    """
     root = os.path.abspath(root)
     lines = list(EXCLUDED)
     for name in (".gitignore", ".cursorignore") if use_ignore_files else ():
@@ -131,7 +190,10 @@ def scan(spark: SparkSession, root: str, use_ignore_files: bool = True, type_fil
         if os.path.isfile(full):
             with open(full, encoding="utf-8", errors="replace") as f:
                 lines += f.read().splitlines()
-    return spark.createDataFrame(list(_walk(root, compile_rules(lines), type_filter)), SCAN_SCHEMA)
+    ship(spark)
+    spark.dataSource.register(FolderSource)
+    options = {"rules": json.dumps(compile_rules(lines)), "type": type_filter or "", "tasks": str(tasks or 2 * spark.sparkContext.defaultParallelism)}
+    return spark.read.format("skerry_folder").options(**options).load(root)
 
 
 def read_contents(files: DataFrame) -> DataFrame:

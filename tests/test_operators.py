@@ -112,3 +112,36 @@ def test_scan(spark, tmp_path):
     assert got == {"a.ts": "code", "__init__.py": "code", ".eslintrc.json": "code", "img.PNG": "image", "lib/c.md": "text"}
     assert "skip/e.ts" in {r["path"] for r in scan(spark, str(tmp_path), use_ignore_files=False).collect()}
     assert [r["path"] for r in scan(spark, str(tmp_path), type_filter="text").collect()] == ["lib/c.md"]
+
+
+def test_scan_on_executors_equals_a_walk(spark, tmp_path):
+    import os
+
+    rnd = random.Random(1)
+    names = ["a.ts", "b.md", "c.png", "d.xyz", ".hidden.py", "skip.log.txt", "e.min.js"]
+    (tmp_path / ".gitignore").write_text("skip*\n/f1/f2/\nf3/*\n!f3/keep\n")
+    folders = [""]
+    for _ in range(300):
+        rel = os.path.join(rnd.choice(folders), rnd.choice(["f1", "f2", "f3", "keep", "node_modules", ".dot"]))
+        os.makedirs(tmp_path / rel, exist_ok=True)
+        folders.append(rel)
+        (tmp_path / rel / rnd.choice(names)).write_text("x" * rnd.randint(0, 9))
+    (tmp_path / "f1").mkdir(exist_ok=True)
+    (tmp_path / "f1/link.ts").symlink_to(tmp_path / ".gitignore")
+
+    from skerry.sources.files import EXCLUDED, EXTENSIONS
+
+    rules = compile_rules([*EXCLUDED, *(tmp_path / ".gitignore").read_text().splitlines()])
+    want = set()
+    for d, _, files in os.walk(tmp_path):
+        for f in files:
+            rel, full = os.path.relpath(os.path.join(d, f), tmp_path), os.path.join(d, f)
+            kind = EXTENSIONS.get(os.path.splitext(f)[1].lower())
+            if kind and not os.path.islink(full) and not is_ignored(rel, rules):
+                want.add((rel, kind, os.path.getsize(full)))
+    assert len(want) > 10
+    for tasks in (1, 4, 1000):
+        got = scan(spark, str(tmp_path), tasks=tasks)
+        rows = [(r["path"], r["type"], r["size"]) for r in got.collect()]
+        assert set(rows) == want and len(rows) == len(want)
+    assert {r["path"] for r in scan(spark, str(tmp_path), type_filter="text").collect()} == {p for p, k, _ in want if k == "text"}
