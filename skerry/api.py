@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import threading
 import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,28 @@ MODES = ("hybrid", "semantic", "keyword")
 TYPES = manifest.TYPES
 
 
+Progress = Callable[[str, int, int | None], None]
+
+
+@contextmanager
+def watched(look: Callable[[], None], every: float = 0.5) -> Iterator[None]:
+    """Calls ``look`` again and again while the block runs, and once after it."""
+    over = threading.Event()
+
+    def run() -> None:
+        while not over.wait(every):
+            look()
+
+    t = threading.Thread(target=run, daemon=True)
+    t.start()
+    try:
+        yield
+    finally:
+        over.set()
+        t.join()
+        look()
+
+
 def _store(spark: SparkSession, folder: str) -> Store:
     return Store(spark, os.path.join(folder, STORE))
 
@@ -33,7 +58,7 @@ def _checked_type(kind: str | None) -> None:
 
 def index(
     spark: SparkSession, path: str, ignore: bool = True, type: str | None = None, clear: bool = False, embedder: Embedder | None = None, image_embedder: Embedder | None = None,
-    pdf_reader: pdf.Reader | None = None, tokenizer: Tokenizer | None = None,
+    pdf_reader: pdf.Reader | None = None, tokenizer: Tokenizer | None = None, progress: Progress | None = None,
 ) -> dict:
     """Brings the index of ``path`` up to date and returns the counters.
 
@@ -41,9 +66,11 @@ def index(
     changed are cut into chunks, and only chunks whose text changed are
     embedded. A snapshot is written at the end, all tables together. PDF files
     need a reader; without one, or where it fails, they have no chunks.
-    ``tokenizer`` cuts code into tokens: from a text to their places.
+    ``tokenizer`` cuts code into tokens: from a text to their places. ``progress`` is called with a stage, how much of
+    it is done and how much there is (None where that isn't known); chunks are counted as tasks embed them.
     """
     began = time.time()
+    tell = progress or (lambda stage, done, total: None)
     _checked_type(type)
     store = _store(spark, path)
     if clear:
@@ -55,6 +82,7 @@ def index(
     if found.isEmpty() and old.isEmpty():
         raise EngineError("EMPTY_DIR", f"No files to index in {path}", "Check the path and the ignore rules")
 
+    tell("scanned", found.count(), None)
     seen = old.select("path", F.col("mtime").alias("m_mtime"), F.col("size").alias("m_size"), "hash")
     fresh = found.join(seen, "path", "left")
     same = (F.col("mtime") == F.col("m_mtime")) & (F.col("size") == F.col("m_size"))
@@ -75,6 +103,9 @@ def index(
     chunk_diff = manifest.diff_chunks(new_chunks, in_type.join(stale, "path", "left_semi"))
     stats = manifest.index_stats(diff, chunk_diff).first().asDict()
 
+    tell("files", stats["files_indexed"], stats["files_indexed"])
+    tell("chunks", stats["chunks_created"], stats["chunks_created"] + stats["chunks_reused"])
+    embedded = spark.sparkContext.accumulator(0)
     chunks = manifest.remove(old_chunks, stale, "path").unionByName(new_chunks)
     posts = lexical.postings(new_chunks.filter("type <> 'image'"), "id", "chunk_text").withColumnRenamed("doc_id", "id")
     gone = old_chunks.join(stale, "path", "left_semi").select("id")
@@ -89,13 +120,15 @@ def index(
                 reuse = reuse.limit(0)  # an image's text is empty; its bytes changed
             todo = wanted.join(reuse.select("id"), "id", "left_anti")
             if kinds == ("image",):
-                fresh_vectors = embed_chunks(todo.join(read.select("path", "content"), "path"), model, "content")
+                fresh_vectors = embed_chunks(todo.join(read.select("path", "content"), "path"), model, "content", embedded)
             else:
-                fresh_vectors = embed_chunks(todo, model)
+                fresh_vectors = embed_chunks(todo, model, counted=embedded)
             vectors = vectors.unionByName(reuse).unionByName(fresh_vectors)
     per_file = chunks.groupBy("path").agg(F.count(F.lit(1)).alias("n_chunks"))
     entries = kept_types.drop("n_chunks").unionByName(now).join(per_file, "path", "left").na.fill(0, ["n_chunks"])
-    store.save({"manifest": entries, "chunks": chunks, "postings": postings, "vectors": vectors}, time.time())
+    with watched(lambda: tell("embedded", embedded.value, None)) if embedder or image_embedder else nullcontext():
+        store.save({"manifest": entries, "chunks": chunks, "postings": postings, "vectors": vectors}, time.time())
+    tell("saved", 1, 1)
     for df in (found, read, now, diff, new_chunks):
         df.unpersist()
     return {"status": "ok", "path": os.path.abspath(path), **stats, "duration_ms": round((time.time() - began) * 1000), "storage_dir": store.folder}
@@ -110,26 +143,26 @@ def _query_vector(spark: SparkSession, vector) -> DataFrame:
 
 
 def _nearest(spark: SparkSession, vectors: DataFrame, vector, k: int) -> DataFrame:
-    """(qid, id, distance, rank) with the chunk's own id; numbers stand in for ids while searching."""
-    numbered = vectors.select(F.xxhash64("id").alias("vec_id"), "embedding", "id")
-    got = knn.knn(numbered, _query_vector(spark, vector), k)
-    return got.withColumnRenamed("id", "vec_id").join(numbered.select("vec_id", "id"), "vec_id").drop("vec_id")
+    """(qid, id, distance, rank) with the chunk's own id."""
+    return knn.knn(vectors, _query_vector(spark, vector), k, id_col="id", query_id_col="vec_id")
 
 
 def search(
-    spark: SparkSession, store: Store, text: str, kind: str, mode: str, k: int, threshold: float | None, dir: str | None, embedder: Embedder | None
+    spark: SparkSession, store: Store, text: str, kind: str, mode: str, k: int, threshold: float | None, dir: str | None, embedder: Embedder | None, pooled: bool = False
 ) -> DataFrame:
     """Collapsed results (file_path, line_start, line_end, score, chunk_text, rank) of one type.
 
-    A folder's chunks are ranked among themselves, with the whole type's term statistics.
+    A folder's chunks are ranked among themselves, with the whole type's term statistics. ``pooled`` ranks code and
+    text together and keeps the type's chunks of what was fetched: fewer results where the other type ranks better.
     """
+    kinds = ("code", "text") if pooled else (kind,)
     fetch = results.over_fetch(k, threshold is not None or dir is not None)
-    chunks = store.load("chunks").filter(F.col("type") == kind)
+    chunks = store.load("chunks").filter(F.col("type").isin(*kinds))
     inside = chunks if dir is None else chunks.filter(results.in_folder(F.col("path"), dir))
-    row = inside.select("id", F.col("path").alias("file_path"), "chunk_index", "line_start", "line_end", "chunk_text")
+    row = inside.filter(F.col("type") == kind).select("id", F.col("path").alias("file_path"), "chunk_index", "line_start", "line_end", "chunk_text")
     sem = lex = None
     if mode != "keyword" and embedder is not None:
-        own = store.load("vectors").filter((F.col("type") == kind) & (F.col("model_id") == embedder.model_id))
+        own = store.load("vectors").filter(F.col("type").isin(*kinds) & (F.col("model_id") == embedder.model_id))
         own = own if dir is None else own.join(inside.select("id"), "id", "left_semi")
         sem = _nearest(spark, own, embedder.embed([PREFIXES[kind] + text])[0], fetch).withColumn("score", knn.search_score())
     if mode != "semantic":
@@ -151,9 +184,9 @@ def search(
 
 def query(
     spark: SparkSession, text: str, project_dir: str = ".", top_k: int = 10, dir: str | None = None, threshold: float | None = None, type: str | None = None, mode: str = "hybrid",
-    auto_index: bool = True, embedder: Embedder | None = None, image_embedder: Embedder | None = None,
+    auto_index: bool = True, embedder: Embedder | None = None, image_embedder: Embedder | None = None, pooled: bool = False,
 ) -> dict:
-    """Answers a query; the envelope has results for code, text and image."""
+    """Answers a query; the envelope has results for code, text and image. ``pooled``: see ``search``."""
     if mode not in MODES:
         raise EngineError("INVALID_MODE", f"Invalid mode: {mode}", f"Use one of {', '.join(MODES)}")
     _checked_type(type)
@@ -181,7 +214,7 @@ def query(
     out: dict = {"query": text, "total_indexed": sum(by_type.values()), "search_scope": dir or ".", "mode": effective, "code": [], "text": [], "image": []}
     for kind in ("code", "text"):
         if kind in by_type and type in (None, kind):
-            for r in search(spark, store, text, kind, effective, top_k, threshold, dir, embedder).orderBy("rank").collect():
+            for r in search(spark, store, text, kind, effective, top_k, threshold, dir, embedder, pooled).orderBy("rank").collect():
                 item = {"file": r["file_path"], "score": r["score"], "text": r["chunk_text"]}
                 if kind == "code":
                     item["lines"] = {"start": r["line_start"], "end": r["line_end"]}

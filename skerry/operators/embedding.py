@@ -8,18 +8,21 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.sources.shared import ship
+
 #: Texts of one model call.
 BATCH = 32
 
-#: What is put before a query, by type of the chunks searched; documents get nothing.
+#: What is put before a query, by type of the chunks searched; documents get nothing.
 PREFIXES = {
     "code": "Instruct: Given a search query, retrieve relevant code snippets\nQuery: ",
     "text": "Instruct: Given a search query, retrieve relevant text passages\nQuery: ",
 }
-#: Prompts whose mean stands for a query for images.
+#: Prompts whose mean stands for a query for images.
 IMAGE_PROMPTS = ("a photo of {}", "an image of {}", "a picture of {}", "{}")
 
 
@@ -65,8 +68,12 @@ def ensemble(embedder: Embedder, text: str) -> np.ndarray:
     return unit(embedder.embed([p.format(text) for p in IMAGE_PROMPTS]).mean(axis=0))
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder, column: str = "chunk_text") -> DataFrame:
-    """(id, path, type, model_id, text_hash, embedding) of rows with id, path, type, text_hash and the column: texts, or bytes of images."""
+def embed_chunks(chunks: DataFrame, embedder: Embedder, column: str = "chunk_text", counted: Accumulator | None = None) -> DataFrame:
+    """(id, path, type, model_id, text_hash, embedding) of rows with id, path, type, text_hash and the column: texts, or bytes of images.
+
+    ``counted`` grows as tasks embed; those that run again count again.
+    """
+    ship(chunks.sparkSession)
     images = dict(chunks.dtypes)[column] == "binary"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +82,8 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, column: str = "chunk_tex
                 part = b.slice(at, BATCH)
                 data = part.column(4).to_pylist()
                 v = np.asarray(embedder.embed_images([x or b"" for x in data]) if images else embedder.embed([x or "" for x in data]), np.float32)
+                if counted is not None:
+                    counted.add(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(list(v), pa.list_(pa.float32()))], ["id", "path", "type", "text_hash", "embedding"])
 
     got = chunks.select("id", "path", "type", "text_hash", column).mapInArrow(run, "id string, path string, type string, text_hash string, embedding array<float>")

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
-def _search(ids: list, vectors: np.ndarray, k: int):
+def _search(ids: list, vectors: np.ndarray, k: int, number: bool):
+    """``number``: whether the corpus's ids are numbers, else they are strings; both order as Spark orders them."""
+    kind = np.int64 if number else np.str_
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_d = np.full((len(ids), 0), np.inf)
-        best_i = np.zeros((len(ids), 0), np.int64)
+        best_i = np.zeros((len(ids), 0), kind)
         for b in it:
             if not b.num_rows:
                 continue
@@ -28,21 +30,22 @@ def _search(ids: list, vectors: np.ndarray, k: int):
             with np.errstate(invalid="ignore", divide="ignore"):
                 d = 1 - unit @ (x / norm[:, None]).T
             d = np.hstack([best_d, np.where(np.isnan(d), np.inf, d)])
-            i = np.hstack([best_i, np.broadcast_to(b.column(0).to_numpy(), (len(ids), b.num_rows))])
+            i = np.hstack([best_i, np.broadcast_to(np.asarray(b.column(0).to_pylist(), kind), (len(ids), b.num_rows))])
             order = np.lexsort((i, d), axis=1)[:, :k]
             best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
         n = best_d.shape[1]
         if n:
             ok = np.isfinite(best_d).ravel()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.asarray(ids, np.int64), n)[ok]), pa.array(best_i.ravel()[ok]), pa.array(best_d.ravel()[ok])], ["qid", "id", "distance"]
+                [pa.array(ids).take(pa.array(np.repeat(np.arange(len(ids)), n)[ok])), pa.array(best_i.ravel()[ok].tolist(), pa.int64() if number else pa.string()), pa.array(best_d.ravel()[ok])],
+                ["qid", "id", "distance"],
             )
 
     return run
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, where: str | None = None) -> DataFrame:
-    """(qid, id, distance, rank): the k nearest rows of ``corpus`` to each row of ``queries``; ties by id.
+def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, where: str | None = None, query_id_col: str | None = None) -> DataFrame:
+    """(qid, id, distance, rank): the k nearest rows of ``corpus`` to each row of ``queries``; ties by id, a number or a string.
 
     Queries go to the executors in blocks of ``block`` vectors, each task keeps
     its own best k of a query, so tasks times queries times k rows are shuffled
@@ -52,11 +55,15 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
     corpus = corpus.filter(where) if where else corpus
     found = None
     rows: list = []
-    part = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).alias("v")).filter("v is not null").sort("q")
-    data = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("v is not null")
+    part = queries.select(F.col(query_id_col or id_col).alias("q"), F.col(vec_col).alias("v")).filter("v is not null").sort("q")
+    number = corpus.schema[id_col].dataType.simpleString() != "string"
+    kind = "long" if number else "string"
+    data = corpus.select(F.col(id_col).cast(kind).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("v is not null")
+
+    q_kind = part.schema["q"].dataType.simpleString()
 
     def add(out: DataFrame | None) -> DataFrame:
-        more = data.mapInArrow(_search([r["q"] for r in rows], np.array([list(r["v"]) for r in rows], np.float64), k), "qid long, id long, distance double")
+        more = data.mapInArrow(_search([r["q"] for r in rows], np.array([list(r["v"]) for r in rows], np.float64), k, number), f"qid {q_kind}, id {kind}, distance double")
         return more if out is None else out.unionByName(more)
 
     for r in part.toLocalIterator():
@@ -64,7 +71,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
         if len(rows) == block:
             found, rows = add(found), []
     if rows or found is None:
-        found = add(found) if rows else data.select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("distance")).limit(0)
+        found = add(found) if rows else data.select(F.lit(None).cast(q_kind).alias("qid"), "id", F.lit(0.0).alias("distance")).limit(0)
     order = Window.partitionBy("qid").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -294,23 +294,20 @@ WITH {KNN_SQL.format(k=DEEP)}, hits AS (SELECT qid, 'img/' || label || '.png' AS
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_path) AS rank FROM hits WHERE score >= 0.01 QUALIFY rank <= 5"""
 
 
-def _relevance(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Neighbours without the query itself, and what is relevant: equal labels."""
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours without the query itself; relevant are all others of its label."""
     e, q = _queries(spark, sf_dir)
     near = knn.knn(e, q, K + 1).filter("id <> qid")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
-    same = q.select(F.col("vec_id").alias("qid"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").filter("id <> qid").select("qid", "id")
-    return near.select("qid", "id", "rank"), same
+    return metrics.ir_metrics_by_label(near.select("qid", "id", "rank"), e.select(F.col("vec_id").alias("id"), "label"), q.select(F.col("vec_id").alias("qid"), "label"))
 
 
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = metrics.ir_metrics(*_relevance(spark, sf_dir))
-    return m.select("qid", *[r4(F.col(c)).alias(c) for c in ("rr", "p1", "recall", "ndcg")], "hit")
+    return _metrics(spark, sf_dir).select("qid", *[r4(F.col(c)).alias(c) for c in ("rr", "p1", "recall", "ndcg")], "hit")
 
 
 def ir_metrics_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = metrics.mean_metrics(metrics.ir_metrics(*_relevance(spark, sf_dir)))
-    return m.select(*[r4(F.col(c)).alias(c) for c in ("mrr", "p1", "recall", "ndcg")], "n")
+    return metrics.mean_metrics(_metrics(spark, sf_dir)).select(*[r4(F.col(c)).alias(c) for c in ("mrr", "p1", "recall", "ndcg")], "n")
 
 
 METRICS_SQL = f"""

@@ -152,3 +152,36 @@ def test_models_that_are_missing(spark, tree, capsys):
         api.query(spark, "user auth", root, mode="hybrid")
     assert main(["query", "user auth", "--path", root, "--mode", "semantic", "--model", "nowhere:x"]) == 1
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["code"] == "GENERAL_ERROR"
+
+
+def test_progress(spark, tree, capsys):
+    from skerry.__main__ import main
+
+    seen, e = [], HashingEmbedder(16)
+    got = api.index(spark, str(tree), embedder=e, image_embedder=e, progress=lambda *x: seen.append(x))
+    assert seen[0] == ("scanned", 4, None) and ("files", 4, 4) in seen and seen[-1] == ("saved", 1, 1)
+    assert max(n for stage, n, _ in seen if stage == "embedded") >= got["chunks_created"]
+    assert main(["index", str(tree), "--quiet"]) == 0
+    assert capsys.readouterr() == ("", "")
+    assert main(["index", str(tree), "--format", "text"]) == 0
+    out = capsys.readouterr()
+    assert out.out.startswith("Nothing changed: 4 files scanned in ") and "scanned: 4" in out.err
+    (tree / "notes.md").write_text("Other words.")
+    assert main(["index", str(tree), "--format", "text", "-q"]) == 0 and capsys.readouterr().out == ""
+    (tree / "notes.md").write_text("And others again.")
+    assert main(["index", str(tree), "--format", "text"]) == 0
+    assert capsys.readouterr().out.startswith("1 files indexed, 1 chunks created, 3 files unchanged")
+    assert main(["status", str(tree), "--format", "text"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[1] == "Files: 4 (code: 2, image: 1, text: 1)" and lines[-1] == "Stale files: 0" and lines[4].startswith("Index size: ")
+
+
+def test_pooled_types(spark, tmp_path):
+    """Code that ranks better takes the text's places among what is fetched."""
+    for i in range(80):
+        (tmp_path / f"c{i}.py").write_text("needle needle")
+    (tmp_path / "t.md").write_text("needle among many other words that make it the weaker hit by far")
+    api.index(spark, str(tmp_path))
+    apart = api.query(spark, "needle", str(tmp_path), top_k=1, mode="keyword")
+    pooled = api.query(spark, "needle", str(tmp_path), top_k=1, mode="keyword", pooled=True)
+    assert apart["text"] and apart["code"] and pooled["code"] and not pooled["text"]

@@ -145,3 +145,41 @@ def test_scan_on_executors_equals_a_walk(spark, tmp_path):
         rows = [(r["path"], r["type"], r["size"]) for r in got.collect()]
         assert set(rows) == want and len(rows) == len(want)
     assert {r["path"] for r in scan(spark, str(tmp_path), type_filter="text").collect()} == {p for p, k, _ in want if k == "text"}
+
+
+def test_knn_ids_of_any_type(spark):
+    rng = random.Random(4)
+    rows = [(i, f"n{i:02}", [rng.gauss(0, 1) for _ in range(5)]) for i in range(40)]
+    c = spark.createDataFrame(rows, "num long, name string, embedding array<float>").repartition(3)
+    by_num = {(r["qid"], r["rank"]): r["id"] for r in knn.knn(c, c.filter("num < 5"), 4, id_col="num").collect()}
+    by_name = {(r["qid"], r["rank"]): r["id"] for r in knn.knn(c, c.filter("num < 5"), 4, id_col="name").collect()}
+    assert {(f"n{q:02}", k): f"n{i:02}" for (q, k), i in by_num.items()} == by_name
+    mixed = knn.knn(c, c.filter("num < 5"), 4, id_col="name", query_id_col="num")
+    assert {(r["qid"], r["rank"]): r["id"] for r in mixed.collect()} == {(q, k): f"n{i:02}" for (q, k), i in by_num.items()}
+    assert knn.knn(c, c.limit(0), 4, id_col="name").count() == 0
+
+
+def test_latency_of_one_hot_group(spark):
+    rng = random.Random(9)
+    rows = [("hot", float(rng.randint(0, 500))) for _ in range(3000)] + [("flat", 7.0)] * 40 + [("one", 3.5), (None, 1.0), (None, 9.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r["k"]: r for r in metrics.latency_summary(df, "k", "v").collect()}
+    assert set(got) == {"hot", "flat", "one", None}
+    for k, r in got.items():
+        v = sorted(x for g, x in rows if g == k and x is not None)
+        assert (r["n"], r["least"], r["most"]) == (len(v), v[0], v[-1]) and abs(r["mean"] - sum(v) / len(v)) < 1e-9
+        assert [r["p50"], r["p95"], r["p99"]] == [v[int(len(v) * p)] for p in (0.5, 0.95, 0.99)]
+    assert metrics.latency_summary(df.limit(0), "k", "v").count() == 0
+
+
+def test_metrics_by_label_equal_those_by_pairs(spark):
+    rng = random.Random(6)
+    labels = {i: rng.choice([1, 1, 1, 2, 3]) for i in range(60)} | {60: 9, 61: None}
+    items = spark.createDataFrame(list(labels.items()), "id long, label int")
+    ask = {i: labels[i] for i in list(range(10)) + [60, 61]} | {100: 2}  # 100 is no item
+    queries = spark.createDataFrame(list(ask.items()), "qid long, label int")
+    ranked = spark.createDataFrame([(q, i, n + 1) for q in ask for n, i in enumerate(rng.sample(range(62), 8))], "qid long, id long, rank int")
+    pairs = spark.createDataFrame([(q, i) for q, k in ask.items() for i, x in labels.items() if k is not None and x == k and i != q], "qid long, id long")
+    tuples = lambda df: sorted(tuple(r) for r in df.collect())
+    want = tuples(metrics.ir_metrics(ranked.filter("id <> qid"), pairs))
+    assert tuples(metrics.ir_metrics_by_label(ranked, items, queries)) == want and len(want) == 11
