@@ -119,9 +119,24 @@ class Page:
                 buf.clear()
                 linked = 0
 
+        # places in the stack of each tag, of scopes and of blocks: what a tag closes is found without going over the stack
+        opened: dict[str, list[int]] = {}
+        scopes: list[int] = []
+        blocks: list[int] = []
+
+        def nearest(*tags: str) -> int:
+            """The innermost open element of these tags; -1 where a scope hides it."""
+            i = max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+            return -1 if scopes and scopes[-1] > i else i
+
         def leave(i: int) -> None:
             nonlocal path, chaff, art, links
-            links -= sum(x[0] == "a" for x in stack[i:])
+            for x in stack[i:]:
+                opened[x[0]].pop()
+                links -= x[0] == "a"
+            for at_ in (scopes, blocks):
+                while at_ and at_[-1] >= i:
+                    at_.pop()
             del stack[i:]
             _, path, chaff, art = stack[-1] if stack else ("", 0, False, -1)
 
@@ -145,13 +160,9 @@ class Page:
             if m[1]:
                 if tag in BLOCK:
                     flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        if tag in BLOCK or not any(x[0] in BLOCK for x in stack[i:]):
-                            leave(i)
-                        break
-                    if stack[i][0] in SCOPES and tag not in SCOPES:
-                        break
+                i = opened[tag][-1] if tag in SCOPES and opened.get(tag) else nearest(tag)
+                if i >= 0 and (tag in BLOCK or not (blocks and blocks[-1] >= i)):
+                    leave(i)
                 continue
             if tag == "br":
                 buf.append(" ")
@@ -167,19 +178,10 @@ class Page:
                 continue
             if tag in VOID:
                 continue
-            if tag in ENDS_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        leave(i)
-                        break
-                    if stack[i][0] in SCOPES:
-                        break
-            for i in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
-                if stack[i][0] in CLOSES[tag]:
+            for ended in (("p",) if tag in ENDS_P else (), CLOSES.get(tag, ())):
+                i = nearest(*ended)
+                if i >= 0:
                     leave(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
             attrs = _attrs(m[3])
             inside = art >= 0 and self.kinds[art] != "named"
             now = chaff or tag in SKIP or tag == "header" and not inside or bool(attrs) and _is_chaff(tag, attrs, inside)
@@ -195,6 +197,10 @@ class Page:
             mark = attrs.get("class") or attrs.get("id") or ""
             path = self._node(path, f"{tag}.{mark}" if mark else tag)
             chaff, art = now, mine
+            opened.setdefault(tag, []).append(len(stack))
+            for kept, of in ((scopes, SCOPES), (blocks, BLOCK)):
+                if tag in of:
+                    kept.append(len(stack))
             stack.append((tag, path, now, mine))
             links += tag == "a"
             if tag in BLOCK:
