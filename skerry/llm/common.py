@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
@@ -98,6 +98,21 @@ def drop_tables(spark: SparkSession, since: int, but_last: bool = False) -> None
     del _TABLES[since:end]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The same rows with columns named by their place, c0, c1 and so on: no name of an operator's own clashes with them."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """What ``numbered`` calls a column."""
+    return f"c{docs.columns.index(name)}"
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a ``numbered`` table; maps, which Spark doesn't hash, by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes])
+
+
 def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -27,7 +27,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import cut
+from skerry.llm.common import cut, numbered, place
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A fingerprint: four 64-bit hashes of each shingle, so 16 blocks of 16 bits.
@@ -174,5 +174,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     texts are read whole; an empty benchmark drops none, an empty table gives
     an empty one.
     """
-    bad = cut(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct())
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__bad_hash")), "left_anti")
+    plain = numbered(docs)
+    i, t = place(docs, id_col), place(docs, text_col)
+    bad = cut(leaks(plain, benchmark, i, t).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct())
+    good = plain.join(bad, F.col(i).eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(t).cast("string")) == F.col("bad_hash")), "left_anti")
+    return good.toDF(*docs.columns)

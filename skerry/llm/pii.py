@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import batches_of, ship, strings
+from skerry.llm.common import batches_of, numbered, place, ship, strings
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "iban", "ssn", "account", "secret")
@@ -184,14 +184,15 @@ def redact_documents(docs: DataFrame, text_col: str = "text", size_col: str | No
 
     A null text stays null, an empty one empty; overlapping spans become one,
     named by the first; repeated rows are changed alike; very long texts are read
-    whole; an empty table gives an empty one.
+    whole; columns of any name stay; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
+    plain, text = numbered(docs), place(docs, text_col)
     at = docs.columns.index(text_col)
     size_at = docs.columns.index(size_col) if size_col in docs.columns else None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(it, text_col, BATCH_BYTES):
+        for b in batches_of(it, text, BATCH_BYTES):
             texts = [None if t is None else redact(t, spans(t)) for t in b.column(at).to_pylist()]
             cols = list(b.columns)
             cols[at] = pa.array(texts, b.schema.field(at).type)
@@ -199,4 +200,4 @@ def redact_documents(docs: DataFrame, text_col: str = "text", size_col: str | No
                 cols[size_at] = pa.array([old if t is None else len(t) for t, old in zip(texts, cols[size_at].to_pylist(), strict=True)], b.schema.field(size_at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import batches_of, cut, give_back, ship, spread, strings
+from skerry.llm.common import batches_of, cut, give_back, numbered, place, ship, spread, strings
 
 #: Rows that the classifier is fitted on at most (all labelled rows up to that; beyond, those of the smallest hashes).
 SAMPLE_ROWS = 20_000
@@ -331,10 +331,10 @@ def keep_good(docs: DataFrame, model: Model, threshold: float, text_col: str = "
     whole; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
-    at = docs.columns.index(text_col)
+    plain, text = numbered(docs), place(docs, text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(it, text_col, BATCH_BYTES):
-            yield b.filter(pa.array(model.score(strings(b.column(at))) >= threshold))
+        for b in batches_of(it, text, BATCH_BYTES):
+            yield b.filter(pa.array(model.score(strings(b.column(text))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import batches_of, cut, look_up, n_parts, ship, strings
+from skerry.llm.common import batches_of, cut, look_up, n_parts, numbered, place, row_hash, ship, strings
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BATCH_BYTES = 2_000_000
@@ -464,7 +464,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
             )
 
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.xxhash64(*docs.columns).alias("row_hash"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), row_hash(docs).alias("row_hash"))
     rows = cut(rows.mapInArrow(run, "doc_id long, text_hash long, row_hash long, key long, fp long, anchors array<long>, shingles binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row_hash")).alias("first")
     texts = cut(rows.groupBy("key").agg(first, F.min("fp").alias("fp"), F.min("anchors").alias("anchors"), F.min(F.length("shingles") / 4).cast("long").alias("n")))
@@ -500,11 +500,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     whole; all columns stay as they are, whatever their names; an empty table
     gives an empty one.
     """
-    rows, _, least = _similar(docs, id_col, text_col)
-    keep = cut(least.select(*[F.col(f"first.{c}").alias(f"__keep_{c}") for c in ("doc_id", "text_hash", "row_hash")]))
-    kept = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.xxhash64(*docs.columns).alias("row_hash"))
-    same = kept["doc_id"].eqNullSafe(F.col("__keep_doc_id")) & (kept["text_hash"] == F.col("__keep_text_hash")) & (kept["row_hash"] == F.col("__keep_row_hash"))
+    plain = numbered(docs)
+    i, t = place(docs, id_col), place(docs, text_col)
+    rows, _, least = _similar(plain, i, t)
+    keep = cut(least.select(*[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "text_hash", "row_hash")]))
+    keys = {"doc_id": F.col(i).cast("long"), "text_hash": F.xxhash64(F.col(t).cast("string")), "row_hash": row_hash(plain)}
+    same = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_hash") == F.col("first_text_hash")) & (F.col("row_hash") == F.col("first_row_hash"))
     # as many as the documents that stay: never broadcast
-    out = docs.join(keep.hint("merge"), same, "left_semi")
+    out = plain.withColumns(keys).join(keep.hint("merge"), same, "left_semi")
     repeated = rows.groupBy("doc_id", "text_hash", "row_hash").count().filter("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates()
+    out = out if repeated.isEmpty() else out.dropDuplicates(list(keys))
+    return out.select(*plain.columns).toDF(*docs.columns)
