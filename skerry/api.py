@@ -19,7 +19,7 @@ from skerry.operators.chunking import Tokenizer, all_chunks
 from skerry.operators.embedding import PREFIXES, Embedder, embed_chunks, ensemble
 from skerry.sources import pdf
 from skerry.sources.files import STORE, read_contents, scan
-from skerry.sources.store import Store
+from skerry.sources.store import SCHEMAS, Store
 
 MODES = ("hybrid", "semantic", "keyword")
 TYPES = manifest.TYPES
@@ -48,7 +48,7 @@ def watched(look: Callable[[], None], every: float = 0.5) -> Iterator[None]:
 
 
 def _store(spark: SparkSession, folder: str) -> Store:
-    return Store(spark, os.path.join(folder, STORE))
+    return Store(spark, os.path.join(os.path.abspath(folder), STORE))
 
 
 def _checked_type(kind: str | None) -> None:
@@ -64,7 +64,7 @@ def index(
 
     Only files whose time or size changed are read, only those whose hash
     changed are cut into chunks, and only chunks whose text changed are
-    embedded. A snapshot is written at the end, all tables together. PDF files
+    embedded. What changed is saved at the end, in all tables together. PDF files
     need a reader; without one, or where it fails, they have no chunks.
     ``tokenizer`` cuts code into tokens: from a text to their places. ``progress`` is called with a stage, how much of
     it is done and how much there is (None where that isn't known); chunks are counted as tasks embed them.
@@ -77,7 +77,7 @@ def index(
         store.clear()
     old_all = store.load("manifest")
     mine = F.lit(True) if type is None else F.col("type") == type
-    old, kept_types = old_all.filter(mine), old_all.filter(~mine)
+    old = old_all.filter(mine)
     found = scan(spark, path, ignore, type).cache()
     if found.isEmpty() and old.isEmpty():
         raise EngineError("EMPTY_DIR", f"No files to index in {path}", "Check the path and the ignore rules")
@@ -106,12 +106,8 @@ def index(
     tell("files", stats["files_indexed"], stats["files_indexed"])
     tell("chunks", stats["chunks_created"], stats["chunks_created"] + stats["chunks_reused"])
     embedded = spark.sparkContext.accumulator(0)
-    chunks = manifest.remove(old_chunks, stale, "path").unionByName(new_chunks)
-    posts = lexical.postings(new_chunks.filter("type <> 'image'"), "id", "chunk_text").withColumnRenamed("doc_id", "id")
-    gone = old_chunks.join(stale, "path", "left_semi").select("id")
-    postings = manifest.remove(store.load("postings"), gone, "id").unionByName(posts)
-    old_vectors = store.load("vectors")
-    vectors = manifest.remove(old_vectors, stale, "path")
+    posts = lexical.postings(new_chunks.filter("type <> 'image'"), "id", "chunk_text").withColumnRenamed("doc_id", "id").join(new_chunks.select("id", "path"), "id")
+    old_vectors, vectors = store.load("vectors"), spark.createDataFrame([], SCHEMAS["vectors"])
     for kinds, model in ((("code", "text"), embedder), (("image",), image_embedder)):
         if model is not None:
             wanted = new_chunks.filter(F.col("type").isin(*kinds))
@@ -124,10 +120,15 @@ def index(
             else:
                 fresh_vectors = embed_chunks(todo, model, counted=embedded)
             vectors = vectors.unionByName(reuse).unionByName(fresh_vectors)
-    per_file = chunks.groupBy("path").agg(F.count(F.lit(1)).alias("n_chunks"))
-    entries = kept_types.drop("n_chunks").unionByName(now).join(per_file, "path", "left").na.fill(0, ["n_chunks"])
+    # only files that aren't as they were: those that were touched keep their chunks
+    moved = diff.filter("status <> 'unchanged'")
+    per_file = new_chunks.groupBy("path").agg(F.count(F.lit(1)).alias("n_new"))
+    before = old.select("path", F.col("n_chunks").alias("n_old"))
+    entries = now.join(moved, "path").join(per_file, "path", "left").join(before, "path", "left")
+    entries = entries.withColumn("n_chunks", F.when(F.col("status") == "touched", F.coalesce("n_old", F.lit(0))).otherwise(F.coalesce("n_new", F.lit(0))))
+    added = {"manifest": entries, "chunks": new_chunks, "postings": posts, "vectors": vectors}
     with watched(lambda: tell("embedded", embedded.value, None)) if embedder or image_embedder else nullcontext():
-        store.save({"manifest": entries, "chunks": chunks, "postings": postings, "vectors": vectors}, time.time())
+        store.save(added, {"manifest": moved, "chunks": stale, "postings": stale, "vectors": stale}, time.time())
     tell("saved", 1, 1)
     for df in (found, read, now, diff, new_chunks):
         df.unpersist()
@@ -166,7 +167,7 @@ def search(
         own = own if dir is None else own.join(inside.select("id"), "id", "left_semi")
         sem = _nearest(spark, own, embedder.embed([PREFIXES[kind] + text])[0], fetch).withColumn("score", knn.search_score())
     if mode != "semantic":
-        post = store.load("postings").join(chunks.select("id"), "id", "left_semi").withColumnRenamed("id", "doc_id")
+        post = store.load("postings").drop("path").join(chunks.select("id"), "id", "left_semi").withColumnRenamed("id", "doc_id")
         terms = lexical.query_terms(spark.createDataFrame([(0, text)], "qid long, query string"))
         hits = lexical.bm25(post, lexical.expand_prefixes(post.select("term").distinct(), terms))
         if dir is not None:
@@ -237,7 +238,7 @@ def query(
 def status(spark: SparkSession, project_dir: str = ".", ignore: bool = True) -> dict:
     """Counts by type, size, time and staleness of the index."""
     store = _store(spark, project_dir)
-    if not os.path.isdir(store.folder):
+    if not store.files.exists():
         raise EngineError("NO_INDEX", f"No index in {project_dir}", "Index the folder first")
     if store.broken:
         raise EngineError("CORRUPT_MANIFEST", "The index can't be read", "Index the folder again with clear")

@@ -2,45 +2,41 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skerry.operators import lexical, manifest
+from skerry.operators import lexical
+from skerry.sources.store import Deltas
 
 SCHEMA = "doc_id long, term string, tf long"
 
 
-def _current(folder: str) -> int:
-    try:
-        with open(os.path.join(folder, "CURRENT"), encoding="utf-8") as f:
-            return int(f.read())
-    except (OSError, ValueError):
-        return -1
+def _postings(spark: SparkSession, folder: str) -> Deltas:
+    return Deltas(spark, folder, {"postings": SCHEMA}, "doc_id")
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
     """The postings after the last batch that was applied whole."""
-    v = _current(folder)
-    return spark.read.schema(SCHEMA).parquet(os.path.join(folder, f"v{v}")) if v >= 0 else spark.createDataFrame([], SCHEMA)
+    return _postings(spark, folder).load("postings")
 
 
 def apply_delta(spark: SparkSession, folder: str, batch: DataFrame, version: int) -> None:
-    """Upserts a batch (doc_id, text, deleted); of several rows of a document the last by ``seq`` counts.
+    """Upserts a batch (doc_id, text, deleted, seq); of several rows of a document the last by ``seq`` counts.
 
-    A version is written once: a batch that comes again after a failure changes nothing.
+    The batch's own postings are written, not those of other documents. A
+    version is applied once: a batch that comes again after a failure replaces
+    what it left, one that comes again after it was applied changes nothing.
     """
-    if version <= _current(folder):
+    store = _postings(spark, folder)
+    if version < store.number:
         return
-    last = batch.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("seq")))).filter("_n = 1")
-    kept = manifest.remove(load(spark, folder), last.select("doc_id"), "doc_id")
-    kept.unionByName(lexical.postings(last.filter("not deleted"))).write.mode("overwrite").parquet(os.path.join(folder, f"v{version}"))
-    tmp = os.path.join(folder, ".CURRENT")
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.write(str(version))
-    os.replace(tmp, os.path.join(folder, "CURRENT"))
+    columns = [F.struct("seq", F.col("deleted").alias("deleted"), "text")]
+    last = batch.groupBy("doc_id").agg(F.max(*columns).alias("v")).select("doc_id", "v.text", "v.deleted").persist()
+    try:
+        store.save({"postings": lexical.postings(last.filter("not deleted"))}, {"postings": last}, 0.0, version + 1)
+    finally:
+        last.unpersist()
 
 
 def follow(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
