@@ -354,6 +354,9 @@ SQL = {
     "rrf_fuse": f"WITH {HITS_SQL}, {_fused_sql()} SELECT * FROM fused",
     "hybrid_query": f"WITH {HITS_SQL}, {_fused_sql()}, {CHUNKS_SQL.format(t='fused')}, {_collapse_sql()} {_best_sql(K)}",
     "hybrid_vectors": f"WITH {VECTOR_HITS_SQL}, {_fused_sql()}, {CHUNKS_SQL.format(t='fused')}, {_collapse_sql()} {_best_sql(K)}",
+    "envelope_json": f"""WITH {HITS_SQL}, {_fused_sql()}, {CHUNKS_SQL.format(t='fused')}, {_collapse_sql()}, best AS ({_best_sql(K)})
+      SELECT qid, to_json({{'query': qid, 'mode': 'hybrid', 'text': list({{'file': file_path, 'lines': {{'start': line_start, 'end': line_end}}, 'score': score, 'text': chunk_text}} ORDER BY rank)}})::VARCHAR AS envelope
+      FROM best GROUP BY qid""",
     "mode_branches": MODES_SQL,
     "collapse_adjacent": f"WITH {TURNS_SQL.replace('role AS qid', '0 AS qid')}, {_collapse_sql()} SELECT * FROM collapsed",
     "threshold_dir_topk": f"WITH {TURNS_SQL}, kept AS (SELECT * FROM chunks WHERE score >= 0.5 AND starts_with(file_path, 'talk/1')), {_collapse_sql('kept')} {_best_sql(5)}",
