@@ -11,6 +11,7 @@ and writers and Hadoop's file system, so the folder may be remote.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,14 +142,18 @@ class Deltas:
         last, base = (old["number"], old["base"]) if old else (0, 0)
         number = last + 1 if number is None else number
         whole = old is None or sum(base < int(x.removeprefix("save=")) <= last for t in self.schemas for x in self.files.names(f"data/{t}_gone") if x.startswith("save=")) >= COMPACT * len(self.schemas)
+        writes = []
         for t in self.schemas:
             rows = added[t].select(*[c.split()[0] for c in self.schemas[t].split(", ")])
             keys = gone[t].select(self.key).distinct()
             if whole:
-                self._write(self.load(t).join(keys, self.key, "left_anti").unionByName(rows), t, number)
+                writes.append((self.load(t).join(keys, self.key, "left_anti").unionByName(rows) if old else rows, t))
             else:
-                self._write(rows, t, number)
-                self._write(keys, f"{t}_gone", number)
+                writes += [(rows, t), (keys, f"{t}_gone")]
+        # side by side: a small save is a few small jobs, which wait for one another more than they work
+        with ThreadPoolExecutor(len(writes)) as pool:
+            for done in [pool.submit(self._write, df, name, number) for df, name in writes]:
+                done.result()
         self.files.replace("CURRENT.json", json.dumps({"version": VERSION, "snapshot": "data", "at": at, "number": number, "base": number if whole else base}))
         if whole and old:  # readers of the saves since the last base still have theirs
             for t in self.schemas:
