@@ -98,6 +98,15 @@ def drop_tables(spark: SparkSession, since: int, but_last: bool = False) -> None
     del _TABLES[since:end]
 
 
+#: Rows of numbers of one file at least, where a table has so many.
+FILE_ROWS = 100_000
+
+
+def in_files(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df``, which has ``most_rows`` short rows at most, in no more partitions than make sense as files: opening one costs more than some rows."""
+    return df.coalesce(max(1, min(n_parts(df.sparkSession), -(-most_rows // FILE_ROWS))))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """The same rows with columns named by their place, c0, c1 and so on: no name of an operator's own clashes with them."""
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

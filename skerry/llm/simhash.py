@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import batches_of, cut, look_up, n_parts, numbered, place, row_hash, ship, strings
+from skerry.llm.common import batches_of, cut, in_files, look_up, n_parts, numbered, place, row_hash, ship, strings
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BATCH_BYTES = 2_000_000
@@ -276,20 +276,21 @@ def components(edges: DataFrame) -> DataFrame:
     results are cut by checkpoints.
     """
     edges = cut(edges.filter("a <> b").distinct())
-    label = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
+    put_by = lambda df, n=2 * edges.count(): cut(in_files(df, n))  # noqa: E731  an edge has two nodes at most
+    label = put_by(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        up = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
+        up = put_by(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
         while True:
             over = up.select(F.col("node").alias("to"), F.col("to").alias("far"))
-            nxt = cut(look_up(up, over, "to").select("node", "far", F.col("to").alias("was")))
+            nxt = put_by(look_up(up, over, "to").select("node", "far", F.col("to").alias("was")))
             moved = not nxt.filter("far <> was").isEmpty()
             up = nxt.select("node", F.col("far").alias("to"))
             if not moved:
                 break
         put = lambda df, col: look_up(df, up.select(F.col("node").alias(col), F.col("to").alias("_t")), col).withColumn(col, F.coalesce("_t", col)).drop("_t")
-        label = cut(put(label, "label"))
-        edges = cut(put(put(edges, "a"), "b").filter("a <> b").distinct())
+        label = put_by(put(label, "label"))
+        edges = put_by(put(put(edges, "a"), "b").filter("a <> b").distinct())
     return label
 
 
@@ -467,22 +468,23 @@ def _similar(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), row_hash(docs).alias("row_hash"))
     rows = cut(rows.mapInArrow(run, "doc_id long, text_hash long, row_hash long, key long, fp long, anchors array<long>, shingles binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row_hash")).alias("first")
-    texts = cut(rows.groupBy("key").agg(first, F.min("fp").alias("fp"), F.min("anchors").alias("anchors"), F.min(F.length("shingles") / 4).cast("long").alias("n")))
+    n = rows.count()
+    texts = cut(in_files(rows.groupBy("key").agg(first, F.min("fp").alias("fp"), F.min("anchors").alias("anchors"), F.min(F.length("shingles") / 4).cast("long").alias("n")), n))
     under = texts.select("key", "fp", "n", F.posexplode("anchors").alias("slot", "anchor")).withColumn("anchor", F.xxhash64("slot", "anchor"))
-    shared = cut(under.groupBy("slot", "anchor").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n")).filter("count > 1"))
+    shared = cut(in_files(under.groupBy("slot", "anchor").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n")).filter("count > 1"), 6 * n))
     crowd = (F.col("count") > CROWD) | (F.col("n") * 4 > CROWD_BYTES)
     if not shared.filter(crowd).isEmpty():
         usual = under.join(shared.filter(~crowd), ["slot", "anchor"], "left_semi").select("key", "fp", "slot", "anchor")
         members = cut(usual.unionByName(divided(under.join(F.broadcast(shared.filter(crowd)), ["slot", "anchor"], "left_semi"))))
     else:
-        members = cut(under.join(shared, ["slot", "anchor"], "left_semi").select("key", "fp", "slot", "anchor"))
-    wanted = cut(members.select("key").distinct())
+        members = cut(in_files(under.join(shared, ["slot", "anchor"], "left_semi").select("key", "fp", "slot", "anchor"), 6 * n))
+    wanted = cut(in_files(members.select("key").distinct(), n))
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
     sets = cut(rows.join(few, "key", "left_semi").groupBy("key").agg(F.min("shingles").alias("shingles")))
     dealt = members.join(sets, "key").select("slot", "anchor", "key", "fp", "shingles").repartition(n_parts(spark), "slot", "anchor").sortWithinPartitions("slot", "anchor", "key")
     label = components(dealt.mapInArrow(_join_similar, "a long, b long"))
-    joined = cut(texts.join(label, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("label", "key").alias("label")))
-    least = cut(joined.groupBy("label").agg(F.min("first").alias("first")))
+    joined = cut(in_files(texts.join(label, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("label", "key").alias("label")), n))
+    least = cut(in_files(joined.groupBy("label").agg(F.min("first").alias("first")), n))
     return rows, joined, least
 
 
@@ -503,7 +505,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     plain = numbered(docs)
     i, t = place(docs, id_col), place(docs, text_col)
     rows, _, least = _similar(plain, i, t)
-    keep = cut(least.select(*[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "text_hash", "row_hash")]))
+    keep = least.select(*[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "text_hash", "row_hash")])
     keys = {"doc_id": F.col(i).cast("long"), "text_hash": F.xxhash64(F.col(t).cast("string")), "row_hash": row_hash(plain)}
     same = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_hash") == F.col("first_text_hash")) & (F.col("row_hash") == F.col("first_row_hash"))
     # as many as the documents that stay: never broadcast
