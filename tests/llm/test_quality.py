@@ -110,3 +110,18 @@ def test_training_separates_and_repeats():
     x[:, -1] = 5
     a, b = train(x, y, np.zeros((1, 1))), train(x, y, np.zeros((1, 1)))
     assert np.mean((a.logits(x) > 0) == y) > 0.95 and np.array_equal(a.logits(x), b.logits(x)) and a.temperature > 0
+
+
+def test_scores_by_the_definition(spark):
+    """The whole query's scores: pooled word by word, through the network row by row."""
+    d = read_table(spark, SF, "documents")
+    m = fit(d, read_table(spark, SF, "labels"))
+    got = {r["doc_id"]: r["score"] for r in op4_quality(spark, SF).collect()}
+    for r in d.collect()[:80]:
+        x = brute_pool(r["text"], m.context).astype(np.float64)
+        n = np.expm1(x[-1])
+        drawn = [(v - a) / s * (n / (n + 4) if i < len(x) - 1 else 1) for i, (v, a, s) in enumerate(zip(x, m.mean, m.scale, strict=True))]
+        drawn = [min(8.0, max(-8.0, v)) for v in drawn]
+        hidden = [max(0.0, sum(v * w for v, w in zip(drawn, m.w1[:, j], strict=True)) + m.b1[j]) for j in range(len(m.b1))]
+        z = (sum(h * w for h, w in zip(hidden, m.w2, strict=True)) + m.b2) / m.temperature
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 2e-3
