@@ -14,7 +14,7 @@ _OWN: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset a folder of this process, on one machine alone: a cluster must name one."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
+    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if got:
         return got.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
