@@ -238,7 +238,7 @@ def search(index: DataFrame, terms: DataFrame, k: int, prefixes: bool = True, p:
     ship(spark)
     n_docs, avgdl = collection(index)
     id_type = index.schema["ids"].dataType.elementType.simpleString()
-    by_query = terms.groupBy("qid").agg(F.sort_array(F.collect_set("q")).alias("terms")).sort("qid")
+    by_query = terms.groupBy("qid").agg(F.sort_array(F.collect_set("q")).alias("terms"))
     qid_type = terms.schema["qid"].dataType.simpleString()
     out_schema = "block long, scored long, asked long" if counted else f"qid {qid_type}, doc_id {id_type}, score double, matched int, tie long"
     found, batch = None, []

@@ -55,7 +55,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
     corpus = corpus.filter(where) if where else corpus
     found = None
     rows: list = []
-    part = queries.select(F.col(query_id_col or id_col).alias("q"), F.col(vec_col).alias("v")).filter("v is not null").sort("q")
+    part = queries.select(F.col(query_id_col or id_col).alias("q"), F.col(vec_col).alias("v")).filter("v is not null")
     number = corpus.schema[id_col].dataType.simpleString() != "string"
     kind = "long" if number else "string"
     data = corpus.select(F.col(id_col).cast(kind).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("v is not null")

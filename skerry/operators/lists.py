@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.operators import lexical
-from skerry.sources.shared import ship
+from skerry.sources.shared import kept, ship
 
 #: Vectors that the centroids are trained on at most: those of the smallest hashes of their ids.
 SAMPLE = 50_000
@@ -209,7 +209,7 @@ def search(index: Lists, queries: DataFrame, k: int, probes: int = 8, exact: boo
     chunks = max(1, -(-q.count() // CHUNK))
     found = _nearest(index, _wanted(index, q, chunks, probes), chunks, k)
     if exact:
-        found = lexical.first_k(found, k, order).drop("rank").persist()
+        found = kept(lexical.first_k(found, k, order).drop("rank"))
         # with fewer than k neighbours so far nothing is too far
         far = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d")).select("qid", F.when(F.col("n") == k, F.col("d")).otherwise(2.0).alias("far"))
         rest = q.join(far, "qid", "left").select("qid", "v", F.coalesce("far", F.lit(2.0)).alias("far"))
