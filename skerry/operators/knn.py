@@ -11,35 +11,68 @@ from pyspark.sql import functions as F
 
 #: Query vectors of one block; more are answered block by block.
 BLOCK = 1024
+#: Rows of the corpus that meet a block at a time, and pairs that are measured at a time: a task's memory follows from these, whatever its batches hold.
+TILE, PAIRS = 1024, 16_384
+_SLACK = 1e-12
 
 
-def _search(ids: list, vectors: np.ndarray, k: int, number: bool):
-    """``number``: whether the corpus's ids are numbers, else they are strings; both order as Spark orders them."""
+def _search(ids: list, vectors: np.ndarray, k: int, number: bool, tile: int = TILE, pairs: int = PAIRS):
+    """``number``: whether the corpus's ids are numbers, else they are strings; both order as Spark orders them.
+
+    A product of matrices finds who can be among the k nearest; each such pair is
+    then measured by itself, so that equal vectors lie at equal distances
+    wherever they stand, and ties stay ties.
+    """
     kind = np.int64 if number else np.str_
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    length = np.maximum(np.linalg.norm(vectors, axis=1), 1e-300)
+    unit = vectors / length[:, None]
+
+    def distances(who: np.ndarray, x: np.ndarray, norm: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(who))
+        for lo in range(0, len(who), pairs):
+            w, i = who[lo : lo + pairs], at[lo : lo + pairs]
+            out[lo : lo + pairs] = 1 - (vectors[w] * x[i]).sum(axis=1) / (length[w] * norm[i])
+        return out
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_d = np.full((len(ids), 0), np.inf)
-        best_i = np.zeros((len(ids), 0), kind)
+        # the best so far, by query, distance and id, and what may be among them
+        best_q, best_d, best_i = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, kind)
+        more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        far = np.full(len(ids), np.inf)
+
+        def settle() -> None:
+            nonlocal best_q, best_d, best_i
+            q, d, i = (np.concatenate(c) for c in zip((best_q, best_d, best_i), *more, strict=True))
+            more.clear()
+            by = np.lexsort((i, d, q))
+            q, d, i = q[by], d[by], i[by]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            last = place == k - 1
+            far[q[last]] = d[last]
+            best_q, best_d, best_i = (c[place < k] for c in (q, d, i))
+
         for b in it:
-            if not b.num_rows:
-                continue
-            col = b.column(1)
-            x = np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
-            norm = np.linalg.norm(x, axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                d = 1 - unit @ (x / norm[:, None]).T
-            d = np.hstack([best_d, np.where(np.isnan(d), np.inf, d)])
-            i = np.hstack([best_i, np.broadcast_to(np.asarray(b.column(0).to_pylist(), kind), (len(ids), b.num_rows))])
-            order = np.lexsort((i, d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        n = best_d.shape[1]
-        if n:
-            ok = np.isfinite(best_d).ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids).take(pa.array(np.repeat(np.arange(len(ids)), n)[ok])), pa.array(best_i.ravel()[ok].tolist(), pa.int64() if number else pa.string()), pa.array(best_d.ravel()[ok])],
-                ["qid", "id", "distance"],
-            )
+            for lo in range(0, b.num_rows, tile):
+                part = b.slice(lo, tile)
+                x = np.asarray(part.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(part.num_rows, -1)
+                norm = np.sqrt((x * x).sum(axis=1))
+                ok = np.flatnonzero(np.isfinite(norm) & (norm > 0))
+                if not len(ok):
+                    continue
+                x, norm = x[ok], norm[ok]
+                d = unit @ (x / norm[:, None]).T
+                np.subtract(1, d, out=d)
+                within = np.minimum(far, np.partition(d, k - 1, axis=1)[:, k - 1]) if len(ok) >= k else far
+                who, at = np.nonzero(d <= within[:, None] + _SLACK)
+                del d
+                if len(who):
+                    more.append((who, distances(who, x, norm, at), np.asarray(part.column(0).take(pa.array(ok)).to_pylist(), kind)[at]))
+                if sum(len(m[0]) for m in more) > k * len(ids):
+                    settle()
+        if more:
+            settle()
+        if len(best_q):
+            yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(best_q)), pa.array(best_i.tolist(), pa.int64() if number else pa.string()), pa.array(best_d)], ["qid", "id", "distance"])
 
     return run
 
@@ -49,7 +82,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
 
     Queries go to the executors in blocks of ``block`` vectors, each task keeps
     its own best k of a query, so tasks times queries times k rows are shuffled
-    whatever the corpus holds. Null and zero vectors are no one's neighbours.
+    whatever the corpus holds, and its memory doesn't grow with its batches. Null and zero vectors are no one's neighbours.
     ``where`` is a condition in SQL on the corpus's columns, met before the search.
     """
     corpus = corpus.filter(where) if where else corpus
