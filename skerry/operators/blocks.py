@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,7 +153,9 @@ class _Block:
         a document that has none of the terms before them above the k-th best so
         far, only the documents found are looked up in their lists; those that
         can't reach the k-th best any more are left out on the way. A sum counts
-        as often as it has terms, and so do the bounds.
+        as often as it has terms, and so do the bounds. That order is the block's
+        own, so whoever may be among the best is summed up again by term: equal
+        documents have the same score to the last bit, whatever block holds them.
         """
         bound = self.lists.bound
         terms = sorted((t for t in terms if t in bound), key=lambda t: (-bound[t], t))
@@ -160,8 +163,9 @@ class _Block:
         rest = np.concatenate((np.cumsum([bound[t] for t in terms][::-1])[::-1], [0.0]))
         among: np.ndarray | None = None
         wanted = np.zeros(self.n, bool)
+        given: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for i, t in enumerate(terms):
-            place, s = self.whole(t) if among is None else self.some(t, wanted)
+            place, s = given[t] = self.whole(t) if among is None else self.some(t, wanted)
             acc[place] += s
             count[place] += 1
             left = len(terms) - i - 1
@@ -179,7 +183,17 @@ class _Block:
             wanted[:] = False
             wanted[among] = True
         pool = np.flatnonzero(count) if among is None else among
-        score = np.floor(acc[pool] * count[pool] * 1e9 + 0.5) / 1e9
+        if len(pool) > k:
+            now = acc[pool] * count[pool]
+            pool = pool[now >= np.partition(now, len(now) - k)[len(now) - k] * (1 - 1e-9) - 1e-6]
+        total = np.zeros(len(pool))
+        for t in sorted(given):
+            place, s = given[t]
+            at = np.searchsorted(place, pool)
+            has = np.flatnonzero(at < len(place))
+            has = has[place[at[has]] == pool[has]]
+            total[has] += s[at[has]]
+        score = np.floor(total * count[pool] * 1e9 + 0.5) / 1e9
         return self._first(pool, score, count, k)
 
     def matches(self, terms: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +230,10 @@ def _lists_of(t: pa.Table) -> _Lists:
     w = one(uses.field("w"))[uses_at[0] : uses_at[-1]]
     code, owner = one(q.indices), np.repeat(np.arange(len(uses_at) - 1), np.diff(uses_at))
     limit = np.bincount(code, w * one(t.column("bound").chunk(0))[owner], len(q.dictionary))
-    by = np.argsort(code, kind="stable")
+    # a query term's lists by their terms: sums then don't depend on the order in which a shuffle brought them
+    rank = np.empty(t.num_rows, np.int64)
+    rank[one(pc.sort_indices(t.column("term")))] = np.arange(t.num_rows)
+    by = np.lexsort((rank[owner], code))
     ends = np.cumsum(np.bincount(code, minlength=len(q.dictionary)))
     names = q.dictionary.to_pylist()
     of = dict(zip(names, zip(np.split(owner[by], ends[:-1]), np.split(w[by], ends[:-1]), strict=True), strict=True)) if names else {}
@@ -252,11 +269,11 @@ def search(index: DataFrame, terms: DataFrame, k: int, prefixes: bool = True, p:
         idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
         # a list that several query terms ask for goes along once
         by_list = pairs.groupBy("term").agg(F.collect_list(F.struct("q", (F.col("weight") * idf).alias("w"))).alias("for"))
-        got = lists.join(by_list, "term").select("block", "place", "tf", "for", _impact_bound(p, avgdl).alias("bound"))
+        got = lists.join(by_list, "term").select("block", "term", "place", "tf", "for", _impact_bound(p, avgdl).alias("bound"))
         # empty rather than null lists: Arrow's writer goes over a run of null lists again for each of them
         no = lambda kind, name: F.array().cast(f"array<{kind}>").alias(name)
-        own = index.filter("term is null").select("block", no("int", "place"), no("int", "tf"), no("struct<q:string,w:double>", "for"), F.lit(None).cast("double").alias("bound"), "ids", "dl", "tie")
-        both = got.select("block", "place", "tf", "for", "bound", no(id_type, "ids"), no("int", "dl"), no("long", "tie")).unionByName(own)
+        own = index.filter("term is null").select("block", "term", no("int", "place"), no("int", "tf"), no("struct<q:string,w:double>", "for"), F.lit(None).cast("double").alias("bound"), "ids", "dl", "tie")
+        both = got.select("block", "term", "place", "tf", "for", "bound", no(id_type, "ids"), no("int", "dl"), no("long", "tie")).unionByName(own)
 
         def run(t: pa.Table) -> pa.Table:
             head = t.column("bound").is_null().index(True).as_py()

@@ -75,3 +75,20 @@ def test_empty_sides(spark, corpus, index):
     assert blocks.search(index, terms.limit(0), 5).count() == 0
     assert blocks.search(blocks.build(docs.limit(0), "id"), terms, 5).count() == 0
     assert blocks.search(blocks.build(docs.filter("id in ('empty', 'null')"), "id"), terms, 5).count() == 0
+
+
+def test_scores_are_the_same_to_the_last_bit_however_blocks_are_cut(spark):
+    rnd = random.Random(8)
+    texts = [words(rnd, rnd.randint(300, 400)) for _ in range(80)]
+    docs = spark.createDataFrame([(i, texts[i % 80] if i % 3 else words(rnd, 350)) for i in range(640)], "id long, text string")
+    terms = lexical.query_terms(spark.createDataFrame([(i, texts[i]) for i in range(0, 80, 2)], "qid long, query string")).cache()
+    got = []
+    for n in (1, 3, 11):
+        index = blocks.build(docs.repartition(n), "id", "text").cache()
+        got.append({(r["qid"], r["doc_id"]): (r["score"], r["rank"]) for r in blocks.search(index, terms, 60).collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2400
+    by_text: dict = {}
+    for (q, d), (s, _) in got[0].items():
+        if d % 3:
+            by_text.setdefault((q, d % 80), set()).add(s)
+    assert all(len(s) == 1 for s in by_text.values())
