@@ -24,6 +24,8 @@ from skerry.sources.shared import kept, ship
 SAMPLE = 50_000
 #: Vectors of a part (a list that holds more has several, whatever makes it large) and queries of a chunk: they bound a task's memory.
 PART, CHUNK = 20_000, 8_192
+#: Numbers of a matrix of angles or distances, and vectors that a task writes at a time.
+CELLS, OUT = 1 << 20, 8_192
 _SLACK = 1e-9
 
 
@@ -60,6 +62,12 @@ def _unit(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x[ok], keep[ok]
 
 
+def _slabs(b: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose rows by ``width`` columns make a matrix of bounded size."""
+    step = max(1, CELLS // max(1, width))
+    return (b.slice(lo, step) for lo in range(0, b.num_rows, step))
+
+
 def _angle(cos: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cos, -1, 1))
 
@@ -98,7 +106,7 @@ def build(corpus: DataFrame, centroids: np.ndarray, id_col: str = "vec_id", vec_
         return corpus.sparkSession.createDataFrame([], schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (s for whole in it for s in _slabs(whole, len(centroids))):
             x, keep = _unit(b.column(1))
             if len(keep):
                 cos = x @ centroids.T
@@ -137,7 +145,7 @@ def _wanted(index: Lists, queries: DataFrame, chunks: int, probes: int) -> DataF
     later = "far" in queries.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (s for whole in it for s in _slabs(whole, len(used))):
             x, keep = _unit(b.column(1))
             if not len(keep):
                 continue
@@ -152,8 +160,11 @@ def _wanted(index: Lists, queries: DataFrame, chunks: int, probes: int) -> DataF
             n = parts[used[at]]
             who, at = np.repeat(who, n), np.repeat(used[at], n)
             part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            ids = b.column(0).take(pa.array(keep[who]))
-            yield _rows(["list", "part", "qid", "q"], at.astype(np.int32), part.astype(np.int32), ids, _vectors(x[who]))
+            # a query that reads many lists has as many rows, with its vector in each
+            for lo in range(0, len(who), OUT):
+                w = who[lo : lo + OUT]
+                ids = b.column(0).take(pa.array(keep[w]))
+                yield _rows(["list", "part", "qid", "q"], at[lo : lo + OUT].astype(np.int32), part[lo : lo + OUT].astype(np.int32), ids, _vectors(x[w]))
 
     q_type = queries.schema["qid"].dataType.simpleString()
     got = queries.select("qid", "v", *(["far"] if later else [])).mapInArrow(run, f"list int, part int, qid {q_type}, q array<double>")
@@ -180,8 +191,9 @@ def _nearest(index: Lists, wanted: DataFrame, chunks: int, k: int) -> DataFrame:
         by = np.asarray(pa.compute.sort_indices(order))
         v, order = v[by], order.take(pa.array(by))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for lo in range(0, len(q), 256):
-            d = 1 - q[lo : lo + 256] @ v.T
+        step = max(1, CELLS // len(v))
+        for lo in range(0, len(q), step):
+            d = 1 - q[lo : lo + step] @ v.T
             at = np.argsort(d, axis=1, kind="stable")[:, :k]
             out.append((np.repeat(np.arange(lo, lo + len(d)), at.shape[1]), at.ravel(), np.take_along_axis(d, at, 1).ravel()))
         who, at, dist = (np.concatenate(x) for x in zip(*out, strict=True))

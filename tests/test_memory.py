@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from skerry.operators import knn
+from skerry.operators import knn, lists
 
 
 def peak_mb(work) -> float:
@@ -59,3 +59,42 @@ def test_equal_vectors_lie_at_equal_distances():
                 if i == n // 2:
                     far.setdefault(q, set()).add(d)
     assert all(len(d) == 1 for d in far.values()) and len(far) == 50
+
+
+class _Frame:
+    """Stands for a DataFrame: gives the function that ``mapInArrow`` takes."""
+
+    def __init__(self, spark, columns, types):
+        self.sparkSession, self.columns, self.schema = spark, columns, types
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        self.f = f
+        return self
+
+    def withColumn(self, *_):
+        return self
+
+
+def test_queries_that_read_every_list_are_written_in_small_batches(spark):
+    rnd = np.random.default_rng(4)
+    n, wide = 700, 16
+    centroids = rnd.normal(size=(n, wide))
+    centroids /= np.linalg.norm(centroids, axis=1)[:, None]
+    index = lists.Lists(None, centroids, np.ones(n, np.int64), np.full(n, 3.0))
+    q = spark.createDataFrame([], "qid long, v array<double>, far double")
+    got = _Frame(spark, q.columns, q.schema)
+    lists._wanted(index, got, 1, 8)
+    x = rnd.normal(size=(3000, wide))
+    b = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(list(x), pa.list_(pa.float64())), pa.array(np.full(3000, 2.0))], ["qid", "v", "far"])
+    seen, most = np.zeros(3000, np.int64), []
+
+    def work():
+        for out in got.f(iter([b])):
+            most.append(out.num_rows)
+            seen.__iadd__(np.bincount(out.column(2).to_numpy(), minlength=3000))
+
+    assert peak_mb(work) < 120
+    assert (seen == n - 8).all() and max(most) <= lists.OUT
