@@ -24,6 +24,8 @@ from skerry.sources.shared import ship
 
 #: Queries of one pass: their ids and terms go to every task.
 QUERIES = 4096
+#: Bytes of what query terms give a block's documents that its task keeps for queries to come: more is computed again.
+KEPT = 24 << 20
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tie_col: str | None = None) -> DataFrame:
@@ -111,6 +113,7 @@ class _Block:
     def __init__(self, ids: np.ndarray, tie: np.ndarray, norm: np.ndarray, lists: _Lists, p: Bm25):
         self.n, self.norm, self.lists, self.p = len(ids), norm, lists, p
         self.kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.held = 0
         self.scored = 0
         #: By tie and id: what comes first among equal scores.
         self.order = np.empty(self.n, np.int64)
@@ -123,15 +126,20 @@ class _Block:
     def _summed(self, place: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total, seen = np.bincount(place, s, self.n), np.bincount(place, minlength=self.n)
         at = np.flatnonzero(seen)
-        return at, total[at]
+        return at.astype(np.int32), total[at]
 
     def whole(self, q: str) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, what the query term gives them): computed once for all queries that have the term."""
-        got = self.kept.get(q)
+        """(documents, what the query term gives them): computed once for the queries that have the term, while it is kept; what was asked for longest ago goes first."""
+        got = self.kept.pop(q, None)
         if got is None:
             at, w = self.lists.postings(q)
             place = self.lists.place[at]
-            got = self.kept[q] = self._summed(place, self._impact(w, place, self.lists.tf[at]))
+            got = self._summed(place, self._impact(w, place, self.lists.tf[at]))
+            self.held += got[0].nbytes + got[1].nbytes
+        self.kept[q] = got
+        while self.held > KEPT and len(self.kept) > 1:
+            old = self.kept.pop(next(iter(self.kept)))
+            self.held -= old[0].nbytes + old[1].nbytes
         return got
 
     def some(self, q: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

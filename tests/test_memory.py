@@ -5,7 +5,8 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from skerry.operators import knn, lists
+from skerry.operators import blocks, knn, lists
+from skerry.operators.lexical import Bm25
 
 
 def peak_mb(work) -> float:
@@ -61,6 +62,19 @@ def test_equal_vectors_lie_at_equal_distances():
     assert all(len(d) == 1 for d in far.values()) and len(far) == 50
 
 
+def test_a_block_keeps_a_bounded_part_of_its_sums():
+    docs, terms = 10_000, 600
+    every = np.arange(docs, dtype=np.int32)
+    names = [f"t{i:03}" for i in range(terms)]
+    held = blocks._Lists(
+        np.tile(every, terms), np.ones(docs * terms, np.int32), np.arange(terms) * docs, np.full(terms, docs), {t: (np.array([i]), np.ones(1)) for i, t in enumerate(names)}, dict.fromkeys(names, 2.0)
+    )
+    block = blocks._Block(every, np.zeros(docs, np.int64), np.ones(docs), held, Bm25())
+    want = block.best(names[:2], 3)
+    assert peak_mb(lambda: [block.best(names[i : i + 4], 3) for i in range(0, terms, 4)]) < 40
+    assert all((a == b).all() for a, b in zip(block.best(names[:2], 3), want, strict=True))
+
+
 class _Frame:
     """Stands for a DataFrame: gives the function that ``mapInArrow`` takes."""
 
