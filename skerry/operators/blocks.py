@@ -1,7 +1,7 @@
 """Keyword search over blocks of documents: an inverted index whose lists never leave their block.
 
-A block is a run of documents of one partition. Its postings lists hold the
-documents' places in the block, so a block is searched by one task, with arrays
+A block is a run of documents of one partition, cut where it would have more than
+a given number of postings. Its postings lists hold the documents' places in the block, so a block is searched by one task, with arrays
 of its own size, and lists of different blocks never meet. Making the index
 shuffles nothing; answering queries moves the lists of asked terms alone, once
 for a batch of queries, and the best k of each query and block.
@@ -26,9 +26,11 @@ from skerry.sources.shared import ship
 QUERIES = 4096
 #: Bytes of what query terms give a block's documents that its task keeps for queries to come: more is computed again.
 KEPT = 24 << 20
+#: Postings of a block at most, unless a single document has more: what its task holds follows from these, however many or long the documents are.
+POSTINGS = 1 << 20
 
 
-def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tie_col: str | None = None) -> DataFrame:
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tie_col: str | None = None, postings: int = POSTINGS) -> DataFrame:
     """The index of documents with distinct ids: a row for each block and term, and one for each block alone.
 
     (block, term, place, tf, n, most_tf, least_dl, ids, dl, tie): ``place`` and
@@ -36,19 +38,25 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tie_c
     the block's document ids, lengths and, with ``tie_col``, a number each that
     decides ties before the id does. ``most_tf`` and ``least_dl`` bound what a
     list can add to a score whatever the mean length is. Documents without terms
-    have no length and don't count. Null texts are empty.
+    have no length and don't count. Null texts are empty. A
+    block has ``postings`` of them at most, a single document may have more.
     """
     rows = lexical.doc_terms(docs, id_col, text_col, **({"tie": tie_col} if tie_col else {}))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.select("doc_id", "terms", "tfs", (F.col("tie").cast("long") if tie_col else F.lit(0).cast("long")).alias("tie"))
 
+    def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        upto, lo = b.column(1).offsets.to_numpy(), 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + postings, "right")) - 1)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        for b in it:
-            if not b.num_rows:
-                continue
+        for b in (part for whole in it for part in cut(whole)):
             dl = np.diff(b.column(1).offsets.to_numpy()).astype(np.int32)
             coded = b.column(1).flatten().dictionary_encode()
             code, tf = coded.indices.to_numpy(zero_copy_only=False), b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int32)

@@ -92,3 +92,20 @@ def test_scores_are_the_same_to_the_last_bit_however_blocks_are_cut(spark):
         if d % 3:
             by_text.setdefault((q, d % 80), set()).add(s)
     assert all(len(s) == 1 for s in by_text.values())
+
+
+def test_a_block_has_a_bounded_number_of_postings_and_answers_stay(spark, corpus, index):
+    docs, terms = corpus
+    got = blocks.build(docs, "id", "text", "size", postings=200).cache()
+    own = [r["dl"] for r in got.filter("term is null").select("dl").collect()]
+    assert all(sum(dl) <= 200 or len(dl) == 1 for dl in own) and sum(map(len, own)) == 702 and max(map(len, own)) > 1
+    assert sum(map(sum, own)) == got.agg(F.sum("n")).first()[0]
+    assert blocks.build(docs, "id", "text", "size", postings=1).filter("term is null and size(dl) > 0").selectExpr("max(aggregate(dl, 0, (a, x) -> a + if(x > 0, 1, 0)))").first()[0] == 1
+    for by in ("score", "matched"):
+        assert rows(blocks.search(got, terms, 10, by=by, tied=True)) == rows(blocks.search(index, terms, 10, by=by, tied=True))
+
+
+def test_long_documents_make_no_larger_blocks(spark):
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id", "concat_ws(' ', transform(sequence(1, 1000), i -> concat('w', id % 7, 'x', i))) AS text")
+    own = [sum(r["dl"]) for r in blocks.build(docs, "id", "text").filter("term is null").select("dl").collect()]
+    assert sum(own) >= 3_000_000 and max(own) <= blocks.POSTINGS
