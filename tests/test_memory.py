@@ -4,9 +4,11 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from skerry.operators import blocks, knn, lists
 from skerry.operators.lexical import Bm25
+from skerry.plans.search import K
 
 
 def peak_mb(work) -> float:
@@ -38,6 +40,28 @@ def test_knn_holds_no_matrix_of_a_whole_batch():
     assert same_as_sort(got, list(range(10_000)), x, qs, 5)
 
 
+#: By query: what it asks of each of its vectors, and how many rows of a batch are copies of one vector.
+SEARCHES = {"ir_metrics_agg": (K + 1, 0)}
+
+
+@pytest.mark.parametrize("query", SEARCHES)
+def test_a_searching_task_is_as_small_over_more_batches(query):
+    k, copies = SEARCHES[query]
+    rnd = np.random.default_rng(5)
+    qs, x = rnd.normal(size=(knn.BLOCK, 64)), rnd.normal(size=(10_000, 64))
+    x[:copies] = qs[: len(qs) * copies // len(x)] = x[0]
+    batches = [batch(list(range(n, n + len(x))), x) for n in range(0, 4 * len(x), len(x))]
+    got = []
+    run = lambda n: peak_mb(lambda: got.append(pa.Table.from_batches(knn._search(list(range(len(qs))), qs, k, True)(iter(batches[:n])))))
+    one, four = run(1), run(4)
+    assert one < 100 and four < 1.1 * one  # all pairs of a tile tied take 81 MB
+    rows = got[1].to_pandas()
+    assert len(rows) == k * len(qs)
+    for q in (0, 1, len(qs) // 2, len(qs) - 1):
+        d = np.tile(1 - (x * qs[q]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.linalg.norm(qs[q])), 4)
+        assert rows[rows["qid"] == q]["id"].tolist() == np.lexsort((np.arange(len(d)), d))[:k].tolist()
+
+
 def test_knn_in_tiles_loses_nothing():
     rnd = np.random.default_rng(2)
     qs, x = rnd.normal(size=(7, 5)), rnd.normal(size=(90, 5))
