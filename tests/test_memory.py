@@ -8,7 +8,7 @@ import pytest
 
 from skerry.operators import blocks, knn, lists
 from skerry.operators.lexical import Bm25
-from skerry.plans.search import K
+from skerry.plans.search import DEEP, K
 
 
 def peak_mb(work) -> float:
@@ -41,7 +41,7 @@ def test_knn_holds_no_matrix_of_a_whole_batch():
 
 
 #: By query: what it asks of each of its vectors, and how many rows of a batch are copies of one vector.
-SEARCHES = {"ir_metrics_agg": (K + 1, 0)}
+SEARCHES = {"ir_metrics_agg": (K + 1, 0), "knn_image_rescaled": (DEEP, 0)}
 
 
 @pytest.mark.parametrize("query", SEARCHES)
