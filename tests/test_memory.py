@@ -41,7 +41,7 @@ def test_knn_holds_no_matrix_of_a_whole_batch():
 
 
 #: By query: what it asks of each of its vectors, and how many rows of a batch are copies of one vector.
-SEARCHES = {"ir_metrics_agg": (K + 1, 0), "knn_image_rescaled": (DEEP, 0), "image_dedupe": (DEEP, 3_000)}
+SEARCHES = {"ir_metrics_agg": (K + 1, 0), "knn_image_rescaled": (DEEP, 0), "image_dedupe": (DEEP, 3_000), "knn_cosine_topk": (K, 3_000)}
 
 
 @pytest.mark.parametrize("query", SEARCHES)
